@@ -6,8 +6,8 @@ nothing but the key, the stratum and what the table's own filters need, in two p
 
 1. count each stratum and share the wanted number of rows (largest remainder);
 2. hashes are uniform, so the cut lies close to the same share of the hash space: count the rows below a
-   narrow bracket around it and keep the hashes inside, about 12 * sqrt(rows) of them, in small cells. Running
-   totals over the cells, then inside one cell, give the cut.
+   narrow bracket around it, keep the hashes inside (about 12 * sqrt(rows) of them) and drop the rest. A
+   running total over these few hashes gives the cut.
 
 A cut outside its bracket (odds below one in a million, or keys that are not unique) is searched over the
 whole hash space instead: one more pass, same answer. Rows that share a key always stay together.
@@ -16,17 +16,17 @@ whole hash space instead: one more pass, same answer. Rows that share a key alwa
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowbench.functions.names import normalise_columns
 from flowbench.functions.values import same_group
-from flowbench.session import settle
+from flowbench.session import BROADCAST_ROWS, settle, settled
 from flowbench.specs import SplitSpec
 
-CELLS = 1024
 PREFIX = 5  # hex digits of the cells of the whole-space search: 2 ** 20 cells
 _SPACE = 16.0**15  # the first 15 hex digits of the hash, as a number
 
@@ -96,34 +96,34 @@ def hash_cuts(df: DataFrame, key: Sequence[str], seed: int, stratum: Column, quo
     share = F.col("quota") / F.col("n")
     slack = F.lit(6.0) * F.sqrt(share * (1 - share) / F.col("n")) + F.lit(8.0) / F.col("n")
     wanted = quotas.where("quota > 0")
-    brackets = settle(
-        wanted.select(
-            "stratum",
-            "quota",
-            ((share - slack) * F.lit(_SPACE)).alias("lo"),
-            (F.lit(2.0) * slack * F.lit(_SPACE)).alias("width"),
-        )
+    brackets = wanted.select(
+        "stratum", "quota", ((share - slack) * F.lit(_SPACE)).alias("lo"), ((share + slack) * F.lit(_SPACE)).alias("hi")
     )
-    spot = F.floor((_position(F.col("h")) - F.col("lo")) / F.col("width") * CELLS)
-    cell = F.greatest(F.lit(-1), F.least(F.lit(CELLS), spot)).cast("int")
-    inside = (F.col("cell") >= 0) & (F.col("cell") < CELLS)
+    position = _position(F.col("h"))
     tallies = (
         _hashed(df, key, seed, stratum)
         .join(brackets, "stratum")
-        .withColumn("cell", cell)
-        .groupBy("stratum", "quota", "cell", F.when(inside, F.col("h")).alias("h"))
+        .where(position <= F.col("hi"))
+        .groupBy("stratum", "quota", F.when(position >= F.col("lo"), F.col("h")).alias("h"))
         .agg(F.count("*").alias("n"))
-        .persist()
     )
-    per_cell = tallies.groupBy("stratum", "quota", "cell").agg(F.sum("n").alias("n"))
-    holders = settle(_holding_cells(per_cell).where(inside))
-    found = settle(_last_within(tallies.join(holders, ["stratum", "cell"])).where(F.col("cut").isNotNull()))
-    tallies.unpersist()
+    # The rows below the bracket are one entry without a hash, so they come first.
+    upto = W.partitionBy("stratum").orderBy(F.asc_nulls_first("h")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    fits = F.max(F.when(F.col("running") <= F.col("quota"), F.col("h")))
+    found, n_found = settled(
+        tallies.withColumn("running", F.sum("n").over(upto))
+        .groupBy("stratum", "quota")
+        .agg(fits.alias("cut"), F.max("running").alias("covered"))
+        .where("cut IS NOT NULL AND covered >= quota")
+        .select("stratum", "cut")
+    )
     cuts = found.unionByName(quotas.where("quota = 0").select("stratum", F.lit("").alias("cut")))
-    missed = wanted.join(found, "stratum", "left_anti")
-    if missed.take(1):
-        cuts = cuts.unionByName(_whole_space_cuts(df, key, seed, stratum, settle(missed)))
-    return settle(cuts)
+    # A settled quota table is local, so its rows are at hand without another job.
+    n_wanted = len(wanted.limit(BROADCAST_ROWS + 1).collect())
+    if n_found == n_wanted <= BROADCAST_ROWS:
+        return F.broadcast(cuts)
+    missed = settle(wanted.join(found, "stratum", "left_anti"))
+    return settle(cuts.unionByName(_whole_space_cuts(df, key, seed, stratum, missed)))
 
 
 def _whole_space_cuts(df: DataFrame, key: Sequence[str], seed: int, stratum: Column, quotas: DataFrame) -> DataFrame:
@@ -299,6 +299,20 @@ def folds(df: DataFrame, key: Sequence[str], k: int, seed: int = 42) -> DataFram
     return df.withColumn("fold", F.floor(_position(row_hash(key, seed)) / F.lit(_SPACE) * k).cast("int"))
 
 
+def aligned_union(tables: Mapping[str, DataFrame], label: str, mode: str = "compare") -> DataFrame:
+    """Tables cut to the columns they all have, stacked, with the table's name as ``dataset_source``."""
+    renamed = {name: normalise_columns(df.drop("dataset_source"), mode) for name, df in tables.items()}
+    first = next(iter(renamed.values()))
+    common = [c for c in first.columns if all(c in df.columns for df in renamed.values())]
+    if label not in common or len(common) < 2:
+        raise SplitError(f"the tables share no features next to {label!r}: {common}")
+    result = None
+    for name, df in renamed.items():
+        part = df.select(*common, F.lit(name).alias("dataset_source"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 # --- saved membership -----------------------------------------------------------------------------------------
 
 

@@ -270,7 +270,7 @@ def flow_rates(spark, sf_dir):
 @query(
     "h_duration_texts",
     """SELECT o_orderkey, CASE WHEN s >= 3600 THEN concat(s // 3600, 'h ', (s % 3600) // 60, 'm') WHEN s >= 60 THEN concat(s // 60, 'm ', s % 60, 's') ELSE concat(s, 's') END AS short_text,
-      concat(lpad(CAST(r // 3600 AS VARCHAR), greatest(2, length(CAST(r // 3600 AS VARCHAR))), '0'), ':', lpad(CAST((r % 3600) // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(r % 60 AS VARCHAR), 2, '0')) AS clock
+      concat(lpad(CAST(r // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(r // 3600 AS VARCHAR))) AS INTEGER), '0'), ':', lpad(CAST((r % 3600) // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(r % 60 AS VARCHAR), 2, '0')) AS clock
       FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 4) AS BIGINT) AS s, CAST(round_even(o_totalprice / 4, 0) AS BIGINT) AS r FROM orders)""",
 )
 def duration_texts(spark, sf_dir):

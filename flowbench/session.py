@@ -24,6 +24,8 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Without this, every column expression records the Python stack that built it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -52,13 +54,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     """Run a plan that is expected to give a small table once, so that later plans reuse its rows.
 
-    Up to ``max_rows`` rows come back as a local table marked for broadcast. A larger result is checkpointed
-    in full and left to an ordinary shuffle join, so no size of input is refused.
+    Up to ``max_rows`` rows come back as a local table marked for broadcast, with their number. A larger
+    result is checkpointed in full and left to an ordinary shuffle join, so no size of input is refused.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return checkpoint(df)
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.num_rows
+    kept = checkpoint(df)
+    return kept, kept.count()
+
+
+def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table of ``settled`` alone."""
+    return settled(df, max_rows)[0]
