@@ -70,7 +70,12 @@ def is_infinite(value: Column) -> Column:
 def finite_or_null(value: Column | str) -> Column:
     """Double value with NaN and both infinities as null. The text ``inf`` counts as infinite, too."""
     x = number(value)
-    return F.when(F.isnan(x) | is_infinite(x), F.lit(None).cast("double")).otherwise(x)
+    return F.when(is_finite(x), x)
+
+
+def is_finite(x: Column) -> Column:
+    """True for finite numbers, false for infinities and NaN (which sorts above them), null for null."""
+    return F.abs(x) < F.lit(float("inf"))
 
 
 def finite_or(value: Column | str, default: float = 0.0) -> Column:
@@ -102,8 +107,15 @@ def finite_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def complete_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Rows whose features and label are all present; other columns may be null."""
-    return finite_features(df, features).na.drop(subset=[*features, label])
+    """Rows whose features and label are all present, features as doubles; other columns may be null.
+
+    One comparison per feature decides; it is false or null for every kind of missing cell.
+    """
+    present = F.col(label).isNotNull()
+    for c in features:
+        whole = isinstance(df.schema[c].dataType, T.IntegralType)
+        present = present & (F.col(c).isNotNull() if whole else is_finite(number(c)))
+    return df.where(present).withColumns({c: number(c) for c in features})
 
 
 def with_rates(

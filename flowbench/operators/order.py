@@ -176,22 +176,37 @@ def _values_at_ranks(df, columns, ranks, direct_limit):
 
     found = {k: (bracket[k][0],) * 2 for k in ranks if bracket[k][0] == bracket[k][1]}
     rest = [k for k in ranks if k not in found]
-    if rest:
-        # The few values left in each bracket are read once and kept for the look-ups below.
-        cells = F.filter(
-            F.array(*[F.struct(F.lit(k).alias("k"), limited(k).alias("v")) for k in rest]), lambda c: c["v"].isNotNull()
-        )
-        tallies = df.select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").agg(F.count("*").alias("n")).persist()
-        for k in rest:
-            one = running_before(tallies.where(F.col("k") == k).select("v", "n"), "v", {"before": "n"})
-            _, low, _, size = ranks[k]
-            wanted = [low - below[k], min(low + 1, size - 1) - below[k]]
-            hits = one.where(
-                ((F.col("before") <= wanted[0]) & (F.col("before") + F.col("n") > wanted[0]))
-                | ((F.col("before") <= wanted[1]) & (F.col("before") + F.col("n") > wanted[1]))
-            ).orderBy("v").collect()
-            found[k] = (hits[0]["v"], hits[-1]["v"])
-        tallies.unpersist()
+    if not rest:
+        return found
+    cells = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("k"), limited(k).alias("v")) for k in rest]), lambda c: c["v"].isNotNull()
+    )
+    tallies = df.select(F.inline(cells)).groupBy("k", "v").agg(F.count("*").alias("n"))
+    places = {k: (ranks[k][1] - below[k], min(ranks[k][1] + 1, ranks[k][3] - 1) - below[k]) for k in rest}
+
+    def hits(rows: DataFrame, k: Column) -> DataFrame:
+        """The one or two values that hold the wanted places."""
+        end = F.col("before") + F.col("n")
+        at = F.element_at(F.create_map(*[F.lit(x) for key in rest for x in (key, F.array(*map(F.lit, places[key])))]), k)
+        first, second = at[0], at[1]
+        return rows.where(
+            ((F.col("before") <= first) & (end > first)) | ((F.col("before") <= second) & (end > second))
+        ).select(k.alias("k"), "v")
+
+    narrow = [k for k in rest if inside[k] <= direct_limit]
+    picked = []
+    if narrow:
+        # At most direct_limit values per key are left, so one window per key is small.
+        earlier = W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+        small = tallies.where(F.col("k").isin(narrow)).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        picked += hits(small, F.col("k")).collect()  # two values per key
+    for k in rest:
+        if k not in narrow:
+            wide = running_before(tallies.where(F.col("k") == k).select("v", "n"), "v", {"before": "n"})
+            picked += hits(wide, F.lit(k)).collect()
+    for k in rest:
+        values = sorted(r["v"] for r in picked if r["k"] == k)
+        found[k] = (values[0], values[-1])
     return found
 
 
