@@ -94,6 +94,31 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return sums.select("feature", F.when(F.col("k") > 1, score).alias("f_score"))
 
 
+def anova_by_class(df: DataFrame, features: Sequence[str], classes: str, benign: str) -> DataFrame:
+    """``class, feature, f_score`` of each attack class against benign rows, from one grouped pass."""
+    moments = df.groupBy(F.col(classes).alias("class")).agg(
+        *[f(F.col(c)).alias(f"{c}|{n}") for c in features for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]
+    )
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"), F.col(f"`{c}|n`").cast("double").alias("n"),
+                F.col(f"`{c}|m`").alias("m"), F.col(f"`{c}|v`").alias("v"),
+            )
+            for c in features
+        ]
+    )
+    rows = moments.select("class", F.inline(cells))
+    base = rows.where(F.col("class") == benign).select(
+        "feature", F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("v").alias("bv")
+    )
+    pairs = rows.where(F.col("class") != benign).join(settle(base), "feature")
+    grand = (F.col("n") * F.col("m") + F.col("bn") * F.col("bm")) / (F.col("n") + F.col("bn"))
+    between = F.col("n") * F.pow(F.col("m") - grand, 2) + F.col("bn") * F.pow(F.col("bm") - grand, 2)
+    within = (F.col("n") * F.col("v") + F.col("bn") * F.col("bv")) / (F.col("n") + F.col("bn") - 2)
+    return pairs.select("class", "feature", F.try_divide(between, within).alias("f_score"))
+
+
 def best_features(scores: DataFrame, k: int) -> DataFrame:
     """The ``k`` best features, at least one and at most all; ties by name, constant features last."""
     return scores.orderBy(F.desc_nulls_last("f_score"), "feature").limit(max(1, int(k)))

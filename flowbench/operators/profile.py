@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbench.functions.names import normalise_name, numeric_columns
+from flowbench.operators.order import exact_quantiles
 from flowbench.functions.values import as_column, is_infinite, is_missing, or_token, strict_label, utc_micros
 from flowbench.specs import ALL_NUMERIC, FeatureSet
 
@@ -153,6 +154,21 @@ def compare_datasets(df: DataFrame, dataset: str, label: str, packets: str, beni
     )
 
 
+def interval_levels(
+    df: DataFrame, time: str, seconds: int, tuples: Sequence[str], size: str, shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8)
+) -> DataFrame:
+    """Traffic of each interval: flows, distinct tuples, variance of a size, and a level from 1 by quantiles of
+    the flow counts."""
+    micros = utc_micros(time, df.schema[time].dataType)
+    start = F.floor(micros / F.lit(seconds * 1_000_000)) * F.lit(seconds * 1_000_000)
+    spans = df.groupBy(start.cast("bigint").alias("start_us")).agg(
+        F.count("*").alias("flows"), F.count_distinct(F.struct(*tuples)).alias("tuples"), F.var_pop(size).alias("variance")
+    ).persist()
+    cuts = exact_quantiles(spans, {"flows": list(shares)})["flows"]
+    level = sum(((F.col("flows") > F.lit(q)).cast("int") for q in cuts if q is not None), F.lit(1))
+    return spans.withColumn("level", level)
+
+
 # --- column sets ----------------------------------------------------------------------------------------------
 
 
