@@ -28,7 +28,7 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
 
 
 # Every module that registers queries.
-MODULES = ("profile", "cleaning", "splits", "metrics", "results", "learners")
+MODULES = ("profile", "cleaning", "splits", "metrics", "results", "learners", "streams", "artefacts")
 
 
 def load_all() -> None:

@@ -64,9 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def flows_of(events: DataFrame) -> DataFrame:
+    """One flow per event, with raw labels, null groups, and null and infinite rates. Takes a table or a stream."""
+    return _spark_text(FLOWS_TEXT, events.sparkSession, events=events)
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One flow per event, with raw labels, null groups, and null and infinite rates."""
-    return _spark_text(FLOWS_TEXT, spark, events=table(spark, sf_dir, "events"))
+    return flows_of(table(spark, sf_dir, "events"))
 
 
 def learnable_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

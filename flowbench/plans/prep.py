@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from flowbench.functions.names import find_label, normalise_columns, normalise_name, require_columns
 from flowbench.functions.values import complete_rows, strict_label
 from flowbench.operators.select import final_projection, merged_drops, resolve_features
-from flowbench.operators.splits import split_parts
+from flowbench.operators.splits import membership, split_parts
+from flowbench.sources.sinks import path_exists, under_root
 from flowbench.specs import DatasetSpec, FeatureSet, SplitSpec
 
 
@@ -111,3 +112,19 @@ def prepare_split(
     return PreparedSplit(
         rows.drop(*leave), features, label, drops, groups, tuple(key), df, dataset, feature_set, placed
     )
+
+
+def saved_membership(
+    df: DataFrame, label: str, split: SplitSpec, folder: str
+) -> tuple[DataFrame, bool]:
+    """The split's assignment table from ``folder``, and whether it had to be made.
+
+    An existing one is used as it is, whatever the split's settings say now.
+    """
+    spark = df.sparkSession
+    path = under_root(folder, split.split_id)
+    created = not path_exists(spark, path)
+    if created:
+        parts = split_parts(df, label, split)
+        membership(parts, split.row_key, split.split_id).write.parquet(path)
+    return spark.read.parquet(path), created

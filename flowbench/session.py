@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,21 +38,31 @@ def build_session(
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def _shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
     Only a local-mode session without that setting gets a scratch folder; a cluster without one is an error,
     because a machine-local folder is lost with its executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if root is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="flowbench-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="flowbench-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(root)
+    return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share."""
+    return posixpath.join(_shared_root(spark), f"flowbench-{name}-{uuid.uuid4().hex}")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    _shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbench.functions.values import is_infinite, is_missing, strict_label
 from flowbench.operators.metrics import binary_metrics, confusion
 from flowbench.operators.rules import predict_rules
+from flowbench.session import shared_folder
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -98,32 +96,28 @@ def source_sessions(df: DataFrame, time: str, source: str, gap: str = "30 minute
 # --- running to the end of the input -------------------------------------------------------------------------------
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder, which all executors share."""
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="flowbench-stream-")
-    return posixpath.join(root, f"flowbench-{name}-{uuid.uuid4().hex}")
-
-
 def final_state(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a running aggregate over all available input and returns its last state.
 
-    For aggregates of bounded size: the state is held as a table of the driver.
+    Executors write each state to the shared folder, so the state may outgrow the driver. A batch that is run
+    again after a failure replaces its own output.
     """
-    name = f"state_{uuid.uuid4().hex}"
+    spark = stream.sparkSession
+    folder = shared_folder(spark, "state")
+    states: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        states.append(number)
+
     run = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", shared_folder(stream.sparkSession, "state"))
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(keep).outputMode(mode)
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not states:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/state/{max(states)}")
 
 
 def to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
