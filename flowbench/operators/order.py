@@ -10,28 +10,39 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowbench.session import settle
-
-RANGES = 256
+# Bounds of the number of ranges: enough for every task of a big cluster, few enough for the driver.
+LEAST_RANGES, MOST_RANGES = 256, 8192
+# Range bounds of texts are cut to this length: any text may serve as a bound.
+BOUND_LENGTH = 64
 # Up to this many values Spark's own exact percentile (one value-to-count map per column) is used.
 PERCENTILE_VALUES = 1_000_000
 
 
+def range_count(spark: SparkSession) -> int:
+    """Twice the shuffle parallelism, within bounds: each task sorts a range or two."""
+    return min(max(LEAST_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
+
+
 def _numeric_bounds(df: DataFrame, column: str, ranges: int) -> list[float]:
-    steps = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), steps, 10_000).alias("cuts")).first()
+    steps = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    row = df.agg(F.expr(f"percentile_approx(CAST(`{column}` AS DOUBLE), array({steps}), 10000)").alias("cuts")).first()
     return sorted({c for c in (row["cuts"] or []) if c is not None and math.isfinite(c)})
 
 
 def _text_bounds(df: DataFrame, column: str, ranges: int) -> list[str]:
-    """Texts that cut the order into ranges of similar size. They steer balance only, not the result."""
+    """Texts that cut the order into ranges of similar size. They steer balance only, not the result.
+
+    Each text is compared with every bound, so there are fewer of them than numeric ranges.
+    """
+    ranges = min(ranges, LEAST_RANGES)
     picked = (
-        df.select(column, F.xxhash64(column).alias("_h")).orderBy("_h").limit(ranges * 20).select(column).collect()
+        df.select(F.substring(column, 1, BOUND_LENGTH).alias("b"), F.xxhash64(column).alias("_h"))
+        .orderBy("_h").limit(ranges * 20).select("b").collect()
     )
     texts = sorted({r[0] for r in picked if r[0] is not None}, key=lambda t: t.encode())
     step = max(1, len(texts) // ranges)
@@ -39,13 +50,14 @@ def _text_bounds(df: DataFrame, column: str, ranges: int) -> list[str]:
 
 
 def with_range(
-    df: DataFrame, column: str, out: str = "_range", ranges: int = RANGES, bounds_from: DataFrame | None = None
+    df: DataFrame, column: str, out: str = "_range", ranges: int | None = None, bounds_from: DataFrame | None = None
 ) -> DataFrame:
     """Adds a range number that never decreases along the order of ``column``.
 
     ``bounds_from`` may name a cheaper table with the same column to take the range bounds from.
     """
     source = df if bounds_from is None else bounds_from
+    ranges = ranges or range_count(df.sparkSession)
     if isinstance(df.schema[column].dataType, T.NumericType):
         cuts = _numeric_bounds(source, column, ranges)
         if not cuts:
@@ -59,7 +71,7 @@ def with_range(
     return df.withColumn(out, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))))
 
 
-def running_before(df: DataFrame, order: str, totals: Mapping[str, str], ranges: int = RANGES) -> DataFrame:
+def running_before(df: DataFrame, order: str, totals: Mapping[str, str], ranges: int | None = None) -> DataFrame:
     """Adds, for each ``{out: value column}``, the sum of the values of all rows that come earlier in the order.
 
     ``order`` must be unique in ``df``: group by it first.
@@ -93,17 +105,27 @@ def _key(column: str, q: float) -> str:
     return f"{column}@{q!r}"
 
 
+SLACK = 2e-4  # half the width, as a share of the values, of the bracket asked of a sketch
+
+
 def exact_quantiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]], direct_limit: int = PERCENTILE_VALUES
 ) -> dict[str, list[float | None]]:
     """Interpolated percentiles of several columns, nulls and NaN left out.
 
-    Few values: one aggregate with ``percentile``. Many values: a quantile sketch brackets each wanted rank, a
-    second pass counts what lies below the bracket, and the bracket is narrowed the same way until few enough
-    values lie inside to sort them. Sketch errors cost another pass, never exactness.
+    The first pass counts the values and sketches their quantiles. Few values: one aggregate with
+    ``percentile``. Many values: the sketch brackets each wanted rank, a second pass counts what lies below and
+    inside the bracket, and the bracket is narrowed the same way until few enough values lie inside to sort
+    them. Sketch errors cost another pass, never exactness.
     """
     columns = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in wanted}
-    sizes = df.agg(*[F.count(e).alias(c) for c, e in columns.items()]).first().asDict()
+    # One sketch per column answers for all its ranks.
+    points = {c: sorted({p for q in qs for p in (max(q - SLACK, 0.0), min(q + SLACK, 1.0))}) for c, qs in wanted.items()}
+    first = df.agg(
+        *[F.count(e).alias(f"n|{c}") for c, e in columns.items()],
+        *[F.percentile_approx(e, points[c], 10_000).alias(f"s|{c}") for c, e in columns.items()],
+    ).first()
+    sizes = {c: first[f"n|{c}"] for c in wanted}
     small = [c for c in wanted if sizes[c] <= direct_limit]
     result: dict[str, list[float | None]] = {}
     if small:
@@ -112,13 +134,15 @@ def exact_quantiles(
             result[c] = list(row[c]) if row[c] is not None else [None] * len(wanted[c])
     large = {c: wanted[c] for c in wanted if c not in result}
     if large:
-        ranks = {}
+        ranks, tried = {}, {}
         for c, qs in large.items():
+            cut = dict(zip(points[c], first[f"s|{c}"]))
             for q in qs:
                 position = (sizes[c] - 1) * q
                 low = math.floor(position)
                 ranks[_key(c, q)] = (c, low, position - low, sizes[c])
-        found = _values_at_ranks(df, columns, ranks, direct_limit)
+                tried[_key(c, q)] = (cut[max(q - SLACK, 0.0)], cut[min(q + SLACK, 1.0)])
+        found = _values_at_ranks(df, columns, ranks, tried, direct_limit)
         for c, qs in large.items():
             result[c] = []
             for q in qs:
@@ -128,51 +152,45 @@ def exact_quantiles(
     return {c: result[c] for c in wanted}
 
 
-def _values_at_ranks(df, columns, ranks, direct_limit):
-    """Values at zero-based ranks ``low`` and ``low + 1`` for each key."""
+def _values_at_ranks(df, columns, ranks, tried, direct_limit):
+    """Values at zero-based ranks ``low`` and ``low + 1`` for each key; ``tried`` holds the first brackets."""
     bracket = {k: (-math.inf, math.inf) for k in ranks}
     below = {k: 0 for k in ranks}
     inside = {k: size for k, (_, _, _, size) in ranks.items()}
-    open_keys = [k for k in ranks if inside[k] > direct_limit]
+    open_keys = list(ranks)
+
+    def within(value: Column, ends: tuple[float, float]) -> Column:
+        return (value >= F.lit(ends[0])) & (value <= F.lit(ends[1]))
 
     def limited(k: str) -> Column:
-        value, (lo, hi) = columns[ranks[k][0]], bracket[k]
-        return F.when((value >= F.lit(lo)) & (value <= F.lit(hi)), value)
+        value = columns[ranks[k][0]]
+        return F.when(within(value, bracket[k]), value)
 
     while open_keys:
-        asked = []
-        for k in open_keys:
-            low = ranks[k][1] - below[k]
-            share, slack = low / max(inside[k] - 1, 1), 2e-4
-            points = [max(share - slack, 0.0), min(share + slack + 1 / inside[k], 1.0)]
-            asked.append(F.percentile_approx(limited(k), points, 10_000).alias(k))
-        cuts = df.agg(*asked).first().asDict()
-        tried = {}
-        for k in open_keys:
-            lo, hi = cuts[k]
-            tried[k] = (lo, hi)
+        values = {k: columns[ranks[k][0]] for k in open_keys}
         counts = df.agg(
-            *[
-                F.count(F.when(columns[ranks[k][0]] < F.lit(tried[k][0]), 1)).alias(f"b{i}")
-                for i, k in enumerate(open_keys)
-            ],
-            *[
-                F.count(F.when((columns[ranks[k][0]] >= F.lit(tried[k][0])) & (columns[ranks[k][0]] <= F.lit(tried[k][1])), 1)).alias(f"i{i}")
-                for i, k in enumerate(open_keys)
-            ],
+            *[F.count(F.when(v < F.lit(tried[k][0]), 1)).alias(f"b|{k}") for k, v in values.items()],
+            *[F.count(F.when(within(v, tried[k]), 1)).alias(f"i|{k}") for k, v in values.items()],
         ).first()
-        still = []
-        for i, k in enumerate(open_keys):
+        wide = []
+        for k in open_keys:
             _, low, _, size = ranks[k]
-            high = min(low + 1, size - 1)
-            n_below, n_inside = counts[f"b{i}"], counts[f"i{i}"]
-            covered = n_below <= low and high < n_below + n_inside
+            n_below, n_inside = counts[f"b|{k}"], counts[f"i|{k}"]
+            covered = n_below <= low and min(low + 1, size - 1) < n_below + n_inside
             if covered and n_inside < inside[k]:
                 bracket[k], below[k], inside[k] = tried[k], n_below, n_inside
                 if n_inside > direct_limit and tried[k][0] < tried[k][1]:
-                    still.append(k)
+                    wide.append(k)
             # An uncovered or unchanged bracket is left as it is: the sort below stays exact, only wider.
-        open_keys = still
+        open_keys = wide
+        if open_keys:
+            asked = []
+            for k in open_keys:
+                share = (ranks[k][1] - below[k]) / max(inside[k] - 1, 1)
+                ends = [max(share - SLACK, 0.0), min(share + SLACK + 1 / inside[k], 1.0)]
+                asked.append(F.percentile_approx(limited(k), ends, 10_000).alias(k))
+            cuts = df.agg(*asked).first()
+            tried = {k: tuple(cuts[k]) for k in open_keys}
 
     found = {k: (bracket[k][0],) * 2 for k in ranks if bracket[k][0] == bracket[k][1]}
     rest = [k for k in ranks if k not in found]

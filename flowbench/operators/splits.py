@@ -28,7 +28,8 @@ from flowbench.session import BROADCAST_ROWS, settle, settled
 from flowbench.specs import SplitSpec
 
 PREFIX = 5  # hex digits of the cells of the whole-space search: 2 ** 20 cells
-_SPACE = 16.0**15  # the first 15 hex digits of the hash, as a number
+DIGITS = 13  # leading hex digits of a hash that are used as a number; a double holds them exactly
+_SPACE = 16.0**DIGITS
 
 
 class SplitError(ValueError):
@@ -41,7 +42,14 @@ def row_hash(key: Sequence[str], seed: int) -> Column:
 
 
 def _position(h: Column) -> Column:
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint").cast("double")
+    """The leading digits as a number from 0 up to, but not including, 16 ** DIGITS."""
+    return F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("bigint").cast("double")
+
+
+def _leading_digits(share: Column) -> Column:
+    """The hash prefix that lies at a share of the hash space; shares outside 0..1 count as 0 or almost 1."""
+    spot = F.least(F.greatest(F.floor(share * F.lit(_SPACE)), F.lit(0)), F.lit(int(_SPACE) - 1))
+    return F.lower(F.lpad(F.hex(spot.cast("bigint")), DIGITS, "0"))
 
 
 def share_rows(strata: DataFrame, total: Column) -> DataFrame:
@@ -96,15 +104,16 @@ def hash_cuts(df: DataFrame, key: Sequence[str], seed: int, stratum: Column, quo
     share = F.col("quota") / F.col("n")
     slack = F.lit(6.0) * F.sqrt(share * (1 - share) / F.col("n")) + F.lit(8.0) / F.col("n")
     wanted = quotas.where("quota > 0")
+    # "g" follows every hex digit, so the upper end takes in all hashes with its prefix.
     brackets = wanted.select(
-        "stratum", "quota", ((share - slack) * F.lit(_SPACE)).alias("lo"), ((share + slack) * F.lit(_SPACE)).alias("hi")
+        "stratum", "quota", _leading_digits(share - slack).alias("lo"),
+        F.concat(_leading_digits(share + slack), F.lit("g")).alias("hi"),
     )
-    position = _position(F.col("h"))
     tallies = (
         _hashed(df, key, seed, stratum)
         .join(brackets, "stratum")
-        .where(position <= F.col("hi"))
-        .groupBy("stratum", "quota", F.when(position >= F.col("lo"), F.col("h")).alias("h"))
+        .where(F.col("h") <= F.col("hi"))
+        .groupBy("stratum", "quota", F.when(F.col("h") >= F.col("lo"), F.col("h")).alias("h"))
         .agg(F.count("*").alias("n"))
     )
     # The rows below the bracket are one entry without a hash, so they come first.

@@ -1,7 +1,9 @@
 """The flow and run views that the registered queries and their SQL checks share.
 
 ``flows`` gives each event row the columns of a network flow; ``runs`` gives each order the columns of a
-finished detector run. One text serves both engines: only the string type and the JSON accessor differ.
+finished detector run. One text serves both engines: only the string type and the way to read the one number
+in ``props`` differ. Its texts all read ``{"k": 12}``, so Spark cuts the number out, which costs a fraction of
+parsing JSON anew for each of the columns that use it.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ ATTACK_RULE = "CASE WHEN flow_packets_s > 3000 AND total_bwd_packets <= 3 THEN '
 
 
 def _spark_text(text: str, spark: SparkSession, **tables: DataFrame) -> DataFrame:
-    filled = text.replace("{S}", "STRING").replace("{K}", "CAST(get_json_object(props, '$.k') AS BIGINT)")
+    filled = text.replace("{S}", "STRING").replace("{K}", "CAST(substr(props, 7, length(props) - 7) AS BIGINT)")
     return spark.sql(filled, **tables)
 
 

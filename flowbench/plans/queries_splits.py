@@ -281,7 +281,7 @@ def split_metadata(spark, sf_dir):
     )
 
 
-_FOLD = "CAST(floor(CAST(concat('0x', substr(" + hashed("flow_id") + ", 1, 15)) AS BIGINT) / CAST(1152921504606846976 AS DOUBLE) * 5) AS INTEGER)"
+_FOLD = "CAST(floor(CAST(concat('0x', substr(" + hashed("flow_id") + ", 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) * 5) AS INTEGER)"
 
 
 @query("n6_folds", on_prepared(f"SELECT flow_id, {_FOLD} AS fold FROM prepared"))
