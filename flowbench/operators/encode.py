@@ -238,9 +238,15 @@ class Preparation:
                     means[r["column"]], stds[r["column"]] = r["mean"], r["std"]
         modes = most_frequent(features, categorical) if categorical else {}
         prep = Preparation(numeric, categorical, medians, modes, means, stds, scale, features.schema.json())
-        for c in categorical:
-            texts = features.select(F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias("value"))
-            prep.categories[c] = settle(codes(texts, "value"))
+        if categorical:
+            # One pass collects the distinct texts of all columns.
+            cells = F.array(
+                *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in categorical]
+            )
+            texts = features.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct().persist()
+            for c in categorical:
+                prep.categories[c] = settle(codes(texts.where(F.col("column") == c), "value"))
+            texts.unpersist()
         return prep
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbench.functions.names import normalise_name, numeric_columns
-from flowbench.operators.order import exact_quantiles
 from flowbench.functions.values import as_column, is_infinite, is_missing, or_token, strict_label, utc_micros
+from flowbench.operators.order import exact_quantiles
+from flowbench.session import settle
 from flowbench.specs import ALL_NUMERIC, FeatureSet
 
 GROUP_COLUMNS = ("class", "dataset_source", "capture_file", "label_source")
@@ -161,9 +162,13 @@ def interval_levels(
     the flow counts."""
     micros = utc_micros(time, df.schema[time].dataType)
     start = F.floor(micros / F.lit(seconds * 1_000_000)) * F.lit(seconds * 1_000_000)
-    spans = df.groupBy(start.cast("bigint").alias("start_us")).agg(
-        F.count("*").alias("flows"), F.count_distinct(F.struct(*tuples)).alias("tuples"), F.var_pop(size).alias("variance")
-    ).persist()
+    spans = settle(
+        df.groupBy(start.cast("bigint").alias("start_us")).agg(
+            F.count("*").alias("flows"),
+            F.count_distinct(F.struct(*tuples)).alias("tuples"),
+            F.var_pop(size).alias("variance"),
+        )
+    )
     cuts = exact_quantiles(spans, {"flows": list(shares)})["flows"]
     level = sum(((F.col("flows") > F.lit(q)).cast("int") for q in cuts if q is not None), F.lit(1))
     return spans.withColumn("level", level)

@@ -26,6 +26,8 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Sessions of a busy source are merged before the shuffle, too.
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         # Without this, every column expression records the Python stack that built it.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

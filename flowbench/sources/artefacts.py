@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+# Schemas of the saved records, as Spark type texts.
 _COUNTS = "map<string,bigint>"
 
-RUN_INFO = T.StructType.fromDDL(
+RUN_INFO = (
     "created_at string, mode string, split_id string, source_training_split_id string, dataset_id string, "
     "feature_set_id string, model_id string, model_name string, model_path string, seed bigint, train_row_cap bigint, "
     "feature_columns array<string>, training_seconds double, evaluation_seconds double"
 )
-METRICS = T.StructType.fromDDL(
+METRICS = (
     "accuracy double, balanced_accuracy double, precision double, recall double, f1 double, f1_macro double, "
     f"f1_weighted double, confusion_matrix array<array<bigint>>, support {_COUNTS}, predicted_distribution {_COUNTS}, "
     f"training_split_id string, training_label_counts {_COUNTS}, training_sample_label_counts {_COUNTS}, "
@@ -22,14 +22,14 @@ METRICS = T.StructType.fromDDL(
     "batch_size bigint, learning_rate double, threshold double, threshold_tuned boolean, use_class_weight boolean, "
     "architecture map<string,string>, params map<string,string>"
 )
-TRAINING_SUMMARY = T.StructType.fromDDL(
+TRAINING_SUMMARY = (
     f"split_id string, training_label_counts {_COUNTS}, sampled_label_counts {_COUNTS}, "
     f"training_sample_label_counts {_COUNTS}, label_counts {_COUNTS}, feature_columns array<string>, "
     "full_training_rows bigint, training_rows bigint, sampled_training_rows bigint, training_sample_rows bigint, "
     "train_row_cap bigint, epochs bigint, batch_size bigint, learning_rate double, threshold double, "
     "threshold_tuned boolean, use_class_weight boolean, architecture map<string,string>, params map<string,string>"
 )
-SPLIT_METADATA = T.StructType.fromDDL(
+SPLIT_METADATA = (
     "split_id string, dataset_id string, split_method struct<type:string>, train_rows bigint, test_rows bigint, "
     f"train_label_distribution {_COUNTS}, test_label_distribution {_COUNTS}"
 )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowbench.operators.anomaly import ClusterDetector, EnergyDetector
 from flowbench.operators.baseline import MajorityBaseline
 from flowbench.operators.boosting import AdaBoost
+from flowbench.operators.external import ExternalDetector
 from flowbench.operators.gaussian import GaussianNaiveBayes, LinearDiscriminant
 from flowbench.operators.kernels import KernelSvm
 from flowbench.operators.learners import FittedLearner, boosted_trees, decision_tree, linear_svm, softmax
@@ -180,3 +181,18 @@ def test_a_failing_detector_does_not_stop_the_others(two_classes):
     assert rows["majority"]["status"] == "success" and rows["majority"]["accuracy"] == 0.5
     with pytest.raises(RuntimeError):
         run_detectors([Broken()], two_classes, two_classes, FEATURES, "y", "d", stop_on_error=True)
+
+
+def test_outside_models_score_batches(two_classes):
+    class Rule:
+        def predict(self, rows):
+            return (rows[:, 0] > 2).astype(int)
+
+    class WithProbability(Rule):
+        def predict_proba(self, rows):
+            p = 1 / (1 + np.exp(2 - rows[:, 0]))
+            return np.column_stack([1 - p, p])
+
+    scored = ExternalDetector(WithProbability, ["a"]).score(two_classes)
+    assert scored.where("(a > 2) <> (prediction = 1) OR abs(probability - 1 / (1 + exp(2 - a))) > 1e-9").count() == 0
+    assert ExternalDetector(Rule, ["a"]).score(two_classes).where("probability IS NOT NULL").count() == 0
