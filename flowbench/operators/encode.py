@@ -198,6 +198,26 @@ def encode_labels(train: DataFrame, test: DataFrame, label: str, problem: str =
     return coded[0], coded[1], mapping
 
 
+def value_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Smallest and largest finite value of each column, in one pass."""
+    cells = {c: finite_or_null(c) for c in columns}
+    row = df.agg(*[F.min(e).alias(f"lo|{c}") for c, e in cells.items()], *[F.max(e).alias(f"hi|{c}") for c, e in cells.items()]).first()
+    return {c: (row[f"lo|{c}"], row[f"hi|{c}"]) for c in columns}
+
+
+def scale_to_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """Features moved to 0..1 by fitted ranges; a constant feature is 0, a missing cell stays null."""
+    return df.withColumns(
+        {c: (finite_or_null(c) - F.lit(lo)) / F.lit((hi - lo) or 1.0) for c, (lo, hi) in ranges.items()}
+    )
+
+
+def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
+    """One 0/1 column ``<column>=<category>`` per fitted category; an unknown or missing cell is 0 everywhere."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return df.withColumns({f"{column}={v}": (text == F.lit(v)).cast("int") for v in categories})
+
+
 # --- fitted preparation ---------------------------------------------------------------------------------------
 
 

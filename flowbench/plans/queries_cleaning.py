@@ -443,3 +443,20 @@ def selected_features(spark, sf_dir):
     df = prepared(spark, sf_dir)
     chosen = [r["feature"] for r in encode.best_features(encode.anova_f(df, COMMON, "label"), 4).collect()]
     return round_all(encode.mean_and_std(df, chosen).select(F.col("column").alias("feature"), "mean"), ["mean"])
+
+
+@query(
+    "n4_scaled_to_range",
+    on_prepared("SELECT flow_id, " + ", ".join(f"({c} - (SELECT min({c}) FROM prepared)) / ((SELECT max({c}) FROM prepared) - (SELECT min({c}) FROM prepared)) AS {c}" for c in COMMON[:3]) + " FROM prepared"),
+)
+def scaled_to_range(spark, sf_dir):
+    df = prepared(spark, sf_dir)
+    return encode.scale_to_range(df, encode.value_ranges(df, COMMON[:3])).select("flow_id", *COMMON[:3])
+
+
+@query("n4_one_hot", on_flows("SELECT flow_id, " + ", ".join(f"CASE WHEN dataset_source = '{v}' THEN 1 ELSE 0 END AS \"dataset_source={v}\"" for v in ("src0", "src1", "src2")) + " FROM flows"))
+def one_hot_sources(spark, sf_dir):
+    # The fourth source is not among the fitted categories, and some flows have none.
+    df = flows(spark, sf_dir).select("flow_id", "dataset_source")
+    found = df.where("dataset_source <> 'src3'").select("dataset_source").distinct().orderBy("dataset_source").collect()
+    return encode.one_hot(df, "dataset_source", [r[0] for r in found]).drop("dataset_source")

@@ -392,11 +392,11 @@ SELECT e.experiment_id, concat('Experiment ', e.experiment_id) AS experiment_nam
   CASE WHEN e.k % 8 = 0 THEN e.k ELSE tb.test_rows END AS evaluation_rows,
   CASE WHEN e.k % 3 = 0 THEN e.tn + e.fp ELSE tb.test_rows - 1 END AS evaluation_label_0, CASE WHEN e.k % 3 = 0 THEN e.fn + e.tp WHEN tb.split_id IS NOT NULL THEN 1 END AS evaluation_label_1,
   CASE WHEN e.k % 2 = 0 THEN 2 WHEN t.run IS NOT NULL THEN 3 ELSE 0 END AS num_features,
-  CASE WHEN e.k % 2 = 0 THEN ['a', 'b'] WHEN t.run IS NOT NULL THEN ['x', 'y', 'z'] ELSE [] END AS feature_columns,
+  CASE WHEN e.k % 2 = 0 THEN '["a","b"]' WHEN t.run IS NOT NULL THEN '["x","y","z"]' ELSE '[]' END AS feature_columns,
   f1 * CAST(1.1 AS DOUBLE) AS accuracy, f1, f1 * CAST(0.75 AS DOUBLE) AS f1_weighted,
   e.tn, CASE WHEN e.tn IS NOT NULL THEN e.fp END AS fp, CASE WHEN e.tn IS NOT NULL THEN e.fn END AS fn, CASE WHEN e.tn IS NOT NULL THEN e.tp END AS tp,
   CASE WHEN t.row_cap IS NOT NULL THEN t.row_cap WHEN coalesce(t.used_rows, e.m_rows) < coalesce(t.full_rows, ta.train_rows) THEN coalesce(t.used_rows, e.m_rows) END AS train_row_cap,
-  coalesce(e.m_epochs, t.epochs) AS epochs, CASE WHEN t.run IS NOT NULL THEN 4096 END AS batch_size,
+  CAST(coalesce(e.m_epochs, t.epochs) AS BIGINT) AS epochs, CASE WHEN t.run IS NOT NULL THEN CAST(4096 AS BIGINT) END AS batch_size,
   CASE WHEN e.k % 4 = 1 THEN 0.4::DOUBLE WHEN t.run IS NOT NULL THEN 0.5::DOUBLE END AS threshold, e.k % 4 = 1 AS threshold_tuned, coalesce(t.k % 2 = 0, false) AS use_class_weight,
   CASE WHEN t.run IS NULL THEN CAST(e.own_train_s AS DOUBLE) ELSE t.train_s END AS training_seconds, coalesce(e.i_eval_s, e.m_eval_s) AS evaluation_seconds,
   CASE WHEN t.run IS NULL THEN CAST(e.own_train_s AS DOUBLE) ELSE t.train_s END + coalesce(e.i_eval_s, e.m_eval_s) AS total_seconds,
@@ -418,7 +418,8 @@ _FINAL_COLUMNS = (
 @query("k1_final_results", chain(_FINAL, **_RECORD_STEPS))
 def final_rows(spark, sf_dir):
     final = results.final_results(*record_tables(spark, sf_dir))
-    return final.withColumn("model_configuration", F.to_json("model_configuration")).select(*_FINAL_COLUMNS)
+    texts = {c: F.to_json(c) for c in ("feature_columns", "model_configuration")}
+    return final.withColumns(texts).select(*_FINAL_COLUMNS)
 
 
 @query(
