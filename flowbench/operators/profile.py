@@ -14,6 +14,7 @@ from flowbench.operators.order import exact_quantiles
 from flowbench.session import settle
 from flowbench.specs import ALL_NUMERIC, FeatureSet
 
+# Group and time columns a profile looks for.
 GROUP_COLUMNS = ("class", "dataset_source", "capture_file", "label_source")
 TIME_COLUMNS = ("timestamp", "flow_start_ts")
 

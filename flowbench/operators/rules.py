@@ -37,6 +37,7 @@ LIMITS = {
     "resets": 3.0,
 }
 
+# Rule names, and which of them decide alone or by two votes.
 STRONG = ("extreme_rate", "syn_flood", "amplification", "incomplete_tcp_burst")
 SUPPORTING = (
     "high_rate", "one_way_flood", "interarrival_burst", "regular_small_packet_burst",

@@ -9,10 +9,10 @@ from flowbench.operators.learners import FittedLearner, random_forest
 from flowbench.plans.catalog import query
 from flowbench.plans.flows import flows, runs, table
 from flowbench.plans.prep import prepare_split, saved_membership
-from flowbench.plans.queries_cleaning import COMMON, prepared, round_all
+from flowbench.plans.queries_cleaning import prepared, round_all
 from flowbench.plans.queries_learners import FEATURES, LEARNABLE, learnable_parts
 from flowbench.plans.queries_metrics import _CLASS_STEPS, _CLASSES, pairs_of
-from flowbench.plans.queries_splits import COMMON_SET, EVENTS, KEY, ranked_steps
+from flowbench.plans.queries_splits import COMMON_SET, EVENTS, ranked_steps
 from flowbench.plans.texts import on_flows, on_prepared, on_runs
 from flowbench.session import shared_folder
 from flowbench.sources import sinks

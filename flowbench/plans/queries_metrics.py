@@ -21,7 +21,6 @@ from flowbench.plans.texts import (
     SCORED_COLUMNS,
     STRICT,
     binary_metric_steps,
-    chain,
     on_flows,
     on_prepared,
     ratio,

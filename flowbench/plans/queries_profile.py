@@ -8,7 +8,7 @@ from flowbench.functions.names import column_kinds, find_label, normalise_column
 from flowbench.functions.values import is_infinite
 from flowbench.operators import profile
 from flowbench.plans.catalog import query
-from flowbench.plans.flows import flows, table
+from flowbench.plans.flows import flows
 from flowbench.plans.texts import STRICT, on_flows
 from flowbench.sources.tables import first_rows, read_by_suffix, read_table
 from flowbench.specs import COMMON_FEATURES

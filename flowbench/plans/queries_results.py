@@ -12,6 +12,7 @@ from flowbench.plans.flows import RUNS_SQL, runs, table
 from flowbench.plans.texts import chain, on_runs
 from flowbench.sources.sinks import csv_ready, union_runs
 
+# The four train/test directions of the transfer matrix.
 DIRECTIONS = {
     "matrix_cic_train_cic_test": "cic_to_cic",
     "matrix_cic_train_botnet_test": "cic_to_botnet",

@@ -235,6 +235,7 @@ def compact_matrix(
 
 # --- run records ---------------------------------------------------------------------------------------------------
 
+# The scalar columns of the run index.
 COMPACT_KEYS = {
     "run_id": "string", "model_id": "string", "dataset_id": "string", "split_id": "string", "stage": "string",
     "status": "string", "runner": "string", "problem_type": "string", "accuracy": "double",

@@ -2,7 +2,6 @@ import datetime
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbench.functions import names, values
