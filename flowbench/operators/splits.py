@@ -53,13 +53,17 @@ def _leading_digits(share: Column) -> Column:
 
 
 def share_rows(strata: DataFrame, total: Column) -> DataFrame:
-    """``stratum, n`` plus the stratum's quota of ``total`` rows: whole shares, then largest remainders."""
+    """``stratum, n`` plus the stratum's quota of ``total`` rows: whole shares, then largest remainders.
+
+    Products of row numbers are decimals of 38 digits: exact for up to 10**19 rows.
+    """
     everything = W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     n_all = F.sum("n").over(everything)
     shares = strata.withColumn("_all", n_all).withColumn("_total", total)
-    exact = F.col("_total") * F.col("n") / F.col("_all")
-    shares = shares.withColumn("_whole", F.floor(exact)).withColumn("_part", exact - F.floor(exact))
-    left = F.col("_total") - F.sum("_whole").over(everything)
+    product = "CAST(CAST(_total AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(19, 0)) AS DECIMAL(38, 0))"
+    shares = shares.withColumn("_whole", F.expr(f"{product} div CAST(_all AS DECIMAL(19, 0))"))
+    shares = shares.withColumn("_part", F.expr(f"{product} % CAST(_all AS DECIMAL(19, 0))"))
+    left = F.col("_total").cast("bigint") - F.sum("_whole").over(everything)
     place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("_part"), "stratum"))
     return shares.select(
         "stratum", "n", (F.col("_whole") + F.when(place <= left, 1).otherwise(0)).cast("bigint").alias("quota")
