@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowbench.functions.values import ratio
 from flowbench.operators.order import with_range
+from flowbench.session import checkpoint
 
 COUNTS = ("tn", "fp", "fn", "tp")
 DEFAULT_THRESHOLD = 0.5
@@ -190,10 +191,10 @@ def confusion_cells(pairs: DataFrame, classes: Sequence | None = None) -> DataFr
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Exact area under the ROC curve of 0/1 truth, ties counted half; null if a class is absent.
 
-    Rows are first tallied per score. Ranges of scores are summed apart and combined by their totals, so no
-    task sees the whole score order.
+    Rows are first tallied per score, and the tallies are kept: bounds of score ranges are quantiles of distinct scores,
+    so a score that most rows share weighs no more than another. Ranges are summed apart and combined by their totals.
     """
-    tallies = (
+    tallies = checkpoint(
         df.where(F.col(score).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(
@@ -201,7 +202,7 @@ def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
             F.count(F.when(F.col(truth) == 0, 1)).cast("double").alias("neg"),
         )
     )
-    ranged = with_range(tallies, "score", bounds_from=df.select(F.col(score).alias("score")))
+    ranged = with_range(tallies, "score")
     inside = W.partitionBy("_range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0.0))
     per_range = (
@@ -226,7 +227,7 @@ def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def roc_auc_by(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
     """The same area for each group; every (group, score range) is its own window."""
-    tallies = (
+    tallies = checkpoint(
         df.where(F.col(score).isNotNull())
         .groupBy(*keys, F.col(score).cast("double").alias("score"))
         .agg(
@@ -234,7 +235,7 @@ def roc_auc_by(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> Da
             F.count(F.when(F.col(truth) == 0, 1)).cast("double").alias("neg"),
         )
     )
-    ranged = with_range(tallies, "score", bounds_from=df.select(F.col(score).alias("score")))
+    ranged = with_range(tallies, "score")
     inside = W.partitionBy(*keys, "_range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     per_range = (
         ranged.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0.0)))
@@ -271,11 +272,16 @@ def roc_auc_ovr(df: DataFrame, truth: str, scores: Mapping[str, str]) -> DataFra
 
 
 def _last_threshold(score: Column) -> Column:
-    """The largest v in 4..95 with score >= v / 100, as exact doubles (4 stands for below all)."""
-    near = F.floor(score * 100)
+    """The largest v in 4..95 with score >= v / 100, as exact doubles (4 stands for below all).
+
+    No threshold is passed by a null or NaN score.
+    """
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))  # infinite scores have no place to round to
+    near = F.floor(bounded * 100)
     up, down = (near + 1).cast("double") / 100, near.cast("double") / 100
-    exact = F.when(score >= up, near + 1).when(score < down, near - 1).otherwise(near)
-    return F.greatest(F.lit(4), F.least(F.lit(95), exact)).cast("int")
+    exact = F.when(bounded >= up, near + 1).when(bounded < down, near - 1).otherwise(near)
+    passed = F.greatest(F.lit(4), F.least(F.lit(95), exact)).cast("int")
+    return F.when(score.isNull() | F.isnan(score), F.lit(4)).otherwise(passed)
 
 
 def threshold_counts(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -311,10 +317,10 @@ def best_threshold(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 
 def apply_threshold(df: DataFrame, score: str, chosen: float, default: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Adds the 0/1 predictions under the chosen and the default threshold."""
-    return df.withColumns(
-        {
-            "prediction": (F.col(score) >= F.lit(float(chosen))).cast("int"),
-            "default_prediction": (F.col(score) >= F.lit(float(default))).cast("int"),
-        }
-    )
+    """Adds the 0/1 predictions under the chosen and the default threshold; a null or NaN score passes none."""
+    value = F.col(score).cast("double")
+
+    def passes(limit: float) -> Column:
+        return F.coalesce((value >= F.lit(float(limit))) & ~F.isnan(value), F.lit(False)).cast("int")
+
+    return df.withColumns({"prediction": passes(chosen), "default_prediction": passes(default)})

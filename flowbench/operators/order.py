@@ -15,11 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowbench.session import checkpoint
+
 # Bounds of the number of ranges: enough for every task of a big cluster, few enough for the driver.
 LEAST_RANGES, MOST_RANGES = 256, 8192
-# Range bounds of texts are cut to this length: any text may serve as a bound.
-BOUND_LENGTH = 64
-# Up to this many values Spark's own exact percentile (one value-to-count map per column) is used.
+# Ranges of other values than numbers, at least: no range holds much more than a hundredth of the values.
+LEAST_VALUE_RANGES = 128
+# Up to this many values in all columns together Spark's own exact percentile (a value-to-count map per column) is used.
 PERCENTILE_VALUES = 1_000_000
 
 
@@ -34,32 +36,17 @@ def _numeric_bounds(df: DataFrame, column: str, ranges: int) -> list[float]:
     return sorted({c for c in (row["cuts"] or []) if c is not None and math.isfinite(c)})
 
 
-def _text_bounds(df: DataFrame, column: str, ranges: int) -> list[str]:
-    """Texts that cut the order into ranges of similar size. They steer balance only, not the result.
-
-    Each text is compared with every bound, so there are fewer of them than numeric ranges.
-    """
-    ranges = min(ranges, LEAST_RANGES)
-    picked = (
-        df.select(F.substring(column, 1, BOUND_LENGTH).alias("b"), F.xxhash64(column).alias("_h"))
-        .orderBy("_h").limit(ranges * 20).select("b").collect()
-    )
-    texts = sorted({r[0] for r in picked if r[0] is not None}, key=lambda t: t.encode())
-    step = max(1, len(texts) // ranges)
-    return texts[::step]
-
-
 def with_range(
-    df: DataFrame, column: str, out: str = "_range", ranges: int | None = None, bounds_from: DataFrame | None = None
+    df: DataFrame, column: str, out: str = "_range", ranges: int | None = None
 ) -> DataFrame:
     """Adds a range number that never decreases along the order of ``column``.
 
-    ``bounds_from`` may name a cheaper table with the same column to take the range bounds from.
+    Bounds of numbers are approximate quantiles. Other values are dealt out by Spark's range partitioner, whose sampled bounds
+    are whole values, and kept: equal values share a range, and a range is a partition.
     """
-    source = df if bounds_from is None else bounds_from
     ranges = ranges or range_count(df.sparkSession)
     if isinstance(df.schema[column].dataType, T.NumericType):
-        cuts = _numeric_bounds(source, column, ranges)
+        cuts = _numeric_bounds(df, column, ranges)
         if not cuts:
             return df.withColumn(out, F.lit(0))
         splits = [float("-inf"), *cuts, float("inf")]
@@ -67,8 +54,8 @@ def with_range(
             df.withColumn("_value", F.col(column).cast("double"))
         )
         return ranged.withColumn(out, F.col(out).cast("int")).drop("_value")
-    bounds = _text_bounds(source, column, ranges)
-    return df.withColumn(out, F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))))
+    ranges = max(LEAST_VALUE_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return checkpoint(df.repartitionByRange(min(ranges, MOST_RANGES), column).withColumn(out, F.spark_partition_id()))
 
 
 def running_before(df: DataFrame, order: str, totals: Mapping[str, str], ranges: int | None = None) -> DataFrame:
@@ -126,7 +113,12 @@ def exact_quantiles(
         *[F.percentile_approx(e, points[c], 10_000).alias(f"s|{c}") for c, e in columns.items()],
     ).first()
     sizes = {c: first[f"n|{c}"] for c in wanted}
-    small = [c for c in wanted if sizes[c] <= direct_limit]
+    # All columns of the one aggregate share the bound, the smallest first.
+    small, held = [], 0
+    for c in sorted(wanted, key=lambda c: sizes[c]):
+        if held + sizes[c] <= direct_limit:
+            small.append(c)
+            held += sizes[c]
     result: dict[str, list[float | None]] = {}
     if small:
         row = df.agg(*[F.percentile(columns[c], F.array(*map(F.lit, wanted[c]))).alias(c) for c in small]).first()

@@ -344,8 +344,10 @@ def area_one_versus_rest(spark, sf_dir):
 
 # --- thresholds --------------------------------------------------------------------------------------------------
 
-# A score that grows with the rate, on a label the rate explains in part.
-_SCORED = f"SELECT flow_id, CASE {ATTACK_RULE} WHEN 'Attack' THEN 1 ELSE 0 END AS truth, least(1.0, flow_packets_s / 8000 + (flow_id % 7) * CAST(0.03 AS DOUBLE)) AS p FROM {{flows}}"
+# A score that grows with the rate, on a label the rate explains in part. Some scores are null, some are not a number: both pass
+# no threshold.
+_SCORED = f"SELECT flow_id, CASE {ATTACK_RULE} WHEN 'Attack' THEN 1 ELSE 0 END AS truth, CASE WHEN flow_id % 53 = 0 THEN NULL WHEN flow_id % 59 = 0 THEN CAST('NaN' AS DOUBLE) ELSE least(1.0, flow_packets_s / 8000 + (flow_id % 7) * CAST(0.03 AS DOUBLE)) END AS p FROM {{flows}}"
+_PASSES = "coalesce(p >= {} AND NOT isnan(p), false)"
 
 
 def scored(spark, sf_dir):
@@ -356,7 +358,7 @@ def scored(spark, sf_dir):
 _SWEEP_STEPS = {
     "scored_rows": _SCORED.format(flows="flows").replace("least(1.0,", "least(CAST(1 AS DOUBLE),"),
     "sweep": "SELECT v, v / CAST(100 AS DOUBLE) AS threshold, " + ", ".join(
-        f"count(CASE WHEN truth = {t} AND (p >= v / CAST(100 AS DOUBLE)) = {p} THEN 1 END) AS {n}"
+        f"count(CASE WHEN truth = {t} AND {_PASSES.format('v / CAST(100 AS DOUBLE)')} = {p} THEN 1 END) AS {n}"
         for n, t, p in (("tn", 0, "false"), ("fp", 0, "true"), ("fn", 1, "false"), ("tp", 1, "true"))
     ) + " FROM scored_rows, generate_series(5, 95) g(v) GROUP BY v",
 }
@@ -383,8 +385,10 @@ def threshold_choice(spark, sf_dir):
 @query(
     "j19_two_thresholds",
     on_flows(
-        "SELECT 'chosen' AS rule, count(CASE WHEN truth = 1 AND p >= 0.4::DOUBLE THEN 1 END) AS tp, count(CASE WHEN truth = 0 AND p >= 0.4::DOUBLE THEN 1 END) AS fp FROM scored_rows "
-        "UNION ALL SELECT 'default', count(CASE WHEN truth = 1 AND p >= 0.5::DOUBLE THEN 1 END), count(CASE WHEN truth = 0 AND p >= 0.5::DOUBLE THEN 1 END) FROM scored_rows",
+        " UNION ALL ".join(
+            f"SELECT '{rule}' AS rule, " + ", ".join(f"count(CASE WHEN truth = {t} AND {_PASSES.format(f'{limit}::DOUBLE')} = {p} THEN 1 END) AS {n}" for n, t, p in (("tn", 0, "false"), ("fp", 0, "true"), ("fn", 1, "false"), ("tp", 1, "true"))) + " FROM scored_rows"
+            for rule, limit in (("chosen", 0.4), ("default", 0.5))
+        ),
         **_SWEEP_STEPS,
     ),
 )
@@ -399,7 +403,7 @@ def two_thresholds(spark, sf_dir):
             )
         ),
     )
-    return metrics.confusion(both, "truth", "guess", by=["rule"]).select("rule", "tp", "fp")
+    return metrics.confusion(both, "truth", "guess", by=["rule"]).select("rule", "tn", "fp", "fn", "tp")
 
 
 @query("h_sigmoid", on_flows("SELECT flow_id, round(1 / (1 + exp(-(flow_packets_s - 3000) / 1000)), 6) AS p FROM flows"))
