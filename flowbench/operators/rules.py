@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,34 +19,90 @@ CORE = (
     "flow_packets_s", "flow_bytes_s", "syn_flag_count",
 )
 
-# Rule limits. Rates are per second, counts per flow, inter-arrival times in microseconds.
-LIMITS = {
-    "packet_rate_high": 25_000.0,
-    "packet_rate_extreme": 100_000.0,
-    "byte_rate_high": 1_000_000.0,
-    "byte_rate_extreme": 10_000_000.0,
-    "packet_rate_syn": 10_000.0,
-    "packet_rate_one_way": 5_000.0,
-    "packets_forward": 20.0,
-    "packets_many": 40.0,
-    "bytes_forward": 10_000.0,
-    "byte_rate_amplified": 500_000.0,
-    "reply_ratio": 5.0,
-    "iat_mean_fast": 1_000.0,
-    "iat_std_fast": 5_000.0,
-    "size_mean_small": 256.0,
-    "size_std_small": 25.0,
-    "resets": 3.0,
-}
-
-# Rule names, and which of them decide alone or by two votes.
-STRONG = ("extreme_rate", "syn_flood", "amplification", "incomplete_tcp_burst")
-SUPPORTING = (
-    "high_rate", "one_way_flood", "interarrival_burst", "regular_small_packet_burst",
-    "control_packet_flood", "reset_flood", "subflow_burst",
+@dataclass(frozen=True)
+class Test:
+    """``column`` compared with ``limit``, or with ``limit`` times one more than ``per``.
+
+    ``a+b`` is the sum of two columns. A test on a column that the table lacks gives ``absent``.
+    """
+
+    column: str
+    sign: str
+    limit: float
+    per: str | None = None
+    absent: bool = False
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Holds if every test of ``all_of`` and one of ``any_of`` (if there are any) hold, and, if ``fast``, the flow is fast.
+
+    A rule that decides alone flags a flow; of the others two have to agree.
+    """
+
+    name: str
+    alone: bool
+    fast: bool = False
+    all_of: tuple[Test, ...] = ()
+    any_of: tuple[Test, ...] = ()
+
+
+_PACKETS = "total_fwd_packets+total_bwd_packets"
+# The limits of the rules, per second for rates, per flow for counts, in microseconds for times. What makes a flow
+# fast, and the rules in the order in which they are reported.
+FAST = (Test("flow_packets_s", ">=", 25_000), Test("flow_bytes_s", ">=", 1_000_000))
+RULE_TABLE = (
+    Rule("extreme_rate", True, any_of=(Test("flow_packets_s", ">=", 100_000), Test("flow_bytes_s", ">=", 10_000_000))),
+    Rule("high_rate", False, fast=True),
+    Rule(
+        "syn_flood",
+        True,
+        all_of=(Test("syn_flag_count", ">=", 1), Test("total_bwd_packets", "<=", 1), Test("ack_flag_count", "==", 0, absent=True)),
+        any_of=(Test("total_fwd_packets", ">=", 20), Test("flow_packets_s", ">=", 10_000)),
+    ),
+    Rule(
+        "one_way_flood",
+        False,
+        all_of=(Test("total_bwd_packets", "==", 0), Test("total_fwd_packets", ">=", 20)),
+        any_of=(Test("total_fwd_bytes", ">=", 10_000), Test("flow_packets_s", ">=", 5_000)),
+    ),
+    Rule(
+        "amplification",
+        True,
+        all_of=(Test("total_bwd_packets", ">=", 5), Test("flow_bytes_s", ">=", 500_000), Test("total_bwd_bytes", ">=", 5, per="total_fwd_bytes")),
+    ),
+    Rule("interarrival_burst", False, fast=True, all_of=(Test(_PACKETS, ">=", 40), Test("flow_iat_mean", "<=", 1_000), Test("flow_iat_std", "<=", 5_000))),
+    Rule(
+        "regular_small_packet_burst",
+        False,
+        fast=True,
+        all_of=(Test(_PACKETS, ">=", 40), Test("packet_length_mean", "<=", 256), Test("packet_length_std", "<=", 25)),
+    ),
+    Rule(
+        "control_packet_flood",
+        False,
+        fast=True,
+        all_of=(Test("total_fwd_packets", ">=", 20), Test("fwd_act_data_packets", "<=", 1), Test("fwd_header_length", ">=", 0.5, per="total_fwd_bytes")),
+    ),
+    Rule("reset_flood", False, fast=True, all_of=(Test("total_bwd_packets", "<=", 1), Test("rst_flag_count", ">=", 3))),
+    Rule("subflow_burst", False, fast=True, all_of=(Test("subflow_fwd_packets", ">=", 40), Test("subflow_bwd_packets", "<=", 1))),
+    Rule(
+        "incomplete_tcp_burst",
+        True,
+        fast=True,
+        all_of=(
+            Test("syn_flag_count", ">=", 1),
+            Test("total_bwd_packets", "==", 0),
+            Test("ack_flag_count", "==", 0),
+            Test("psh_flag_count", "==", 0),
+            Test("fin_flag_count", "==", 0),
+        ),
+    ),
 )
-RULES = ("extreme_rate", "high_rate", "syn_flood", "one_way_flood", "amplification", "interarrival_burst",
-         "regular_small_packet_burst", "control_packet_flood", "reset_flood", "subflow_burst", "incomplete_tcp_burst")
+STRONG = tuple(r.name for r in RULE_TABLE if r.alone)
+SUPPORTING = tuple(r.name for r in RULE_TABLE if not r.alone)
+RULES = tuple(r.name for r in RULE_TABLE)
+_SIGNS = {">=": operator.ge, "<=": operator.le, "==": operator.eq}
 
 
 def _cell(name: str) -> Column:
@@ -53,59 +111,26 @@ def _cell(name: str) -> Column:
     return F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
 
 
+def _holds(test: Test, have: set[str]) -> Column:
+    names = test.column.split("+")
+    if not have.issuperset(names):
+        return F.lit(test.absent)
+    limit = F.lit(float(test.limit)) if test.per is None else F.lit(float(test.limit)) * (_cell(test.per) + 1)
+    return _SIGNS[test.sign](reduce(operator.add, map(_cell, names)), limit)
+
+
 def flow_rules(columns: Sequence[str]) -> dict[str, Column]:
-    """The eleven rules as boolean columns. A rule whose optional columns are absent never fires; without an
+    """The rules of the table as boolean columns. A rule whose optional columns are absent never fires; without an
     ACK column every flow counts as having no ACK in the SYN rule."""
     have = set(columns)
-    fwd, bwd, fwd_bytes, bwd_bytes, packet_rate, byte_rate, syn = (_cell(c) for c in CORE)
-    at = {k: F.lit(v) for k, v in LIMITS.items()}
-    never = F.lit(False)
-
-    def only_with(names: tuple[str, ...], rule) -> Column:
-        return rule(*[_cell(n) for n in names]) if have.issuperset(names) else never
-
-    high = (packet_rate >= at["packet_rate_high"]) | (byte_rate >= at["byte_rate_high"])
-    many = fwd + bwd >= at["packets_many"]
-    few_replies = bwd <= 1
-    without_ack = _cell("ack_flag_count") == 0 if "ack_flag_count" in have else F.lit(True)
-    return {
-        "extreme_rate": (packet_rate >= at["packet_rate_extreme"]) | (byte_rate >= at["byte_rate_extreme"]),
-        "high_rate": high,
-        "syn_flood": without_ack
-        & (syn >= 1)
-        & few_replies
-        & ((fwd >= at["packets_forward"]) | (packet_rate >= at["packet_rate_syn"])),
-        "one_way_flood": (bwd == 0)
-        & (fwd >= at["packets_forward"])
-        & ((fwd_bytes >= at["bytes_forward"]) | (packet_rate >= at["packet_rate_one_way"])),
-        "amplification": (bwd >= 5)
-        & (byte_rate >= at["byte_rate_amplified"])
-        & (bwd_bytes >= at["reply_ratio"] * (fwd_bytes + 1)),
-        "interarrival_burst": only_with(
-            ("flow_iat_mean", "flow_iat_std"),
-            lambda mean, std: high & many & (mean <= at["iat_mean_fast"]) & (std <= at["iat_std_fast"]),
-        ),
-        "regular_small_packet_burst": only_with(
-            ("packet_length_mean", "packet_length_std"),
-            lambda mean, std: high & many & (mean <= at["size_mean_small"]) & (std <= at["size_std_small"]),
-        ),
-        "control_packet_flood": only_with(
-            ("fwd_header_length", "fwd_act_data_packets"),
-            lambda header, data: high
-            & (fwd >= at["packets_forward"])
-            & (data <= 1)
-            & (header >= F.lit(0.5) * (fwd_bytes + 1)),
-        ),
-        "reset_flood": only_with(("rst_flag_count",), lambda rst: high & few_replies & (rst >= at["resets"])),
-        "subflow_burst": only_with(
-            ("subflow_fwd_packets", "subflow_bwd_packets"),
-            lambda sub_fwd, sub_bwd: high & (sub_fwd >= at["packets_many"]) & (sub_bwd <= 1),
-        ),
-        "incomplete_tcp_burst": only_with(
-            ("ack_flag_count", "psh_flag_count", "fin_flag_count"),
-            lambda ack, psh, fin: high & (syn >= 1) & (bwd == 0) & (ack == 0) & (psh == 0) & (fin == 0),
-        ),
-    }
+    fast = reduce(operator.or_, [_holds(t, have) for t in FAST])
+    found = {}
+    for rule in RULE_TABLE:
+        parts = [fast] * rule.fast + [_holds(t, have) for t in rule.all_of]
+        if rule.any_of:
+            parts.append(reduce(operator.or_, [_holds(t, have) for t in rule.any_of]))
+        found[rule.name] = reduce(operator.and_, parts)
+    return found
 
 
 def with_rules(df: DataFrame, prefix: str = "rule_") -> DataFrame:
