@@ -6,11 +6,15 @@ import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A table is sent to every executor only after it was counted and found to have at most this many rows.
 BROADCAST_ROWS = 100_000
+# … and its texts this many bytes.
+BROADCAST_BYTES = 64_000_000
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
 
 def build_session(
@@ -49,7 +53,7 @@ def _shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="flowbench-")
     if context.getCheckpointDir() is None:
@@ -68,17 +72,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+def _bytes_of(df: DataFrame) -> Column:
+    """Bytes of a row's cells of no fixed width, as text."""
+    wide = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, _FIXED_WIDTH)]
+    sizes = [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)).cast("bigint") for c in wide]
+    return sum(sizes, F.lit(0).cast("bigint"))
+
+
+def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
     """Run a plan that is expected to give a small table once, so that later plans reuse its rows.
 
-    Up to ``max_rows`` rows come back as a local table marked for broadcast, with their number. A larger
-    result is checkpointed in full and left to an ordinary shuffle join, so no size of input is refused.
+    Up to ``max_rows`` rows of ``max_bytes`` in all come back as a local table marked for broadcast, with their number. A larger
+    result is checkpointed in full and left to an ordinary shuffle join, so no size of input is refused. Rows with texts or
+    other cells of no fixed width are checkpointed and measured before they go to the driver.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.num_rows
+    if all(isinstance(f.dataType, _FIXED_WIDTH) for f in df.schema.fields):
+        rows = df.limit(max_rows + 1).toArrow()
+        if rows.num_rows <= max_rows:
+            return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.num_rows
+        kept = checkpoint(df)
+        return kept, kept.count()
     kept = checkpoint(df)
-    return kept, kept.count()
+    n, size = kept.agg(F.count("*"), F.coalesce(F.sum(_bytes_of(kept)), F.lit(0))).first()
+    if n > max_rows or size > max_bytes:
+        return kept, n
+    return F.broadcast(df.sparkSession.createDataFrame(kept.toArrow(), df.schema)), n
 
 
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
