@@ -101,11 +101,6 @@ def sigmoid(x: Column) -> Column:
 # --- cleaning of whole tables ---------------------------------------------------------------------------------
 
 
-def finite_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Feature cells as finite doubles or null."""
-    return df.withColumns({c: finite_or_null(c) for c in features})
-
-
 def complete_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Rows whose features and label are all present, features as doubles; other columns may be null.
 
@@ -143,14 +138,15 @@ def with_rates(
 
 
 def utc_micros(value: Column | str, kind: T.DataType) -> Column:
-    """Microseconds since 1970 in UTC: numbers are epoch seconds, texts are timestamps, bad cells are null.
+    """Microseconds since 1970 in UTC: numbers are epoch seconds, texts are timestamps, bad cells are null,
+    numbers outside the range of 64 bits, too.
 
     The result does not depend on the session time zone.
     """
     col = as_column(value)
     if isinstance(kind, T.NumericType):
         seconds = finite_or_null(col)
-        return F.round(seconds * F.lit(1e6)).cast("bigint")
+        return F.round(seconds * F.lit(1e6)).try_cast("bigint")
     if isinstance(kind, T.TimestampNTZType):
         return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col)
     if isinstance(kind, (T.TimestampType, T.DateType)):

@@ -33,11 +33,6 @@ def on_prepared(final: str, **steps: str) -> str:
     return chain(final, flows=FLOWS_SQL, prepared=PREPARED, **steps)
 
 
-def on_learnable(final: str, **steps: str) -> str:
-    """Flows labelled by the attack rule, as ``flows``."""
-    return chain(final, base=FLOWS_SQL, flows=f"SELECT * EXCLUDE (label), {ATTACK_RULE} AS label FROM base", **steps)
-
-
 def on_runs(final: str, **steps: str) -> str:
     return chain(final, runs=RUNS_SQL, **steps)
 

@@ -63,11 +63,6 @@ def json_text(df: DataFrame, out: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(out))
 
 
-def write_record(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Nested records as JSON lines."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
-
-
 def _flat_cell(name: str, kind: T.DataType) -> Column:
     cell = F.col(f"`{name}`")
     if isinstance(kind, T.StructType):
