@@ -69,53 +69,79 @@ def running_quality(spark, sf_dir):
     return out.withColumns({c: F.unix_micros(c) for c in ("earliest", "latest")})
 
 
-_FLAGGED = rule_steps("flows")
-
-
-@query(
-    "l5_detections_per_window",
-    on_flows("SELECT epoch_us(flow_start_ts) // 600000000 * 600000000 AS start_us, count(*) AS flows, CAST(sum(prediction) AS BIGINT) AS flagged FROM flagged GROUP BY 1", **_FLAGGED),
-)
+# The same flows as four files in the order of time, one for each micro-batch; every fiftieth flow arrives with the last file.
+# A batch drops rows whose window ended before the watermark of the batch before it: ten minutes before the newest flow of
+# the first two files, for the last one. A window is emitted once the watermark, at the end ten minutes before the newest flow, passes it.
+_PARTS = 4
+_ARRIVED = """SELECT *, CASE WHEN {late} THEN 3 ELSE CAST(floor(4 * (us - lo) / (hi - lo + 1)) AS INTEGER) END AS part
+  FROM (SELECT *, min(us) OVER () AS lo, max(us) OVER () AS hi FROM (SELECT *, epoch_us(flow_start_ts) AS us FROM {source}))"""
+_FLAGGED = {
+    **rule_steps("flows"),
+    "arrived": _ARRIVED.format(late="flow_id % 50 = 0", source="flagged"),
+    "marks": "SELECT max(us) - 600000000 AS at_end, max(CASE WHEN part < 2 THEN us END) - 600000000 AS before_last FROM arrived",
+}
+
+
+def _windows(starts: str, length: int) -> str:
+    return f"""SELECT s AS start_us, count(*) AS flows, CAST(sum(prediction) AS BIGINT) AS flagged
+      FROM (SELECT prediction, part, unnest({starts}) AS s FROM arrived), marks
+      WHERE s + {length} <= at_end AND (part < 3 OR s + {length} > before_last) GROUP BY 1"""
+
+
+def arriving_flows(spark, sf_dir, delayed=None):
+    """The events written to a new folder as ``_PARTS`` files in time order, and read from there one file at a time."""
+    events = table(spark, sf_dir, "events")
+    us = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts"))
+    lo, hi = events.agg(F.min(us), F.max(us)).first()
+    part = F.floor(_PARTS * (us - lo) / (hi - lo + 1))
+    if delayed is not None:
+        part = F.when(F.expr(delayed), _PARTS - 1).otherwise(part)
+    folder = shared_folder(spark, "arrivals")
+    for i in range(_PARTS):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return flows_of(streams.read_stream(spark, folder, events.schema, files_per_batch=1))
+
+
+@query("l5_detections_per_window", on_flows(_windows("[us // 600000000 * 600000000]", 600_000_000), **_FLAGGED))
 def detections_per_window(spark, sf_dir):
-    stream = streams.event_time(streams.rule_scores(flow_stream(spark, sf_dir)), "flow_start_ts")
-    out = streams.final_state(streams.detections_per_window(stream, "flow_start_ts"))
+    stream = streams.event_time(streams.rule_scores(arriving_flows(spark, sf_dir, "event_id % 50 = 0")), "flow_start_ts")
+    out = streams.to_table(streams.detections_per_window(stream, "flow_start_ts"))
     return out.select(F.unix_micros("start").alias("start_us"), "flows", "flagged")
 
 
 @query(
     "l5_detections_per_sliding_window",
-    on_flows(
-        "SELECT s AS start_us, count(*) AS flows, CAST(sum(prediction) AS BIGINT) AS flagged FROM (SELECT prediction, unnest([epoch_us(flow_start_ts) // 600000000 * 600000000, epoch_us(flow_start_ts) // 600000000 * 600000000 - 600000000]) AS s FROM flagged) GROUP BY 1",
-        **_FLAGGED,
-    ),
+    on_flows(_windows("[us // 600000000 * 600000000, us // 600000000 * 600000000 - 600000000]", 1_200_000_000), **_FLAGGED),
 )
 def detections_per_sliding_window(spark, sf_dir):
-    stream = streams.event_time(streams.rule_scores(flow_stream(spark, sf_dir)), "flow_start_ts")
-    out = streams.final_state(streams.detections_per_window(stream, "flow_start_ts", "20 minutes", "10 minutes"))
+    stream = streams.event_time(streams.rule_scores(arriving_flows(spark, sf_dir, "event_id % 50 = 0")), "flow_start_ts")
+    out = streams.to_table(streams.detections_per_window(stream, "flow_start_ts", "20 minutes", "10 minutes"))
     return out.select(F.unix_micros("start").alias("start_us"), "flows", "flagged")
 
 
+# Files in time order; sessions that ended an hour before the newest flow are final.
 @query(
     "l6_source_sessions",
     on_flows(
-        """SELECT src_host, min(us) AS start_us, max(us) + 86400000000 AS end_us, count(*) AS flows FROM
+        """SELECT * FROM (SELECT src_host, min(us) AS start_us, max(us) + 86400000000 AS end_us, count(*) AS flows FROM
         (SELECT *, sum(fresh) OVER (PARTITION BY src_host ORDER BY us, flow_id ROWS UNBOUNDED PRECEDING) AS s FROM
           (SELECT src_host, flow_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY src_host ORDER BY us, flow_id) <= 86400000000 THEN 0 ELSE 1 END AS fresh FROM
-            (SELECT src_host, flow_id, epoch_us(flow_start_ts) AS us FROM flows))) GROUP BY src_host, s"""
+            (SELECT src_host, flow_id, epoch_us(flow_start_ts) AS us FROM flows))) GROUP BY src_host, s)
+        WHERE end_us <= (SELECT max(epoch_us(flow_start_ts)) - 3600000000 FROM flows)"""
     ),
 )
 def source_sessions(spark, sf_dir):
-    stream = streams.event_time(flow_stream(spark, sf_dir), "flow_start_ts")
-    out = streams.final_state(streams.source_sessions(stream, "flow_start_ts", "src_host", "1 day"))
+    stream = streams.event_time(arriving_flows(spark, sf_dir), "flow_start_ts")
+    out = streams.to_table(streams.source_sessions(stream, "flow_start_ts", "src_host", "1 day"))
     return out.select("src_host", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "flows")
 
 
 @query("l7_run_index", "SELECT concat('run', user_id) AS run_id, 1 AS copies FROM (SELECT DISTINCT user_id FROM events)")
 def run_index(spark, sf_dir):
-    # Every host reports its run with each of its events; the index keeps the run once.
-    stream = streams.event_time(flow_stream(spark, sf_dir), "flow_start_ts")
+    # Every host reports its run with each of its events, in every file; the index keeps the run once.
+    stream = streams.event_time(arriving_flows(spark, sf_dir, "event_id % 50 = 0"), "flow_start_ts")
     reports = stream.select(F.expr("concat('run', src_host)").alias("run_id"), "flow_start_ts")
     folder = shared_folder(spark, "index")
-    streams.append_new_runs(reports, "run_id", "flow_start_ts", folder, late="400 days")
+    streams.append_new_runs(reports, "run_id", "flow_start_ts", folder)
     index = spark.read.parquet(f"{folder}/index")
     return index.groupBy("run_id").agg(F.count("*").cast("int").alias("copies"))

@@ -24,10 +24,14 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
 
 def event_time(df: DataFrame, column: str, zone: str = "UTC") -> DataFrame:
     """The column as an instant, which watermarks need; a time without zone counts as ``zone``."""
-    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
-        micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(column))
-        return df.withColumn(column, F.timestamp_micros(micros))
-    return df.withColumn(column, F.col(column).cast("timestamp"))
+    if isinstance(df.schema[column].dataType, (T.TimestampType, T.DateType)):
+        return df.withColumn(column, F.col(column).cast("timestamp"))
+    text = F.col(column).cast("string")
+    bare = text.try_cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), bare)
+    local = F.to_utc_timestamp(F.timestamp_micros(micros), zone)
+    zoned = text.rlike(r"(?i)\d:\d.*(z|utc|[+-]\d{2}:?\d{2})$")
+    return df.withColumn(column, F.when(zoned, text.try_cast("timestamp")).otherwise(local))
 
 
 # --- plans that work on streams and on tables --------------------------------------------------------------------
@@ -48,10 +52,6 @@ def rule_scores(df: DataFrame) -> DataFrame:
     return predict_rules(df)
 
 
-def running_confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return confusion(df, truth, predicted)
-
-
 def running_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Binary metrics of everything seen so far."""
     return binary_metrics(confusion(df, truth, predicted))
@@ -133,12 +133,21 @@ def to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def append_new_runs(stream: DataFrame, run_id: str, time: str, folder: str, late: str = "1 day") -> None:
-    """Appends finished runs to the run index once each, even if a run is reported twice."""
+    """Appends finished runs to the run index once each, however often and how late a run is reported again.
+
+    Reports within ``late`` of each other are merged by state that the watermark frees; older ones are found in the index itself.
+    """
     once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([run_id])
+    done: set[int] = set()
 
     def append(batch: DataFrame, number: int) -> None:
         # One folder per batch: a batch that is run again after a failure replaces its own rows.
+        earlier = [f"{folder}/index/batch={n}" for n in sorted(done - {number})]
+        if earlier:
+            known = batch.sparkSession.read.schema(batch.schema).parquet(*earlier).select(run_id)
+            batch = batch.join(known, run_id, "left_anti")
         batch.write.mode("overwrite").parquet(f"{folder}/index/batch={number}")
+        done.add(number)
 
     run = (
         once.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/checkpoint")
