@@ -10,6 +10,7 @@ from flowbench.plans import results
 from flowbench.plans.catalog import query
 from flowbench.plans.flows import RUNS_SQL, runs, table
 from flowbench.plans.texts import chain, on_runs
+from flowbench.session import settle
 from flowbench.sources.sinks import csv_ready, union_runs
 
 # The four train/test directions of the transfer matrix.
@@ -102,12 +103,12 @@ def chains_of_fallbacks(spark, sf_dir):
 # --- registry and manifest joins -----------------------------------------------------------------------------------
 
 
-@query("d2_named_runs", on_runs("SELECT run_id, coalesce(n_name, 'unknown') AS model_name FROM runs LEFT JOIN nation ON n_nationkey = CAST(substr(model_id, 6) AS BIGINT) AND n_nationkey < 9"))
+@query("d2_named_runs", on_runs("SELECT run_id, CASE WHEN n_nationkey < 9 THEN n_name ELSE 'unknown' END AS model_name FROM runs LEFT JOIN nation ON n_nationkey = CAST(substr(model_id, 6) AS BIGINT)"))
 def named_runs(spark, sf_dir):
-    models = table(spark, sf_dir, "nation").where("n_nationkey < 9").select(
-        F.format_string("model%02d", F.col("n_nationkey")).alias("model_id"), F.col("n_name").alias("name")
+    models = table(spark, sf_dir, "nation").select(
+        F.format_string("model%02d", F.col("n_nationkey")).alias("model_id"), F.expr("CASE WHEN n_nationkey < 9 THEN n_name END").alias("name")
     )
-    joined = runs(spark, sf_dir).join(F.broadcast(models), "model_id", "left")  # a registry of at most nine models
+    joined = runs(spark, sf_dir).join(settle(models), "model_id", "left")
     return joined.select("run_id", or_token("name", "unknown").alias("model_name"))
 
 
@@ -305,7 +306,8 @@ def matrix_in_brief(spark, sf_dir):
 # --- final results -------------------------------------------------------------------------------------------------
 
 # Flat run records. Evaluation runs come from orders, training runs from customers, split records from nations and
-# the model registry from regions. Many fields are null, so that each fall-back is taken somewhere.
+# the model registry from regions. Many fields are null, and records named lost are not referred to, so that each fall-back
+# is taken somewhere.
 _EVALS = """SELECT concat('eval-', o_orderkey) AS run, o_orderkey AS k, concat('exp', o_custkey % 5) AS experiment_id, concat('model', o_custkey % 12) AS model,
   concat('split-', o_orderkey % 25) AS split_id, concat('set', o_orderkey % 3) AS dataset_id,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('runs/train-', o_custkey, '/model.bin') END AS model_path,
@@ -316,12 +318,12 @@ _EVALS = """SELECT concat('eval-', o_orderkey) AS run, o_orderkey AS k, concat('
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 1000 END AS tn, o_orderkey % 97 AS fp, o_orderkey % 89 AS fn, o_orderkey % 83 AS tp,
   o_totalprice / 1000000 AS f1, CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey % 5000 END AS m_rows, CASE WHEN o_orderkey % 17 = 0 THEN 5 END AS m_epochs
 FROM {orders}"""
-_TRAINS = """SELECT concat('train-', c_custkey) AS run, c_custkey AS k, CASE WHEN c_custkey % 3 = 1 THEN concat('split-', c_custkey % 25) END AS split_id,
+_TRAINS = """SELECT concat(CASE WHEN c_custkey % 6 = 5 THEN 'lost-' ELSE 'train-' END, c_custkey) AS run, c_custkey AS k, CASE WHEN c_custkey % 3 = 1 THEN concat('split-', c_custkey % 25) END AS split_id,
   concat('set', c_custkey % 4) AS dataset_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS train_s,
   CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 10 END AS full_rows, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 8 END AS used_rows,
   CASE WHEN c_custkey % 9 = 0 THEN c_custkey END AS row_cap, 10 AS epochs
-FROM {customer} WHERE c_custkey % 6 <> 5"""
-_SPLITS = "SELECT concat('split-', n_nationkey) AS split_id, concat('set', n_regionkey) AS dataset_id, n_nationkey * 100 AS train_rows, n_nationkey * 25 AS test_rows FROM {nation} WHERE n_nationkey < 20"
+FROM {customer}"""
+_SPLITS = "SELECT concat(CASE WHEN n_nationkey < 20 THEN 'split-' ELSE 'lost-' END, n_nationkey) AS split_id, concat('set', n_regionkey) AS dataset_id, n_nationkey * 100 AS train_rows, n_nationkey * 25 AS test_rows FROM {nation}"
 
 
 def record_tables(spark, sf_dir):
@@ -467,5 +469,5 @@ def problems_of_manifest(spark, sf_dir):
         F.expr("map(concat('model', c_nationkey % 12), concat('eval-', c_custkey * 11))").alias("runs"),
     )
     _, info, metrics, *_ = record_tables(spark, sf_dir)
-    scored = metrics.where("CAST(substring(run, 6) AS BIGINT) % 29 <> 0")
+    scored = metrics.withColumn("run", F.expr("CASE WHEN CAST(substring(run, 6) AS BIGINT) % 29 = 0 THEN concat('lost-', run) ELSE run END"))
     return results.manifest_problems(results.manifest_rows(manifest), info, scored)

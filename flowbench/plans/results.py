@@ -353,6 +353,7 @@ def final_results(
             "evaluated_on_split": F.coalesce("i_split_id", F.lit("")),
         }
     )
+    splits = settle(splits)  # runs without a split meet at one empty key
     rows = rows.join(_pre(splits, "a_"), F.col("trained_on_split") == F.col("a_split_id"), "left")
     rows = rows.join(_pre(splits, "b_"), F.col("evaluated_on_split") == F.col("b_split_id"), "left")
     named = settle(models.select(F.col("model_id").alias("r_model_id"), F.col("name").alias("r_name")))
