@@ -81,7 +81,7 @@ class GaussianNaiveBayes:
             grand = sum(m["n"] * m["m"][i] for m in moments.values()) / total
             spread = sum(m["n"] * (m["v"][i] + (m["m"][i] - grand) ** 2) for m in moments.values()) / total
             widest = max(widest, spread)
-        extra = self.smoothing * widest
+        extra = self.smoothing * (widest or 1.0)  # features that are all constant keep a variance above 0
         return FittedNaiveBayes(
             list(features),
             {y: math.log(m["n"] / total) for y, m in moments.items()},

@@ -1,6 +1,6 @@
 """Detectors on MLlib estimators under the one contract: ``fit(train, features, label)`` and ``score(df)``.
 
-Features are scaled with population statistics of the training rows; missing cells become 0 after scaling.
+Features are scaled with population statistics of the training rows; missing cells become 0 before it.
 Class weights, where asked for, are rows / (classes * rows of the class). Labels are integer codes from 0.
 """
 
@@ -47,7 +47,8 @@ def assemble(df: DataFrame, features: Sequence[str], stats: dict[str, tuple[floa
 def with_scores(df: DataFrame, classes: int) -> DataFrame:
     """``prediction`` as integer and, from the model's probability or else its raw margin, a score.
 
-    Two classes: ``probability`` of class 1. More: the array ``probabilities``. Neither, if the model has none.
+    Two classes: ``probability`` of class 1, or ``margin`` of a model without probabilities. More: the array ``probabilities`` or
+    ``margins``. Neither, if the model has none.
     """
     out = df
     source = next((c for c in ("probability", "rawPrediction") if c in df.columns), None)
@@ -60,7 +61,8 @@ def with_scores(df: DataFrame, classes: int) -> DataFrame:
     out = out.withColumn("prediction", F.col("prediction").cast("int"))
     out = out.drop("probability", "rawPrediction", VECTOR, "_encoded")
     if source is not None:
-        out = out.withColumnRenamed("_score", "probability" if classes == 2 else "probabilities")
+        one, many = ("probability", "probabilities") if source == "probability" else ("margin", "margins")
+        out = out.withColumnRenamed("_score", one if classes == 2 else many)
     return out
 
 
@@ -113,6 +115,7 @@ class Learner:
     balanced: bool = False
     anova_k: int | None = None
     rfe_features: int | None = None
+    rfe_tree: dict = field(default_factory=dict)
     seed: int = 42
 
     def fit(self, train: DataFrame, features: Sequence[str], label: str) -> FittedLearner:
@@ -135,7 +138,7 @@ class Learner:
         rows = rows.select(VECTOR, TARGET, *([WEIGHT] if self.balanced else [])).persist()
         try:
             if self.rfe_features is not None and self.rfe_features < len(features):
-                kept = eliminate_features(rows, len(features), max(1, self.rfe_features), self.balanced, self.seed)
+                kept = eliminate_features(rows, len(features), max(1, self.rfe_features), self.balanced, self.seed, **self.rfe_tree)
                 features = [features[i] for i in kept]
                 stats = None if stats is None else {c: stats[c] for c in features}
                 rows_kept = VectorSlicer(inputCol=VECTOR, outputCol="_kept", indices=kept).transform(rows)
@@ -149,13 +152,13 @@ class Learner:
         return FittedLearner(self.name, list(features), stats, classes, model, facts)
 
 
-def eliminate_features(rows: DataFrame, n: int, wanted: int, weighted: bool, seed: int = 42) -> list[int]:
-    """Positions of the features left after dropping the least important one, tree by tree."""
+def eliminate_features(rows: DataFrame, n: int, wanted: int, weighted: bool, seed: int = 42, **tree) -> list[int]:
+    """Positions of the features left after dropping the least important one, tree by tree; ``tree`` has the trees' settings."""
     kept = list(range(n))
     while len(kept) > wanted:
         sliced = VectorSlicer(inputCol=VECTOR, outputCol="_kept", indices=kept).transform(rows)
-        tree = _tree(DecisionTreeClassifier, weighted, seed=seed, maxDepth=10).setFeaturesCol("_kept")
-        weights = tree.fit(sliced).featureImportances.toArray()
+        one = _tree(DecisionTreeClassifier, weighted, seed=seed, **{"maxDepth": DEEPEST, **tree}).setFeaturesCol("_kept")
+        weights = one.fit(sliced).featureImportances.toArray()
         kept.pop(min(range(len(kept)), key=lambda i: (weights[i], -i)))
     return kept
 
@@ -205,13 +208,12 @@ def decision_tree(
 ) -> Learner:
     """A tree on features chosen by ANOVA and then by elimination; pass None to skip a choice."""
 
+    settings = {"maxDepth": DEEPEST if depth is None else min(depth, DEEPEST), "impurity": impurity, "minInstancesPerNode": leaf}
+
     def make(n: int, k: int) -> Estimator:
-        return _tree(
-            DecisionTreeClassifier, balanced, maxDepth=DEEPEST if depth is None else min(depth, DEEPEST),
-            impurity=impurity, minInstancesPerNode=leaf, seed=seed,
-        )
+        return _tree(DecisionTreeClassifier, balanced, seed=seed, **settings)
 
-    return Learner("decision_tree", make, balanced=balanced, anova_k=anova_k, rfe_features=rfe_features, seed=seed)
+    return Learner("decision_tree", make, balanced=balanced, anova_k=anova_k, rfe_features=rfe_features, rfe_tree=settings, seed=seed)
 
 
 def _softmax(vector: str, balanced: bool, iterations: int) -> LogisticRegression:
@@ -261,11 +263,16 @@ def encoded_network(encoding: int = 32, hidden: Sequence[int] = (64,), iteration
 
 
 def linear_svm(c: float = 1.0, iterations: int = 100, balanced: bool = True) -> Learner:
-    """Linear support-vector classifier; ``c`` is the inverse of the penalty. Two classes."""
+    """Linear support-vector classifier; ``c`` is the inverse of the penalty. More than two classes become one model per class."""
 
     def make(n: int, k: int) -> Estimator:
         est = LinearSVC(featuresCol=VECTOR, labelCol=TARGET, maxIter=iterations, regParam=_penalty(c), standardization=False)
-        return est.setWeightCol(WEIGHT) if balanced else est
+        if balanced:
+            est = est.setWeightCol(WEIGHT)
+        if k == 2:
+            return est
+        options = {"weightCol": WEIGHT} if balanced else {}
+        return OneVsRest(classifier=est, featuresCol=VECTOR, labelCol=TARGET, **options)
 
     return Learner("linear_svm", make, balanced=balanced)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +12,7 @@ from flowbench.operators import metrics
 from flowbench.operators.baseline import Detector, FittedDetector
 from flowbench.operators.splits import fitting_parts
 from flowbench.plans.results import compact_metrics, unfinished_runs
-
-
-@dataclass
-class Run:
-    """A finished run: what was fitted, its metrics as a one-row table, and how long it took."""
-
-    run_id: str
-    detector: str
-    fitted: FittedDetector | None
-    metrics: DataFrame
-    threshold: float | None = None
-    training_seconds: float | None = None
-    evaluation_seconds: float | None = None
-    extra: dict = field(default_factory=dict)
+from flowbench.session import checkpoint
 
 
 def evaluate(fitted: FittedDetector, test: DataFrame, label: str, threshold: float | None = None) -> DataFrame:
@@ -47,6 +33,25 @@ def evaluate(fitted: FittedDetector, test: DataFrame, label: str, threshold: flo
     return metrics.binary_metrics(metrics.confusion(guesses, label, "guess", by=["rule"]))
 
 
+def run_scores(fitted: FittedDetector, test: DataFrame, label: str) -> dict[str, object]:
+    """The scores that a run's index row holds: macro and weighted means, class counts, and the area under the curve of a detector
+    that gives probabilities (one class versus the rest if there are several). The test rows are scored once."""
+    scored = fitted.score(test)
+    columns = [c for c in ("probability", "probabilities") if c in scored.columns]
+    kept = checkpoint(scored.select(F.col(label).alias("truth"), F.col("prediction").cast("int").alias("prediction"), *columns))
+    pairs = metrics.class_pairs(kept, "truth", "prediction")
+    found = metrics.class_metrics(pairs).first().asDict()  # one row
+    several = found["num_classes_true"] > 2 or "probabilities" in columns
+    area = None
+    if columns == ["probability"]:
+        area = metrics.roc_auc(kept, "truth", "probability").first()[0]
+    elif columns:
+        n = kept.agg(F.max(F.size("probabilities"))).first()[0]
+        wide = kept.select("truth", *[F.get("probabilities", F.lit(i)).alias(f"p{i}") for i in range(n)])
+        area = metrics.roc_auc_ovr(wide, "truth", {i: f"p{i}" for i in range(n)}).first()[0]
+    return {**found, "roc_auc": area, "problem_type": "multiclass" if several else "binary"}
+
+
 def tuned_threshold(
     detector: Detector, train: DataFrame, features: Sequence[str], label: str, key: Sequence[str], seed: int = 42
 ) -> tuple[FittedDetector, float]:
@@ -85,25 +90,21 @@ def run_detectors(
             try:
                 start = time.perf_counter()
                 fitted = detector.fit(train, features, label)
-                scores = evaluate(fitted, test, label).first()  # one row of metrics
+                scores = run_scores(fitted, test, label)
                 seconds = time.perf_counter() - start
                 row = compact_metrics(
                     base.withColumns(
                         {
                             "status": F.lit("success"),
-                            "problem_type": F.lit("binary"),
                             "duration_seconds": F.lit(seconds),
-                            **{
-                                k: F.lit(scores[k])
-                                for k in ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted")
-                            },
+                            **{k: F.lit(v) for k, v in scores.items()},
                         }
                     )
                 )
             except Exception as problem:
                 if stop_on_error:
                     raise
-                row = unfinished_runs(base, "failed", str(problem)[:500])
+                row = unfinished_runs(base, "failed", str(problem))
             rows = row if rows is None else rows.unionByName(row)
     finally:
         train.unpersist()
