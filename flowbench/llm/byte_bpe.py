@@ -1,14 +1,16 @@
 """Byte-level BPE: every distinct word is encoded once, its ids travel back to where the word stands.
 
 Words are the matches of a pre-tokenizing pattern. Documents are read in blocks; a block keeps, for each document,
-the positions of its words as numbers into the block's own list of distinct words. Those lists are dealt out by the
-words' hash, each distinct word is encoded once where it arrives, and the ids return to the blocks, which put the
-documents together by position. Lists travel packed, so that a shuffled row holds many words.
+the positions of its words as numbers into the block's own list of distinct words, the most frequent first. These numbers stay
+where they are, in a table bucketed by block. The word lists are dealt out by the words' hash, each distinct word is encoded once
+where it arrives, and the ids return to the blocks, which put the documents together by position. Lists travel packed, so that a
+shuffled row holds many words.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,17 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm.common import written
+from flowbench.session import shared_folder
 
 # Code points of a block's texts. A longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
+# Words of the documents that are packed together.
+CHUNK_WORDS = 65_536
 # Parts into which a block's words are dealt by hash: a row of the shuffle holds about a thousandth of a block's words.
 WORD_PARTS = 1024
 # Words an encoding task remembers; beyond this it forgets all and goes on.
 REMEMBERED = 500_000
 
-_BLOCK_TYPE = "block string, part int, id {id}, at long, n_words long, body binary"
-_LEFT, _WORDS, _IDS = 0, 1, 2
+# Rows of the block table: documents (a chunk), the parts of a block's words in the order of their numbers, or one part's words.
+_CHUNK, _ORDER = -1, -2
 
 
 def read_ranks(spark: SparkSession, path: str) -> list[bytes]:
@@ -53,23 +57,19 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "do
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = written(plain.mapInArrow(_blocks(pattern), _BLOCK_TYPE.format(id=id_type)), "bpe-blocks")
+    found = plain.mapInArrow(_blocks(pattern), f"block string, part int, ids array<{id_type}>, counts array<long>, body binary")
+    name, buckets = f"bpe_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found.write.bucketBy(buckets, "block").option("path", shared_folder(spark, "bpe-blocks")).option("compression", "zstd").saveAsTable(name)
+    blocks = spark.table(name)
     shared = spark.sparkContext.broadcast(tokens)  # bounded by the vocabulary
+    width = 2 if len(tokens) <= 1 << 16 else 4
     parts = blocks.where(F.col("part") >= 0).select("part", "block", "body")
-    answered = (
-        parts.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_encode_parts(shared), "block string, part int, body binary")
-    )
-    left = blocks.where(F.col("part") < 0).select("block", F.lit(_LEFT).alias("kind"), "part", "at", "id", "n_words", "body")
-    ids = answered.select(
-        "block", F.lit(_IDS).alias("kind"), "part", F.lit(0).cast("long").alias("at"), F.lit(None).cast(id_type).alias("id"),
-        F.lit(0).cast("long").alias("n_words"), "body",
-    )
-    # Ids sort before the documents of their block, so a block is put together while its documents stream past.
+    answered = parts.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(_encode_parts(shared, width), "block string, part int, body binary")
+    kept = blocks.where(F.col("part") < 0)  # read bucket by bucket: these rows are not shuffled
     return (
-        left.union(ids)
-        .repartition(F.col("block"))
-        .sortWithinPartitions("block", F.desc("kind"), "at")
-        .mapInArrow(_reassemble, f"id {id_type}, n_tokens long, token_ids binary")
+        kept.groupBy("block")
+        .cogroup(answered.groupBy("block"))
+        .applyInArrow(_reassemble(width), f"id {id_type}, n_tokens long, token_ids binary")
         .withColumnRenamed("id", id_col)
     )
 
@@ -123,10 +123,7 @@ class _Codes(dict):
 
 
 def _blocks(pattern: str):
-    """Per block: a row for each document with the codes of its words, and a row for each part of the word list.
-
-    A word's code is (part, place in the part), flattened once the block is complete.
-    """
+    """Per block: rows for its documents in chunks, one for the order of its words, and one for each part of its word list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -137,7 +134,7 @@ def _blocks(pattern: str):
         codes, held, size, schema = _Codes(), [], 0, None
         for batch in batches:
             schema = schema or pa.schema(
-                [("block", pa.string()), ("part", pa.int32()), ("id", batch.schema.field("id").type), ("at", pa.int64()), ("n_words", pa.int64()), ("body", pa.binary())]
+                [("block", pa.string()), ("part", pa.int32()), ("ids", pa.list_(batch.schema.field("id").type)), ("counts", pa.list_(pa.int64())), ("body", pa.binary())]
             )
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 whole = text.as_py()
@@ -145,54 +142,80 @@ def _blocks(pattern: str):
                 held.append((key, np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))))
                 size += len(whole)
                 if size >= BLOCK_CHARS:
-                    yield _block_rows(f"{name}-{serial}", codes, held, schema)
+                    yield from _block_rows(f"{name}-{serial}", codes, held, schema)
                     codes, held, size, serial = _Codes(), [], 0, serial + 1
         if held:
-            yield _block_rows(f"{name}-{serial}", codes, held, schema)
+            yield from _block_rows(f"{name}-{serial}", codes, held, schema)
 
     return run
 
 
-def _block_rows(block: str, codes: dict[str, int], held: list, schema: pa.Schema) -> pa.RecordBatch:
-    words = [w.encode() for w in codes]
-    parts = np.fromiter((zlib.crc32(w) % WORD_PARTS for w in words), np.int64, len(words))
+def _block_rows(block: str, codes: dict[str, int], held: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    # The most frequent words get the smallest numbers, which pack best.
+    counts = np.zeros(len(codes), np.int64)
+    for _, own in held:
+        counts += np.bincount(own, minlength=len(codes))
+    by_count = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(codes), np.uint32)
+    rank[by_count] = np.arange(len(codes), dtype=np.uint32)
+    chunk: list[tuple] = []
+    for i, (key, own) in enumerate(held):
+        chunk.append((key, rank[own]))
+        if i + 1 == len(held) or sum(len(c) for _, c in chunk) >= CHUNK_WORDS:
+            body = _pack(np.concatenate([c for _, c in chunk]))
+            yield rows([(block, _CHUNK, [k for k, _ in chunk], [len(c) for _, c in chunk], body)])
+            chunk = []
+    listed = [w.encode() for w in codes]
+    words = [listed[i] for i in by_count]
+    parts = np.fromiter((zlib.crc32(w) % WORD_PARTS for w in words), np.uint32, len(words))
+    yield rows([(block, _ORDER, None, [len(words)], _pack(parts))])
     order = np.argsort(parts, kind="stable")
-    rank = np.empty(len(words), np.uint32)
-    rank[order] = np.arange(len(words), dtype=np.uint32)
-    rows: list[tuple] = [(block, -1, key, at, len(c), _pack(rank[c])) for at, (key, c) in enumerate(held)]
     bounds = np.searchsorted(parts[order], np.arange(WORD_PARTS + 1))
-    for part in range(WORD_PARTS):
-        here = [words[i] for i in order[bounds[part] : bounds[part + 1]]]
-        if here:
-            rows.append((block, part, None, 0, len(here), _pack_words(here)))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    pieces = [(p, [words[i] for i in order[bounds[p] : bounds[p + 1]]]) for p in range(WORD_PARTS)]
+    if lists := [(block, p, None, None, _pack_list(own)) for p, own in pieces if own]:
+        yield rows(lists)
+
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, by byte planes: the high bytes are mostly alike and compress away."""
+    from zstandard import ZstdCompressor
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Numbers below 2**32, by byte planes: high bytes are mostly alike and compress away."""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    packed = [ZstdCompressor(3).compress(np.ascontiguousarray(p).tobytes()) for p in planes]
+    return np.array([len(numbers), *map(len, packed)], "<u4").tobytes() + b"".join(packed)
 
 
-def _unpack(body: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(body), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def _unpack(body: bytes) -> np.ndarray:
+    from zstandard import ZstdDecompressor
 
+    n, *lengths = np.frombuffer(body[:20], "<u4").tolist()
+    planes, at = np.zeros((n, 4), np.uint8), 20
+    for i, length in enumerate(lengths):
+        planes[:, i] = np.frombuffer(ZstdDecompressor().decompress(body[at : at + length], max_output_size=n), np.uint8)
+        at += length
+    return planes.view("<u4").reshape(-1)
 
-def _pack_words(words: list[bytes]) -> bytes:
-    lengths = np.array([len(w) for w in words], "<u4").tobytes()
-    return zlib.compress(np.array([len(words)], "<u4").tobytes() + lengths + b"".join(words), 1)
 
+def _pack_list(items: list[bytes]) -> bytes:
+    lengths = np.array([len(w) for w in items], "<u4")
+    planes = np.ascontiguousarray(lengths.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zlib.compress(np.array([len(items)], "<u4").tobytes() + planes + b"".join(items), 6)
 
-def _unpack_words(body: bytes) -> list[bytes]:
+
+def _unpack_list(body: bytes) -> list[bytes]:
     raw = zlib.decompress(body)
     n = int(np.frombuffer(raw[:4], "<u4")[0])
-    ends = np.cumsum(np.frombuffer(raw[4 : 4 + 4 * n], "<u4").astype(np.int64)) + 4 + 4 * n
-    begins = [4 + 4 * n, *ends.tolist()]
+    planes = np.frombuffer(raw[4 : 4 + 4 * n], np.uint8).reshape(4, n)
+    lengths = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    ends = (np.cumsum(lengths.astype(np.int64)) + 4 + 4 * n).tolist()
+    begins = [4 + 4 * n, *ends]
     return [raw[begins[i] : begins[i + 1]] for i in range(n)]
 
 
-def _encode_parts(shared):
+def _encode_parts(shared, width: int):
     """Word lists in, the ids of each word out; a word that several blocks hold is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,49 +225,48 @@ def _encode_parts(shared):
         # The pattern takes a whole word as one piece: words were cut before.
         coder = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         done: dict[bytes, bytes] = {}
-        now = None
+        now, kinds = None, (pa.string(), pa.int32(), pa.binary())
         for batch in batches:
             out = []
             for part, block, body in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("body")):
                 if part != now or len(done) > REMEMBERED:
                     done, now = {}, part
-                words = _unpack_words(body.as_py())
+                words = _unpack_list(body.as_py())
                 for word in words:
                     if word not in done:
-                        done[word] = np.array(coder.encode_ordinary(word.decode()), "<u4").tobytes()
-                ids = [done[w] for w in words]
-                out.append((block, part, _pack_words(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.binary()))] if out else [pa.array([], k) for k in (pa.string(), pa.int32(), pa.binary())],
-                names=["block", "part", "body"],
-            )
+                        done[word] = np.array(coder.encode_ordinary(word.decode()), f"<u{width}").tobytes()
+                out.append((block, part, _pack_list([done[w] for w in words])))
+            columns = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "part", "body"])
 
     return run
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents from the ids of their block's words; a block's ids come first, by part."""
-    block, lists, pool, starts, lengths = None, {}, None, None, None
-    for batch in batches:
+def _reassemble(width: int):
+    """The documents of a block from their word numbers and the ids of its words."""
+
+    def run(kept: pa.Table, answered: pa.Table) -> pa.Table:
+        id_kind = kept.schema.field("ids").type.value_type
+        lists = {p: _unpack_list(b.as_py()) for p, b in zip(answered.column("part").to_pylist(), answered.column("body"))}
+        ids = [w for p in sorted(lists) for w in lists[p]]
+        parts = next(_unpack(b.as_py()) for p, b in zip(kept.column("part").to_pylist(), kept.column("body")) if p == _ORDER)
+        place = np.empty(len(parts), np.int64)  # of each word in the joined lists
+        place[np.argsort(parts, kind="stable")] = np.arange(len(parts))
+        lengths = np.array([len(w) // width for w in ids], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        starts, lengths = starts[place], lengths[place]
+        pool = np.frombuffer(b"".join(ids), f"<u{width}")
         keys, counts, out = [], [], []
-        columns = [batch.column(c) for c in ("block", "kind", "part", "id", "n_words", "body")]
-        for name, kind, part, key, n_words, body in zip(*columns):
-            if name.as_py() != block:
-                block, lists, pool = name.as_py(), {}, None
-            if kind.as_py() == _IDS:
-                lists[part.as_py()] = _unpack_words(body.as_py())
+        for part, own, n_words, body in zip(*(kept.column(c) for c in ("part", "ids", "counts", "body"))):
+            if part.as_py() != _CHUNK:
                 continue
-            if pool is None:
-                words = [w for p in sorted(lists) for w in lists[p]]
-                lengths = np.array([len(w) // 4 for w in words], np.int64)
-                starts = np.cumsum(lengths) - lengths
-                pool, lists = np.frombuffer(b"".join(words), "<u4"), {}
-            codes = _unpack(body.as_py(), n_words.as_py())
-            pieces = [_gather(pool, starts[c], lengths[c])[0] for c in np.array_split(codes, len(codes) // 1_000_000 + 1)]
-            keys.append(key.as_py())
-            counts.append(sum(len(p) for p in pieces))
-            out.append(b"".join(p.tobytes() for p in pieces))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, batch.schema.field("id").type), pa.array(counts, pa.int64()), pa.array(out, pa.binary())],
-            names=["id", "n_tokens", "token_ids"],
-        )
+            codes, at = _unpack(body.as_py()), 0
+            for key, n in zip(own.as_py(), n_words.as_py()):
+                pieces = [_gather(pool, starts[c], lengths[c])[0] for c in np.split(codes[at : at + n], range(1_000_000, n, 1_000_000))]
+                at += n
+                keys.append(key)
+                counts.append(sum(len(p) for p in pieces))
+                out.append(b"".join(p.astype("<u4").tobytes() for p in pieces))
+        return pa.table({"id": pa.array(keys, id_kind), "n_tokens": pa.array(counts, pa.int64()), "token_ids": pa.array(out, pa.binary())})
+
+    return run
