@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowbench.operators import metrics
 from flowbench.operators.baseline import Detector, FittedDetector
-from flowbench.operators.splits import fitting_parts
+from flowbench.operators.splits import fitting_parts, folds
 from flowbench.plans.results import compact_metrics, unfinished_runs
 from flowbench.session import checkpoint
 
@@ -33,6 +33,19 @@ def evaluate(fitted: FittedDetector, test: DataFrame, label: str, threshold: flo
     return metrics.binary_metrics(metrics.confusion(guesses, label, "guess", by=["rule"]))
 
 
+def cross_validation(detector: Detector, df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """``fold, tn, fp, fn, tp``: the detector is fitted on all folds but one and scored on that one, for each fold."""
+    numbered = folds(df.select(*dict.fromkeys([*key, *features, label])), key, k, seed).select("fold", *features, label)
+    numbered = checkpoint(numbered)
+    rows = None
+    for i in range(k):
+        fitted = detector.fit(numbered.where(F.col("fold") != i), features, label)
+        scored = fitted.score(numbered.where(F.col("fold") == i))
+        part = metrics.confusion(scored, label, "prediction", by=["fold"])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def run_scores(fitted: FittedDetector, test: DataFrame, label: str) -> dict[str, object]:
     """The scores that a run's index row holds: macro and weighted means, class counts, and the area under the curve of a detector
     that gives probabilities (one class versus the rest if there are several). The test rows are scored once."""

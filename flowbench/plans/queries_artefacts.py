@@ -16,6 +16,7 @@ from flowbench.plans.queries_splits import COMMON_SET, EVENTS, ranked_steps
 from flowbench.plans.texts import on_flows, on_prepared, on_runs
 from flowbench.session import shared_folder
 from flowbench.sources import sinks
+from flowbench.sources.artefacts import read_records, write_records
 from flowbench.sources.tables import load_dataset, read_table
 from flowbench.specs import DatasetSpec, SplitSpec
 
@@ -142,3 +143,25 @@ def saved_detector(spark, sf_dir):
     return rows.select(
         F.lit(again.kind).alias("kind"), "test_rows", "changed", F.lit(again.facts["training_rows"]).cast("bigint").alias("training_rows")
     )
+
+
+@query(
+    "a10_run_tree",
+    "SELECT concat('run ', s_suppkey) AS run, s_acctbal / 10000 AS accuracy, s_suppkey * 3 AS tn, s_nationkey AS fp, s_suppkey % 7 AS tp, CASE WHEN s_nationkey % 2 = 0 THEN s_suppkey END AS threshold_rows, s_nationkey + 1 AS attacks FROM supplier",
+)
+def run_tree(spark, sf_dir):
+    """A record file for every supplier, each in its run's folder, read back as a tree; some lack a field."""
+    folder = shared_folder(spark, "run-tree")
+    records = table(spark, sf_dir, "supplier").select(
+        F.expr("concat('run ', s_suppkey)").alias("run"),
+        F.expr("s_acctbal / 10000").alias("accuracy"),
+        F.expr("array(array(s_suppkey * 3, CAST(s_nationkey AS BIGINT)), array(0L, s_suppkey % 7))").alias("confusion_matrix"),
+        F.expr("CASE WHEN s_nationkey % 2 = 0 THEN s_suppkey END").alias("training_rows"),
+        F.expr("map('0', 1L, '1', CAST(s_nationkey + 1 AS BIGINT))").alias("support"),
+    )
+    write_records(records, folder)
+    found = read_records(spark, folder, "metrics.json", "part-*")
+    return found.select(
+        "run", "accuracy", F.expr("confusion_matrix[0][0]").alias("tn"), F.expr("confusion_matrix[0][1]").alias("fp"), F.expr("confusion_matrix[1][1]").alias("tp"),
+        F.col("training_rows").alias("threshold_rows"), F.expr("support['1']").alias("attacks"),
+    )

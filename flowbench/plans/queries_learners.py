@@ -11,6 +11,7 @@ from flowbench.operators.anomaly import ClusterDetector, EnergyDetector
 from flowbench.operators.baseline import MajorityBaseline
 from flowbench.operators.boosting import AdaBoost
 from flowbench.operators.encode import anova_by_class
+from flowbench.operators.external import ExternalDetector
 from flowbench.operators.gaussian import GaussianNaiveBayes, LinearDiscriminant
 from flowbench.operators.kernels import KernelSvm
 from flowbench.operators.learners import (
@@ -25,10 +26,10 @@ from flowbench.operators.learners import (
 )
 from flowbench.operators.neighbours import NearestNeighbours
 from flowbench.plans.catalog import query
-from flowbench.plans.experiment import run_detectors, tuned_threshold
+from flowbench.plans.experiment import cross_validation, run_detectors, tuned_threshold
 from flowbench.plans.flows import ATTACK_RULE, flows
 from flowbench.plans.queries_cleaning import COMMON, prepared, round_all
-from flowbench.plans.queries_splits import KEY, ranked_steps
+from flowbench.plans.queries_splits import _FOLD, KEY, ranked_steps
 from flowbench.plans.texts import on_flows, on_prepared
 
 FEATURES = list(COMMON)
@@ -306,6 +307,53 @@ def tuned(spark, sf_dir):
     )
 
 
+# --- outside models, folds -----------------------------------------------------------------------------------------
+
+
+class RateModel:
+    """An outside model: a logistic curve over the packet rate, on arrays."""
+
+    def predict_proba(self, rows):
+        import numpy as np
+
+        p = 1 / (1 + np.exp(-(rows[:, 0] - 3000) / 1000))
+        return np.stack([1 - p, p], axis=1)
+
+    def predict(self, rows):
+        return (rows[:, 0] >= 3000) & (rows[:, 1] <= 3)
+
+
+@query(
+    "m_outside_model",
+    on_flows("SELECT flow_id, CASE WHEN flow_packets_s >= 3000 AND total_bwd_packets <= 3 THEN 1 ELSE 0 END AS prediction, round(1 / (1 + exp(-(flow_packets_s - 3000) / 1000)), 6) AS probability FROM flows"),
+)
+def outside_model(spark, sf_dir):
+    fitted = ExternalDetector(RateModel, ["flow_packets_s", "total_bwd_packets"])
+    scored = fitted.score(flows(spark, sf_dir)).select("flow_id", "prediction", "probability")
+    return round_all(scored, ["probability"])
+
+
+_FOLD_NB = {
+    "folded": f"SELECT *, {_FOLD} AS fold FROM prepared",
+    "fitted": "SELECT f AS fold, CAST(1e-9 AS DOUBLE) * greatest(" + ", ".join(f"var_pop({c})" for c in _NB) + ") AS e, "
+    + ", ".join(f"avg({c}) FILTER (label = {y}) AS m{i}_{y}, var_pop({c}) FILTER (label = {y}) AS v{i}_{y}" for i, c in enumerate(_NB) for y in (0, 1))
+    + ", " + ", ".join(f"avg(CASE WHEN label = {y} THEN 1 ELSE 0 END) AS p_{y}" for y in (0, 1)) + " FROM folded, generate_series(0, 4) g(f) WHERE fold <> f GROUP BY f",
+    "guessed": f"SELECT t.fold, label, CASE WHEN {_log_density(0)} >= {_log_density(1)} THEN 0 ELSE 1 END AS guess FROM folded t JOIN fitted ON t.fold = fitted.fold",
+}
+
+
+@query(
+    "n6_cross_validation",
+    on_prepared(
+        "SELECT fold, " + ", ".join(f"count(CASE WHEN label = {t} AND guess = {p} THEN 1 END) AS {n}" for n, t, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))) + " FROM guessed GROUP BY 1",
+        **_FOLD_NB,
+    ),
+)
+def cross_validated(spark, sf_dir):
+    """Naive Bayes fitted on four folds and scored on the fifth, for each of the five."""
+    return cross_validation(GaussianNaiveBayes(), prepared(spark, sf_dir), list(_NB), "label", KEY, 5)
+
+
 # --- features by class, time features, profiles of intervals -------------------------------------------------------
 
 

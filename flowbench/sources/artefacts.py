@@ -38,17 +38,24 @@ _FILES = {"run_info.json": RUN_INFO, "metrics.json": METRICS, "training_summary.
           "metadata.json": SPLIT_METADATA}
 
 
-def read_records(spark: SparkSession, root: str, file_name: str) -> DataFrame:
+def write_records(records: DataFrame, root: str, run: str = "run") -> None:
+    """One JSON file per row below ``root``, in a folder named after the row's run; executors write them."""
+    body = F.to_json(F.struct(*[c for c in records.columns if c != run])).alias("value")
+    records.select(body, F.col(run).alias("run")).write.partitionBy("run").text(root)
+
+
+def read_records(spark: SparkSession, root: str, file_name: str, pattern: str | None = None) -> DataFrame:
     """All files of one kind below a folder, one row per file, with the name of the folder that holds it.
 
-    The schema is fixed, so a field that some runs lack is null there.
+    The schema is fixed, so a field that some runs lack is null there. ``pattern`` finds the files if they are not called
+    ``file_name``, such as those of ``write_records`` (``part-*``).
     """
     records = (
         spark.read.schema(_FILES[file_name])
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_name)
+        .option("pathGlobFilter", pattern or file_name)
         .json(root)
     )
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return records.withColumn("run", F.url_decode(folder))
+    return records.withColumn("run", F.regexp_replace(F.url_decode(folder), "^run=", ""))
