@@ -1,7 +1,7 @@
 """Multi-class AdaBoost over one-split trees, as weighted aggregates.
 
-A row's weight follows from the splits found so far, so it is an expression of the row, not a table that has to
-be rewritten after each round. Features are binned once; a round is one grouped sum over (feature, bin, class).
+A row's weight follows from the splits found so far: an expression of the row, folded into a column every
+``settle_every`` rounds. Features are binned once into a sparse vector; a round is one weighted sum of it for each class.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,8 @@ class AdaBoost:
             only = max(tallies, key=lambda r: (r["n"], -r["_y"]))["_y"]
             return FittedAdaBoost(list(features), classes, [Stump(features[0], 0.0, only, only, 1.0)])
         k, rows = len(classes), sum(r["n"] for r in tallies)
-        binned = clean.withColumn("_bins", F.array(*[_bin(c, cuts[c]) for c in usable])).withColumn("_log", F.lit(0.0)).persist()
+        binned, sizes = _one_hot(clean.withColumn("_log", F.lit(0.0)), usable, cuts)
+        binned = binned.persist()
         stumps: list[Stump] = []
         fresh: list[Stump] = []
         shift = 0.0  # keeps the mean weight near 1, so that no exponent overflows
@@ -88,7 +91,7 @@ class AdaBoost:
                 log_weight = F.col("_log")
                 for s in fresh:
                     log_weight = log_weight + F.when(s.vote() != F.col("_y"), F.lit(s.alpha)).otherwise(F.lit(0.0))
-                found = self._best_split(binned, usable, cuts, classes, F.exp(log_weight - F.lit(shift)))
+                found = self._best_split(binned, usable, sizes, cuts, classes, F.exp(log_weight - F.lit(shift)))
                 if found is None:
                     break
                 feature, limit, low, high, error, mass = found
@@ -122,15 +125,17 @@ class AdaBoost:
         ).first()
         return {c: sorted({v for v in (row[c] or []) if v < row[f"max|{c}"]}) for c in features}
 
-    def _best_split(self, binned, usable, cuts, classes, weight):
+    def _best_split(self, binned, usable, sizes, cuts, classes, weight):
         """(feature, limit, class below, class above, weighted error, weight of all rows) of the purest split."""
-        cells = binned.select("_y", weight.alias("w"), F.posexplode("_bins").alias("f", "b"))
-        sums = cells.groupBy("f", "b", "_y").agg(F.sum("w").alias("w")).collect()  # features x bins x classes
+        # One sum of sparse vectors for each class: rows are not multiplied, a task sends a row for each class.
+        sums = binned.groupBy("_y").agg(Summarizer.sum(F.col("_hot"), weight).alias("w")).collect()
         if not sums:
             return None
         table: dict[int, dict[int, dict[int, float]]] = {}
-        for r in sums:
-            table.setdefault(r["f"], {}).setdefault(r["b"], {})[r["_y"]] = r["w"]
+        at = 0
+        for f, size in enumerate(sizes):
+            table[f] = {b: {r["_y"]: float(r["w"][at + b]) for r in sums} for b in range(size)}
+            at += size
         best = None
         for f, bins in sorted(table.items()):
             whole = {y: sum(b.get(y, 0.0) for b in bins.values()) for y in classes}
@@ -158,3 +163,12 @@ def _impurity(sums: dict[int, float]) -> float:
 def _bin(column: str, cuts: Sequence[float]) -> Column:
     """Number of cuts below the value: values at or below the first cut are in bin 0."""
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column)))
+
+
+def _one_hot(clean: DataFrame, usable: Sequence[str], cuts: dict[str, list[float]]) -> tuple[DataFrame, list[int]]:
+    """Adds ``_hot``, a sparse vector that marks the bin of each feature, and gives the number of bins of each."""
+    places = [f"_bin{i}" for i in range(len(usable))]
+    binned = clean.withColumns({p: _bin(c, cuts[c]) for p, c in zip(places, usable)})
+    encoder = OneHotEncoder(inputCols=places, outputCols=[f"{p}_hot" for p in places], dropLast=False).fit(binned)
+    marked = VectorAssembler(inputCols=encoder.getOutputCols(), outputCol="_hot").transform(encoder.transform(binned))
+    return marked.drop(*places, *encoder.getOutputCols()), encoder.categorySizes

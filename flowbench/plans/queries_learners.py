@@ -131,7 +131,7 @@ def kernel_support_vectors(spark, sf_dir):
 
 @query("j7_adaboost", facts_check("adaboost"))
 def boosted_stumps(spark, sf_dir):
-    return beats_majority(AdaBoost(rounds=12), spark, sf_dir)
+    return beats_majority(AdaBoost(), spark, sf_dir)
 
 
 @query(
