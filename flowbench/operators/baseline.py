@@ -13,6 +13,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowbench.session import few_rows
+
 
 class FittedDetector(Protocol):
     features: list[str]
@@ -44,7 +46,7 @@ class MajorityBaseline:
 
     def fit(self, train: DataFrame, features: Sequence[str], label: str) -> FittedMajority:
         tallies = train.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n"))
-        counts = {r["y"]: r["n"] for r in tallies.collect()}  # one row per class
+        counts = {r["y"]: r["n"] for r in few_rows(tallies, "classes")}
         if not counts:
             raise ValueError("the training table is empty")
         best = min(counts, key=lambda y: (-counts[y], y))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
-from flowbench.session import checkpoint
+from flowbench.session import checkpoint, few_rows
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ class AdaBoost:
         clean = train.select(*[finite_or(c).alias(c) for c in features], y.alias("_y"))
         cuts = self._cuts(clean, features)
         usable = [c for c in features if cuts[c]]
-        tallies = clean.groupBy("_y").agg(F.count("*").alias("n")).collect()  # one row per class
+        tallies = few_rows(clean.groupBy("_y").agg(F.count("*").alias("n")), "classes")
         classes = sorted(r["_y"] for r in tallies)
         if len(classes) < 2 or not usable:
             only = max(tallies, key=lambda r: (r["n"], -r["_y"]))["_y"]

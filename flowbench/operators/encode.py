@@ -6,6 +6,8 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,13 +127,13 @@ def best_features(scores: DataFrame, k: int) -> DataFrame:
 
 
 def correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``left, right, corr`` for each pair of features, in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(
-        *[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
-    )
-    return row.select(F.inline(cells))
+    """``left, right, corr`` for each pair of features over the rows that have them all, from one pass; null beside a constant."""
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
+    rows = VectorAssembler(inputCols=numbers.columns, outputCol="_v", handleInvalid="skip").transform(numbers)
+    matrix = Correlation.corr(rows.select("_v"), "_v").first()[0].toArray()  # features x features
+    pairs = [(a, b, float(matrix[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+    found = df.sparkSession.createDataFrame(pairs, "left string, right string, corr double")
+    return found.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 # --- cleaning and alignment -----------------------------------------------------------------------------------

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
-from flowbench.session import settle
+from flowbench.session import few_rows, settle
 
 
 def _moments(train: DataFrame, features: Sequence[str], label: str) -> dict[int, dict]:
     """Rows, means and population variances of each class, in one pass; one row per class comes back."""
     cells = [f(finite_or(c)).alias(f"{n}|{c}") for c in features for n, f in (("m", F.avg), ("v", F.var_pop))]
-    rows = train.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n"), *cells).collect()
+    rows = few_rows(train.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n"), *cells), "classes")
     if not rows:
         raise ValueError("the training table is empty")
     return {

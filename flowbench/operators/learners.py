@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
 from flowbench.operators.encode import anova_f, best_features, standard_stats, standardise, with_balanced_weights
+from flowbench.session import few_rows
 
 VECTOR, TARGET, WEIGHT = "_x", "_y", "_w"
 DEEPEST = 30  # MLlib's limit; stands for "no limit"
@@ -122,8 +123,8 @@ class Learner:
         features = require_columns(train, features, numeric=True)
         counts = {
             int(r["y"]): r["n"]
-            for r in train.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()
-        }  # one row per class
+            for r in few_rows(train.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")), "classes")
+        }
         if not counts:
             raise ValueError("the training table is empty")
         classes = max(2, max(counts) + 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowbench.functions.values import ratio
 from flowbench.operators.order import with_range
-from flowbench.session import checkpoint
+from flowbench.session import checkpoint, few_rows
 
 COUNTS = ("tn", "fp", "fn", "tp")
 DEFAULT_THRESHOLD = 0.5
@@ -157,7 +157,7 @@ def class_report(pairs: DataFrame) -> DataFrame:
 def classes_of(pairs: DataFrame) -> list[str]:
     """Union of true and predicted classes, ascending; one value per class comes to the driver."""
     names = pairs.select("truth").union(pairs.select("predicted")).distinct().orderBy("truth")
-    return [r[0] for r in names.collect()]
+    return [r[0] for r in few_rows(names, "classes")]
 
 
 def confusion_table(pairs: DataFrame, classes: Sequence | None = None) -> DataFrame:

@@ -26,6 +26,7 @@ from flowbench.plans.catalog import query
 from flowbench.plans.flows import flows, table
 from flowbench.plans.texts import CLASS_TEXT, FEATURE_LIST, LENIENT, STRICT, on_flows, on_prepared
 from flowbench.specs import ALL_NUMERIC, COMMON_FEATURES, DatasetSpec, FeatureSet, SplitSpec
+from flowbench.session import few_rows
 
 COMMON = list(COMMON_FEATURES)
 
@@ -447,16 +448,16 @@ def selected_features(spark, sf_dir):
 
 @query(
     "n4_scaled_to_range",
-    on_prepared("SELECT flow_id, " + ", ".join(f"({c} - (SELECT min({c}) FROM prepared)) / ((SELECT max({c}) FROM prepared) - (SELECT min({c}) FROM prepared)) AS {c}" for c in COMMON[:3]) + " FROM prepared"),
+    on_prepared("SELECT flow_id, " + ", ".join(f"({c} - (SELECT min({c}) FROM prepared)) / ((SELECT max({c}) FROM prepared) - (SELECT min({c}) FROM prepared)) AS {c}" for c in COMMON) + " FROM prepared"),
 )
 def scaled_to_range(spark, sf_dir):
     df = prepared(spark, sf_dir)
-    return encode.scale_to_range(df, encode.value_ranges(df, COMMON[:3])).select("flow_id", *COMMON[:3])
+    return encode.scale_to_range(df, encode.value_ranges(df, COMMON)).select("flow_id", *COMMON)
 
 
 @query("n4_one_hot", on_flows("SELECT flow_id, " + ", ".join(f"CASE WHEN dataset_source = '{v}' THEN 1 ELSE 0 END AS \"dataset_source={v}\"" for v in ("src0", "src1", "src2")) + " FROM flows"))
 def one_hot_sources(spark, sf_dir):
     # The fourth source is not among the fitted categories, and some flows have none.
     df = flows(spark, sf_dir).select("flow_id", "dataset_source")
-    found = df.where("dataset_source <> 'src3'").select("dataset_source").distinct().orderBy("dataset_source").collect()
+    found = few_rows(df.where("dataset_source <> 'src3'").select("dataset_source").distinct().orderBy("dataset_source"), "categories")
     return encode.one_hot(df, "dataset_source", [r[0] for r in found]).drop("dataset_source")

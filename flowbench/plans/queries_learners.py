@@ -367,12 +367,12 @@ def _pair_anova(c: str) -> str:
 @query(
     "n5_features_by_attack",
     on_prepared(
-        " UNION ALL ".join(_pair_anova(c) for c in COMMON[:6]),
-        **{f"mom_{c}": f"SELECT class, CAST(count({c}) AS DOUBLE) AS n, avg({c}) AS m, var_pop({c}) AS v FROM prepared GROUP BY 1" for c in COMMON[:6]},
+        " UNION ALL ".join(_pair_anova(c) for c in COMMON),
+        **{f"mom_{c}": f"SELECT class, CAST(count({c}) AS DOUBLE) AS n, avg({c}) AS m, var_pop({c}) AS v FROM prepared GROUP BY 1" for c in COMMON},
     ),
 )
 def features_by_attack(spark, sf_dir):
-    return round_all(anova_by_class(prepared(spark, sf_dir), COMMON[:6], "class", "Benign"), ["f_score"], 4)
+    return round_all(anova_by_class(prepared(spark, sf_dir), COMMON, "class", "Benign"), ["f_score"], 4)
 
 
 @query("n3_time_features", on_flows("SELECT 'all' AS subset, count(*) AS n_features, CAST(sum(filled) AS BIGINT) AS cells FROM (SELECT count(flow_duration) AS filled FROM flows UNION ALL SELECT count(flow_iat_mean) FROM flows UNION ALL SELECT count(flow_iat_std) FROM flows UNION ALL SELECT count(total_fwd_packets) FROM flows UNION ALL SELECT count(flow_bytes_s) FROM flows) UNION ALL SELECT 'time', 3, count(flow_duration) + count(flow_iat_mean) + count(flow_iat_std) FROM flows"))

@@ -102,3 +102,15 @@ def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROA
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table of ``settled`` alone."""
     return settled(df, max_rows)[0]
+
+
+# Classes, categories and the like that a fitting step takes to the driver.
+MOST_CLASSES = 10_000
+
+
+def few_rows(df: DataFrame, what: str, most: int = MOST_CLASSES) -> list:
+    """The rows of a table that is small by its nature; more than ``most`` are an error, not a driver that runs out of memory."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
