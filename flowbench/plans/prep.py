@@ -41,10 +41,10 @@ class PreparedSplit:
     def test(self) -> DataFrame:
         return self.part("test")
 
-    def metadata(self) -> DataFrame:
-        """One row: ids, columns, and rows and labels per part."""
+    def metadata(self, rows: DataFrame | None = None) -> DataFrame:
+        """One row: ids, columns, and rows and labels per part, counted in ``rows`` if the split has been written."""
         n = F.count("*")
-        counts = self.rows.groupBy("part", F.col(self.label).cast("string").alias("label")).agg(n.alias("n"))
+        counts = (self.rows if rows is None else rows).groupBy("part", F.col(self.label).cast("string").alias("label")).agg(n.alias("n"))
 
         def distribution(part: str):
             entries = F.collect_list(F.when(F.col("part") == part, F.struct("label", "n")))  # one entry per label

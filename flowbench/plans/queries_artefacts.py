@@ -57,7 +57,7 @@ def train_test_pair(spark, sf_dir):
 def prepared_sink(spark, sf_dir):
     root = shared_folder(spark, "prepared")
     split = prepare_split(flows(spark, sf_dir), EVENTS, COMMON_SET, SplitSpec("random_80_20"))
-    folder = sinks.write_prepared(split.rows, split.metadata(), root, "random_80_20")
+    folder = sinks.write_prepared(split.rows, split.metadata, root, "random_80_20")
     train, test = sinks.read_prepared(spark, folder)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return both.groupBy("part", "label").agg(F.count("*").alias("n"), F.round(F.sum("flow_duration"), 6).alias("seconds"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,12 @@ def under_root(root: str, name: str) -> str:
 
 
 def write_prepared(
-    parts: DataFrame, metadata: DataFrame | None, root: str, split_id: str, overwrite: bool = False
+    parts: DataFrame, metadata: DataFrame | Callable[[DataFrame], DataFrame] | None, root: str, split_id: str, overwrite: bool = False
 ) -> str:
     """Train and test rows in one write, one folder per part, next to a one-row JSON description.
 
+    A description given as a function is made from the written rows, so the split is not computed again for it.
+
     Returns the split's folder. An existing split is refused unless ``overwrite`` is set.
     """
     spark = parts.sparkSession
@@ -47,6 +50,8 @@ def write_prepared(
         raise SinkError(f"the prepared split already exists: {folder}")
     mode = "overwrite" if overwrite else "errorifexists"
     parts.write.mode(mode).partitionBy("part").parquet(f"{folder}/rows")
+    if callable(metadata):
+        metadata = metadata(spark.read.schema(parts.schema).parquet(f"{folder}/rows"))
     if metadata is not None:
         metadata.coalesce(1).write.mode(mode).json(f"{folder}/metadata")
     return folder
