@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from flowbench.session import shared_folder
 
 # Code points of a block's texts. A longer document is a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 # Words of the documents that are packed together.
 CHUNK_WORDS = 65_536
 # Parts into which a block's words are dealt by hash: a row of the shuffle holds about a thousandth of a block's words.
