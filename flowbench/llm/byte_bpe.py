@@ -28,6 +28,8 @@ BLOCK_CHARS = 8_000_000
 CHUNK_WORDS = 65_536
 # Parts into which a block's words are dealt by hash: a row of the shuffle holds about a thousandth of a block's words.
 WORD_PARTS = 1024
+# Documents that go back to Spark at once.
+ROWS_AT_ONCE = 512
 # Words an encoding task remembers; beyond this it forgets all and goes on.
 REMEMBERED = 500_000
 
@@ -88,19 +90,21 @@ def decode(encoded: DataFrame, tokens: list[bytes], ids_col: str = "token_ids")
         lengths = np.array([len(t) for t in shared.value], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)])
         pool = np.frombuffer(b"".join(shared.value), np.uint8)
-        for batch in batches:
-            out = []
-            for packed in batch.column(ids_col):
-                packed = packed.as_py()
-                if packed is None:
-                    out.append(None)
-                    continue
-                pieces = []
-                for i in range(0, len(packed), 4_000_000):
-                    ids = np.frombuffer(packed[i : i + 4_000_000], "<u4")
-                    pieces.append(_gather(pool, starts[ids], lengths[ids])[0].tobytes())
-                out.append(b"".join(pieces))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                out = []
+                for packed in batch.column(ids_col):
+                    packed = packed.as_py()
+                    if packed is None:
+                        out.append(None)
+                        continue
+                    pieces = []
+                    for i in range(0, len(packed), 4_000_000):
+                        ids = np.frombuffer(packed[i : i + 4_000_000], "<u4")
+                        pieces.append(_gather(pool, starts[ids], lengths[ids])[0].tobytes())
+                    out.append(b"".join(pieces))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields]
     return encoded.mapInArrow(joined, ", ".join([*kinds, "decoded binary"]))
@@ -267,6 +271,7 @@ def _reassemble(width: int):
                 keys.append(key)
                 counts.append(sum(len(p) for p in pieces))
                 out.append(b"".join(p.astype("<u4").tobytes() for p in pieces))
-        return pa.table({"id": pa.array(keys, id_kind), "n_tokens": pa.array(counts, pa.int64()), "token_ids": pa.array(out, pa.binary())})
+        whole = pa.table({"id": pa.array(keys, id_kind), "n_tokens": pa.array(counts, pa.int64()), "token_ids": pa.array(out, pa.binary())})
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=ROWS_AT_ONCE), whole.schema)
 
     return run
