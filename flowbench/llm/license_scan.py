@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,24 +68,26 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """Suffix automaton of several word sequences; ``ends`` has, by state, the sequences (as bits) that contain its words."""
+    """Suffix automaton of several word sequences; ``ends`` has, by state, the sequences (as bits) that contain its words, ``at`` where they end in each."""
 
     step: list[dict[int, int]]
     link: list[int]
     longest: list[int]
     ends: list[int]
+    at: list[dict[int, tuple[int, ...]]]
 
     @classmethod
     def of(cls, sequences: list[list[int]]) -> Automaton:
-        self = cls([{}], [-1], [0], [0])
+        self = cls([{}], [-1], [0], [0], [{}])
         for bit, sequence in enumerate(sequences):
             last, spine = 0, []
             for word in sequence:
                 last = self._extend(last, word)
                 spine.append(last)
-            for state in spine:
-                while state > 0 and not self.ends[state] >> bit & 1:
+            for place, state in enumerate(spine):
+                while state > 0:
                     self.ends[state] |= 1 << bit
+                    self.at[state][bit] = (*self.at[state].get(bit, ()), place)
                     state = self.link[state]
         return self
 
@@ -91,6 +95,7 @@ class Automaton:
         self.step.append({} if like is None else dict(self.step[like]))
         self.link.append(-1 if like is None else self.link[like])
         self.ends.append(0 if like is None else self.ends[like])
+        self.at.append({} if like is None else dict(self.at[like]))
         self.longest.append(longest)
         return len(self.step) - 1
 
@@ -169,7 +174,7 @@ class Scanner:
         a, before = self.automaton, (0, 0)
         for i, (state, length) in enumerate(a.statistics(ids)):
             if before[1] >= length and before[1] >= LONG:  # the match before this word could not be prolonged
-                matches.append((begin + i - before[1], begin + i - 1, a.ends[before[0]]))
+                matches.append((begin + i - 1, before[1], a.at[before[0]]))
             before = state, length
             while state > 0:
                 for size, k in self.phrase_at.get(state, ()):
@@ -177,25 +182,71 @@ class Scanner:
                         places.append((begin + i - size + 1, k))
                 state = a.link[state]
         if before[1] >= LONG:
-            matches.append((begin + len(ids) - before[1], begin + len(ids) - 1, a.ends[before[0]]))
+            matches.append((begin + len(ids) - 1, before[1], a.at[before[0]]))
 
     def _chains(self, matches: list) -> list[tuple[int, int, int, float]]:
+        """Spans: chains of matches that advance in the text and in the template, with the share of the template's words in them."""
         spans, skip = [], len(self.phrases)
-        for t, size in enumerate(self.sizes):
-            first = last = covered = None
-            for begin, end, inside in [*matches, (None, None, -1)]:
-                if not inside >> (t + skip) & 1:
-                    continue
-                if first is not None and (begin is None or begin - last > GAP):
-                    spans.append((first, last, t, min(1.0, covered / size)))
-                    first = None
-                if begin is None:
-                    break
-                if first is None:
-                    first, covered, last = begin, 0, begin - 1
-                covered += max(0, end - max(last, begin - 1))
-                last = max(last, end)
-        return sorted(s for s in spans if s[3] >= COVERED)
+        pieces = defaultdict(list)
+        for last, length, at in matches:
+            for bit, places in at.items():
+                if bit >= skip:
+                    pieces[bit - skip].extend((last, place, length) for place in places)
+        for t, parts in pieces.items():
+            todo = [parts]
+            while todo:
+                parts = todo.pop()
+                found = _best_chains(parts, COVERED * self.sizes[t])
+                spans.extend((first, last, t, covered / self.sizes[t]) for first, last, covered in found)
+                if found:  # what lies between the chains may hold others
+                    todo.extend(_between(parts, [(first, last) for first, last, _ in found]))
+        return sorted(spans)
+
+
+def _best_chains(parts: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """First word, last word and covered template words of disjoint chains of at least ``least`` words, in text order.
+
+    The fullest chain goes first, of equally full ones the shortest. A part is its last word in the text, the one in the template, and its length; parts come by last word. Where two overlap on either
+    side, the later one gives up its first words, so no word of the text or the template counts twice. A chain advances in the template
+    with every part, so only parts near in the text are compared, however long the text is.
+    """
+    best: list[tuple[int, int]] = []  # by part, covered words and first word of the fullest chain that ends with it
+    for i, (last, place, length) in enumerate(parts):
+        own = length, last - length + 1
+        for j in range(i - 1, -1, -1):
+            before, there, _ = parts[j]
+            if last - length + 1 - before > GAP:
+                break
+            lost = max(0, before - last + length, there - place + length)
+            if lost < length and last - length + 1 + lost - before <= GAP:
+                own = max(own, (best[j][0] + length - lost, best[j][1]))
+        best.append(own)
+    ranked = sorted((-covered, last - first, last) for (covered, first), (last, _, _) in zip(best, parts) if covered >= least)
+    chosen: list[tuple[int, int, int]] = []
+    for minus, extent, last in ranked:
+        place = bisect(chosen, (last,))
+        first = last - extent
+        if (place == 0 or chosen[place - 1][1] < first) and (place == len(chosen) or chosen[place][0] > last):
+            chosen.insert(place, (first, last, -minus))
+    return chosen
+
+
+def _between(parts: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+    """The parts, cut to each stretch of text before, between and after the taken ones (in text order), where ``LONG`` words are left."""
+    free: list[list[tuple[int, int, int]]] = [[] for _ in range(len(taken) + 1)]
+    for last, place, length in parts:
+        k = bisect(taken, (last - length + 1, -1))
+        while k <= len(taken):
+            low = taken[k - 1][1] + 1 if k else 0
+            high = taken[k][0] - 1 if k < len(taken) else last
+            if low > last:
+                break
+            cut = max(0, last - high)
+            left = last - cut - max(low, last - length + 1) + 1
+            if left >= LONG:
+                free[k].append((last - cut, place - cut, left))
+            k += 1
+    return [sorted(f) for f in free if f]
 
 
 @functools.cache

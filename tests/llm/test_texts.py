@@ -1,5 +1,6 @@
 """Operators that read each text by itself: BPE, toxicity, licenses, quality rules."""
 
+import itertools
 import random
 import re
 
@@ -185,6 +186,43 @@ def test_license_spans(spark, edge_docs, no_docs):
     assert license_scan.scan_licenses(edge_docs).count() == edge_docs.count() and license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_license_chains_advance_in_the_template(spark):
+    part, whole = "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0"
+    texts = [
+        part + " and " + part,  # four words of seven, twice
+        whole + " and " + whole,
+        "BY-SA 4.0 Licensed under CC",  # both pieces, in the wrong order
+        "Licensed under CC, see there, BY-SA 4.0",
+        part + " " + part + " " + whole,
+        (part + " ") * 3_000 + (whole + " ") * 3_000,
+    ]
+    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: [(s["first_word"], s["last_word"], s["label"], s["covered"]) for s in r["spans"]] for r in found}
+    assert spans[0] == spans[2] == []
+    assert spans[1] == [(0, 6, "cc-by-sa", 1.0), (8, 14, "cc-by-sa", 1.0)]
+    assert spans[3] == [(0, 8, "cc-by-sa", 1.0)]
+    assert spans[4] == [(12, 18, "cc-by-sa", 1.0)]
+    assert spans[5] == [(18_000 + 7 * i, 18_006 + 7 * i, "cc-by-sa", 1.0) for i in range(3_000)]
+    assert {r["doc_id"]: r["score"] for r in found} == {0: 0.5, 1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0, 5: 1.0}
+
+
+def test_license_chains_equal_a_search():
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = sorted({(rng.randrange(2, 12), rng.randrange(2, 9), 0) for _ in range(rng.randrange(1, 7))})
+        parts = [(last, place, rng.randrange(1, min(last, place) + 2)) for last, place, _ in parts]
+        best = 0
+        for size in range(1, len(parts) + 1):
+            for chain in itertools.combinations(parts, size):
+                covered, ok = chain[0][2], True
+                for (a, x, _), (b, y, length) in zip(chain, chain[1:]):
+                    new = min(length, b - a, y - x)
+                    ok = ok and new > 0
+                    covered += new
+                best = max(best, covered if ok else 0)
+        assert max(covered for _, _, covered in license_scan._best_chains(parts, 1)) == best
+
+
 def plain_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
