@@ -38,18 +38,26 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return first.where("pipeline_n = 1").select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written once: ids can be null or stand at several rows."""
+    return written(docs.withColumn("pipeline_row", F.monotonically_increasing_id()), "numbered")
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document that gives the group its id: the smallest. Rows with one id go or stay together."""
-    groups = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    kept = groups.where("doc_id <=> component_id").select(_key())
-    return docs.select("*", _key()).join(kept, "pipeline_key", "left_semi").select(docs.columns)
+    """Of each group of near-duplicates, one row: the one with the smallest id (null is largest; of rows with that id, the first)."""
+    rows = _numbered(docs)
+    ordered = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "pipeline_row").alias("pipeline_id")
+    groups = simhash.near_duplicates(rows.select(ordered, "text"), shingle=3, max_bits=2, id_col="pipeline_id")
+    kept = groups.where("pipeline_id.pipeline_row = component_id.pipeline_row").select("pipeline_id.pipeline_row")
+    return rows.join(kept, "pipeline_row", "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows with one id as often as the most taken of them."""
-    times = F.max(F.expr("cast(taken div size AS int)")).alias("pipeline_times")
-    taken = mixing.mix(docs).where("taken > 0").groupBy(_key()).agg(times)
-    joined = docs.select("*", _key()).join(taken, "pipeline_key")
+    """Every row as often as the mix takes it."""
+    rows = _numbered(docs)
+    times = F.expr("cast(taken div size AS int)").alias("pipeline_times")
+    taken = mixing.mix(rows, row_col="pipeline_row").where("taken > 0").select(F.col("row").alias("pipeline_row"), times)
+    joined = rows.join(taken, "pipeline_row")
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "pipeline_times")).alias("pipeline_pass")).select(docs.columns)
 
 

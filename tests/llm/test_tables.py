@@ -277,3 +277,20 @@ def test_pipeline_edges(spark, edge_docs, no_docs, sf_dir):
             kept = written(stage(spark, docs, sf_dir), "test-stage")
             assert kept.count() <= 3 * docs.count()
             docs = kept
+
+
+def test_pipeline_tells_rows_apart_without_ids(spark, sf_dir):
+    schema = "doc_id long, text string, source string"
+    first, second, third, fourth = (" ".join(f"{name}{i}" for i in range(40)) for name in ("ab", "cd", "ef", "gh"))
+    rows = [(None, first, "a"), (None, first, "b"), (None, first.upper(), "a"), (5, second, "a"), (None, second, "a"), (7, third, "a"), (7, third.upper(), "b"), (7, fourth, "a")]
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, schema), sf_dir).collect()
+    assert sorted((str(r["doc_id"]), lowered(r["text"])) for r in kept) == sorted([("None", first), ("5", second), ("7", third), ("7", fourth)])
+    rows = [(i if i % 5 == 0 else 3 if i % 5 == 1 else None, " ".join(f"{'abc'[i % 3]}{i}x{k}" for k in range(10 + i % 4)), "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, schema)
+    words, times = defaultdict(int), defaultdict(int)
+    for r in corpus_pipeline.mix(spark, docs, sf_dir).collect():
+        words[r["source"]] += len(r["text"].split())
+        times[r["text"]] += 1
+    assert max(times.values()) <= 3 and len(times) < 300
+    goals = mixing.targets([sum(len(t.split()) for _, t, s in rows if s == x) for x in "abc"], list(mixing.WEIGHTS))
+    assert all(abs(words[x] - goal) < 14 for x, goal in zip("abc", goals))
