@@ -132,7 +132,7 @@ def saved_split(spark, sf_dir):
 def saved_detector(spark, sf_dir):
     folder = shared_folder(spark, "detector")
     train, test = learnable_parts(spark, sf_dir)
-    fitted = random_forest(trees=5, depth=5).fit(train, FEATURES, "y")
+    fitted = random_forest().fit(train, FEATURES, "y")
     fitted.save(spark, folder)
     again = FittedLearner.load(spark, folder, "random_forest")
     before = fitted.score(test).select("flow_id", F.col("prediction").alias("before"))

@@ -73,12 +73,12 @@ def beats_majority(detector, spark, sf_dir, features=FEATURES):
 
 @query("j4_boosted_trees", facts_check("boosted_trees"))
 def boosted(spark, sf_dir):
-    return beats_majority(boosted_trees(rounds=8, depth=4), spark, sf_dir)
+    return beats_majority(boosted_trees(), spark, sf_dir)
 
 
 @query("j5_random_forest", facts_check("random_forest"))
 def forest(spark, sf_dir):
-    return beats_majority(random_forest(trees=15, depth=8), spark, sf_dir)
+    return beats_majority(random_forest(), spark, sf_dir)
 
 
 @query("j6_i7_selected_tree", facts_check("decision_tree"))
@@ -126,7 +126,7 @@ def support_vectors(spark, sf_dir):
 
 @query("j11_kernel_svm", facts_check("kernel_svm", "detects_most"))
 def kernel_support_vectors(spark, sf_dir):
-    return _detects_most(KernelSvm(size=48, iterations=40), spark, sf_dir)
+    return _detects_most(KernelSvm(), spark, sf_dir)
 
 
 @query("j7_adaboost", facts_check("adaboost"))
@@ -161,7 +161,7 @@ def clusters(spark, sf_dir):
 def energies(spark, sf_dir):
     # The threshold is the 95th percentile of the normal training rows, so 5 % of these lie above it.
     train, _ = learnable_parts(spark, sf_dir)
-    fitted = EnergyDetector(encoding=3).fit(train, FEATURES, "y")
+    fitted = EnergyDetector().fit(train, FEATURES, "y")
     normal = fitted.score(train.where("y = 0"))
     row = normal.agg(F.count("*").alias("normal_rows"), F.sum("prediction").alias("hits"))
     floor = F.floor(F.col("normal_rows") * F.lit(0.05)).cast("bigint")
@@ -253,7 +253,7 @@ def scores_of_models(spark, sf_dir):
     """Probabilities lie in 0 to 1, margins have the sign of the prediction; a model gives one or the other."""
     train, test = learnable_parts(spark, sf_dir)
     out = None
-    for detector in (softmax(), random_forest(trees=4, depth=4), network((8,), iterations=10), linear_svm()):
+    for detector in (softmax(), random_forest(), network(), linear_svm()):
         scored = detector.fit(train, FEATURES, "y").score(test)
         kind = "probability" if "probability" in scored.columns else "margin"
         value = F.col(kind)

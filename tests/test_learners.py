@@ -1,3 +1,5 @@
+import importlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +198,33 @@ def test_outside_models_score_batches(two_classes):
     scored = ExternalDetector(WithProbability, ["a"]).score(two_classes)
     assert scored.where("(a > 2) <> (prediction = 1) OR abs(probability - 1 / (1 + exp(2 - a))) > 1e-9").count() == 0
     assert ExternalDetector(Rule, ["a"]).score(two_classes).where("probability IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("name, module, made", [
+    ("j4_boosted_trees", "queries_learners", ["boosted_trees"]),
+    ("j5_random_forest", "queries_learners", ["random_forest"]),
+    ("j11_kernel_svm", "queries_learners", ["KernelSvm"]),
+    ("j17_energy_detector", "queries_learners", ["EnergyDetector"]),
+    ("j18_scores_of_models", "queries_learners", ["softmax", "random_forest", "network", "linear_svm"]),
+    ("j20_saved_detector", "queries_artefacts", ["random_forest"]),
+])
+def test_queries_use_the_detectors_defaults(monkeypatch, name, module, made):
+    class Asked(Exception):
+        pass
+
+    class Stub:
+        name = "stub"
+
+        def fit(self, *args):
+            raise Asked
+
+    module, calls = importlib.import_module(f"flowbench.plans.{module}"), []
+    for m in {module, importlib.import_module("flowbench.plans.queries_learners")}:
+        monkeypatch.setattr(m, "learnable_parts", lambda *a: (None, None))
+    for d in made:
+        monkeypatch.setattr(module, d, lambda *a, d=d, **k: calls.append((d, a, k)) or Stub())
+    if hasattr(module, "shared_folder"):
+        monkeypatch.setattr(module, "shared_folder", lambda *a: "")
+    with pytest.raises(Asked):
+        importlib.import_module("__spark_entry__").queries()[name](None, "")
+    assert calls == [(d, (), {}) for d in made]
