@@ -31,7 +31,8 @@ def rules() -> tuple[Rule, ...]:
         Rule(0, "few_words", c("n_words") < 10),
         Rule(1, "repeated_windows", 100 * c("n_repeat_words") > 20 * c("n_words")),
         Rule(2, "symbols", 2 * c("n_symbols") > c("n_words")),
-        Rule(3, "repeated_lines", 100 * c("n_dup_lines") > 30 * c("n_lines")),
+        # A share alone would reject a text of three lines for one refrain.
+        Rule(3, "repeated_lines", (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 30 * c("n_lines"))),
         Rule(4, "word_length", (c("word_chars") > 25 * c("n_words")) | (c("word_chars") < 2 * c("n_words"))),
         Rule(5, "exclamations", c("n_marks") > c("n_words")),
     )

@@ -147,7 +147,7 @@ WITH t AS (
     SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, n_marks, n_lines
     FROM base LEFT JOIN repeated USING (doc_id)
 ), b AS (
-    SELECT *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (2 * n_symbols > n_words)::int + 8 * (100 * n_dup_lines > 30 * n_lines)::int
+    SELECT *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (2 * n_symbols > n_words)::int + 8 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::int
               + 16 * (word_chars > 25 * n_words OR word_chars < 2 * n_words)::int + 32 * (n_marks > n_words)::int AS fail_bits FROM m
 )
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
