@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import byte_bpe, license_scan, mixing, quality_rules, sharding, simhash, toxicity, url_filters, warc
-from flowbench.llm.common import table
+from flowbench.llm import byte_bpe, license_scan, merkle, mixing, quality_rules, sharding, simhash, toxicity, url_filters, warc
+from flowbench.llm.common import ascii_lower, table
 from flowbench.llm.exact_dedup import DigestIndex
 from flowbench.plans.catalog import query
 from flowbench.session import shared_folder
@@ -168,3 +168,71 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Unsigned CRC-32 of a text's bytes, from its hex form ``{}``; ``crc_table`` is a CTE of one row.
+_CRC_TABLE = """crc_table(tab) AS MATERIALIZED (
+    SELECT list(list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) r(i)
+)"""
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length({0}) // 2 + 1),
+    lambda k: 16 * (strpos('0123456789ABCDEF', substr({0}, 2 * k - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr({0}, 2 * k, 1)) - 1)),
+    lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+_NETSTRING = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE}, texts AS (
+    SELECT doc_id, lang, doc_id::varchar AS d, source, n_chars::varchar AS n, text, {_CRC.format("hex(doc_id::varchar)")} % 3 = 0 AS touched FROM documents, crc_table
+), parts AS (
+    SELECT *, {_NETSTRING.format("d")} || {_NETSTRING.format("source")} || {_NETSTRING.format("lang")} || {_NETSTRING.format("n")} AS front,
+           CASE WHEN touched THEN {_LOWER.format("text")} ELSE text END AS changed FROM texts
+), leaf AS (
+    SELECT *, sha256(front || {_NETSTRING.format("text")}) AS h, sha256(front || {_NETSTRING.format("changed")}) AS claim FROM parts
+), leaves AS MATERIALIZED (
+    SELECT doc_id, coalesce('=' || lang, '-') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS r,
+           count(*) OVER (PARTITION BY lang) AS n, h, claim FROM leaf
+), nodes AS (
+    SELECT tree, 0 AS lvl, r AS i, h, n FROM leaves
+    UNION ALL
+    SELECT tree, any_value(lvl) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value(n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, i // 8
+), subroots AS MATERIALIZED (
+    SELECT tree, h AS subroot, lvl AS levels, row_number() OVER (ORDER BY tree) - 1 AS r, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+    SELECT 0 AS lvl, r AS i, subroot AS h, n FROM subroots
+    UNION ALL
+    SELECT any_value(lvl) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value(n + 7) // 8 FROM tops WHERE n > 1 GROUP BY i // 8
+), around AS MATERIALIZED (
+    SELECT a.tree, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+    FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL
+), around_top AS MATERIALIZED (
+    SELECT a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+    FROM tops a JOIN tops b ON a.lvl = b.lvl AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL
+), steps AS MATERIALIZED (
+    SELECT v.tree, v.r AS leaf, a.lvl, a.l, a.r FROM leaves v JOIN around a ON a.tree = v.tree AND a.i = v.r >> (3 * a.lvl)
+    UNION ALL
+    SELECT v.tree, v.r, s.levels + a.lvl, a.l, a.r FROM leaves v JOIN subroots s USING (tree) JOIN around_top a ON a.i = s.r >> (3 * a.lvl)
+), folds AS (
+    SELECT tree, r AS leaf, 0 AS lvl, claim AS h, '' AS proof FROM leaves
+    UNION ALL
+    SELECT f.tree, f.leaf, f.lvl + 1, sha256(s.l || f.h || s.r), f.proof || s.l || s.r FROM folds f JOIN steps s ON s.tree = f.tree AND s.leaf = f.leaf AND s.lvl = f.lvl
+), last AS (
+    SELECT tree, leaf, arg_max(h, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM folds GROUP BY ALL
+), whole AS (
+    SELECT h AS root FROM tops WHERE n = 1
+)
+SELECT v.doc_id, v.h AS leaf, s.subroot, root, sha256(last.proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves v JOIN subroots s USING (tree) JOIN last ON last.tree = v.tree AND last.leaf = v.r, whole
+"""
+
+
+@query("op12_merkle_manifest", _OP12)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    row = lambda text: merkle.row_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, row(ascii_lower(F.col("text"))))
+    manifest = merkle.build(docs, row(F.col("text")), F.col("lang"), F.col("doc_id"), claim=tampered, carry=("doc_id",))
+    root = F.lit(manifest.root())
+    subroots = manifest.trees.select("tree", F.lower(F.hex("subroot")).alias("subroot"))
+    proofs = merkle.prove(manifest).select("carried.doc_id", "tree", "leaf", F.sha2("proof", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"))
+    return proofs.join(subroots, "tree").select(
+        "doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified")
+    )
