@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbench.llm import byte_bpe, license_scan, merkle, mixing, quality_rules, sharding, simhash, toxicity, url_filters, warc
+from flowbench.llm import byte_bpe, license_scan, merkle, mixing, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filters, variants, warc
 from flowbench.llm.common import ascii_lower, table
 from flowbench.llm.exact_dedup import DigestIndex
 from flowbench.plans.catalog import query
@@ -236,3 +236,48 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.join(subroots, "tree").select(
         "doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified")
     )
+
+
+_OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+    SELECT run, n, {_CRC.format("hex(doc_id::varchar || ':' || run)")} AS h FROM runs, crc_table WHERE length(run) >= 5
+), words AS MATERIALIZED (
+    SELECT word, sum(n)::bigint AS n
+    FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS MATERIALIZED (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT DISTINCT s.word AS a, w.word AS b, w.n AS b_n FROM shorter s JOIN words w ON w.word = s.rest
+    UNION
+    SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON w.word = s.rest
+    UNION
+    SELECT s.word, t.word, t.n FROM shorter s JOIN shorter t ON s.i = t.i AND s.rest = t.rest AND s.word <> t.word
+), best AS (
+    SELECT a, count(*) AS n_near, max(b_n) AS form_n, arg_min(b, (-b_n, encode(b))) AS form FROM near GROUP BY a
+), formed AS MATERIALIZED (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+    FROM words LEFT JOIN best ON a = word
+), steps AS (
+    SELECT word, word AS at, 0 AS k FROM formed
+    UNION ALL
+    SELECT s.word, f.form, s.k + 1 FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, last.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(at, k) AS root FROM steps GROUP BY word) last USING (word)
+"""
+
+
+@query("op13_spelling_variants", _OP13)
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.letter_runs(table(spark, sf_dir, "documents"))
+    slipped = runs.withColumn("h", F.crc32(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("run"))))
+    word = F.when(F.col("h") % 97 == 0, F.concat(F.expr("substring(run, 1, cast(h % length(run) AS int))"), F.expr("substring(run, cast(h % length(run) AS int) + 2)"))).otherwise(F.col("run"))
+    return variants.variants(variants.count_words(slipped, word))
+
+
+@query("op11_suffix_dedup")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
