@@ -261,11 +261,13 @@ WITH RECURSIVE {_CRC_TABLE}, runs AS (
     SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
     FROM words LEFT JOIN best ON a = word
 ), steps AS (
-    SELECT word, word AS at, 0 AS k FROM formed
+    SELECT word, word AS reached, 0 AS k FROM formed
     UNION ALL
-    SELECT s.word, f.form, s.k + 1 FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NOT NULL
+    SELECT s.word, f.form, s.k + 1 FROM steps s JOIN formed f ON f.word = s.reached WHERE f.form IS NOT NULL
+), roots AS (
+    SELECT word, arg_max(reached, k) AS root FROM steps GROUP BY word
 )
-SELECT f.word, f.form, last.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT word, arg_max(at, k) AS root FROM steps GROUP BY word) last USING (word)
+SELECT f.word, f.form, roots.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots USING (word)
 """
 
 

@@ -58,7 +58,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col
         raise ValueError("the seed must not be longer than the string, nor that longer than 32,767 bytes")
     texts = _block_table(spark, docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), width, seed)
     places = texts.select("block", "doc", F.inline("places"))
-    repeated = places.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # Written, so that both sides of the join are plain exchanges: a seed with very many places is split there.
+    repeated = written(places.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "seeds")
     places = written(places.join(repeated, "seed", "left_semi"), "places")
     classes = places.groupBy("seed", "hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("block", "doc", "pos", "far", "near")).alias("first"))
     classes = written(classes, "classes")
