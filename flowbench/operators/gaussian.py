@@ -108,9 +108,13 @@ class FittedDiscriminant:
 
 @dataclass
 class LinearDiscriminant:
-    """Class means and one covariance for all classes. ``shrinkage`` pulls it towards a multiple of the identity."""
+    """Class means and one covariance for all classes.
 
-    shrinkage: float | None = None
+    ``shrinkage`` pulls it towards a multiple of the identity; "auto" takes the share of Ledoit and Wolf (2004) from the data, with features
+    scaled to the same spread. A singular covariance is inverted on the directions in which rows differ.
+    """
+
+    shrinkage: float | str | None = None
     name: str = "linear_discriminant"
 
     def fit(self, train: DataFrame, features: Sequence[str], label: str) -> FittedDiscriminant:
@@ -132,10 +136,19 @@ class LinearDiscriminant:
         if self.shrinkage is not None:
             # The shrunk estimate divides by the number of rows.
             within = within * math.sqrt(max(n - k, 1) / n)
-        cov = corr * np.outer(within, within)
-        if self.shrinkage is not None:
+        varied = within > 0
+        corr = np.where(np.outer(varied, varied), corr, 0.0)
+        if self.shrinkage == "auto":
+            share = _ledoit_wolf(centred, corr, within, n)
+            corr = (1 - share) * corr + share * np.diag(varied.astype(float))
+        # Inverted at one scale for all features: widths differ by many powers of ten.
+        spread = np.where(varied, within, 1.0)
+        if self.shrinkage is None or self.shrinkage == "auto":
+            inverse = np.linalg.pinv(corr, hermitian=True) / np.outer(spread, spread)
+        else:
+            cov = corr * np.outer(within, within)
             cov = (1 - self.shrinkage) * cov + self.shrinkage * np.trace(cov) / d * np.eye(d)
-        inverse = np.linalg.pinv(cov, hermitian=True)
+            inverse = np.linalg.pinv(cov, hermitian=True)
         weights, offsets = {}, {}
         for y, m in moments.items():
             mean = np.array(m["m"])
@@ -143,3 +156,15 @@ class LinearDiscriminant:
             weights[y] = w.tolist()
             offsets[y] = float(math.log(m["n"] / n) - 0.5 * mean @ w)
         return FittedDiscriminant(list(features), weights, offsets)
+
+
+def _ledoit_wolf(centred: DataFrame, corr: np.ndarray, within: np.ndarray, n: int) -> float:
+    """Share of the identity that brings the estimate closest to the true covariance, from the rows' fourth moments in one aggregate."""
+    own = [i for i, w in enumerate(within) if w > 0]
+    if not own:
+        return 0.0
+    length = sum((F.pow(F.col(f"_c{i}") / F.lit(float(within[i])), 2) for i in own), F.lit(0.0))
+    fourth = centred.agg(F.avg(length * length)).first()[0]
+    squares, p = float((corr**2).sum()), len(own)
+    noise, distance = (fourth - squares) / (p * n), (squares - p) / p
+    return min(noise, distance) / distance if distance > 1e-12 else 0.0

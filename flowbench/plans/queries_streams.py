@@ -143,5 +143,5 @@ def run_index(spark, sf_dir):
     reports = stream.select(F.expr("concat('run', src_host)").alias("run_id"), "flow_start_ts")
     folder = shared_folder(spark, "index")
     streams.append_new_runs(reports, "run_id", "flow_start_ts", folder)
-    index = spark.read.parquet(f"{folder}/index")
+    index = streams.run_index(spark, folder, reports.schema)
     return index.groupBy("run_id").agg(F.count("*").cast("int").alias("copies"))

@@ -132,22 +132,43 @@ def to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def committed_batches(spark: SparkSession, folder: str) -> list[str]:
+    """Batches whose rows stand in an index in full: each left its name in the manifest after its rows were written."""
+    manifest = f"{folder}/committed"
+    path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return sorted(r["batch"] for r in spark.read.schema("batch string").json(f"{manifest}/*").distinct().collect())
+
+
+def run_index(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The rows of all committed batches; what a batch left that was never committed is not read."""
+    folders = [f"{folder}/index/{b}" for b in committed_batches(spark, folder)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def append_new_runs(stream: DataFrame, run_id: str, time: str, folder: str, late: str = "1 day") -> None:
-    """Appends finished runs to the run index once each, however often and how late a run is reported again.
+    """Appends finished runs to the run index once each, however often and how late a run is reported again, also after restarts.
 
-    Reports within ``late`` of each other are merged by state that the watermark frees; older ones are found in the index itself.
+    Reports within ``late`` of each other are merged by state that the watermark frees; older ones are found in the index itself. Rows go to
+    ``folder/index/<stream>-<batch>``, and the batch's name to the manifest ``folder/committed`` once they are there. A start reads the
+    manifest, so runs that an earlier process appended are known. A batch that is run again replaces its own rows, and a new
+    checkpoint (its stream has another name) replaces none.
     """
     once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([run_id])
-    done: set[int] = set()
+    spark = stream.sparkSession
+    done = set(committed_batches(spark, folder))
 
     def append(batch: DataFrame, number: int) -> None:
-        # One folder per batch: a batch that is run again after a failure replaces its own rows.
-        earlier = [f"{folder}/index/batch={n}" for n in sorted(done - {number})]
+        own = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        earlier = [f"{folder}/index/{n}" for n in sorted(done - {own})]
         if earlier:
             known = batch.sparkSession.read.schema(batch.schema).parquet(*earlier).select(run_id)
             batch = batch.join(known, run_id, "left_anti")
-        batch.write.mode("overwrite").parquet(f"{folder}/index/batch={number}")
-        done.add(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/index/{own}")
+        named = batch.sparkSession.createDataFrame([(own,)], "batch string").coalesce(1)
+        named.write.mode("overwrite").json(f"{folder}/committed/{own}")
+        done.add(own)
 
     run = (
         once.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/checkpoint")

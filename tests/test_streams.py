@@ -1,4 +1,7 @@
 import datetime
+import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +64,44 @@ def test_a_run_reported_twice_is_kept_once(spark, tmp_path):
     for _ in range(2):
         stream = streams.read_stream(spark, str(source), SCHEMA, files_per_batch=1)
         streams.append_new_runs(stream, "host", "ts", str(tmp_path / "index"))
-    kept = spark.read.parquet(str(tmp_path / "index" / "index"))
+    kept = streams.run_index(spark, str(tmp_path / "index"), stream.schema)
     assert sorted(r["host"] for r in kept.collect()) == ["run1", "run2"]
 
 
+RESTARTED = """
+import sys
+sys.path.insert(0, {root!r})
+from flowbench.session import build_session
+from flowbench.streaming import streams
+spark = build_session("restart", "local[2]", 2, {{"spark.ui.showConsoleProgress": "false"}})
+stream = streams.read_stream(spark, {source!r}, {schema!r}, files_per_batch=1)
+streams.append_new_runs(stream, "host", "ts", {folder!r})
+"""
+
+
+def test_run_index_outlives_its_process(spark, tmp_path):
+    """Another process appends first. After the restart a late repeat, a batch that was never committed and a lost checkpoint change nothing."""
+    source, folder = tmp_path / "in", tmp_path / "index"
+    noon = lambda day: datetime.datetime(2024, 1, day, 12, tzinfo=datetime.timezone.utc)
+    add_file(spark, source, [("run1", noon(1), 0), ("run2", noon(1), 0)])
+    text = RESTARTED.format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), source=str(source), folder=str(folder), schema=SCHEMA.simpleString()[7:-1].replace(":", " "))
+    subprocess.run([sys.executable, "-c", text], check=True, timeout=120, capture_output=True)
+    assert len(streams.committed_batches(spark, str(folder))) >= 1
+    stream = lambda: streams.read_stream(spark, str(source), SCHEMA, files_per_batch=1)
+    hosts = lambda: sorted(r["host"] for r in streams.run_index(spark, str(folder), stream().schema).collect())
+    assert hosts() == ["run1", "run2"]
+    # The watermark has long freed the state of the first runs when they are reported again.
+    for day, run in ((5, "run3"), (9, "run1"), (14, "run2"), (15, "run4")):
+        add_file(spark, source, [(run, noon(day), 0)])
+    spark.createDataFrame([("run4", noon(15), 0)], SCHEMA).write.parquet(str(folder / "index" / "half-0"))
+    streams.append_new_runs(stream(), "host", "ts", str(folder))
+    assert hosts() == ["run1", "run2", "run3", "run4"]
+    (folder / "checkpoint").rename(folder / "lost")
+    add_file(spark, source, [("run5", noon(16), 0), ("run3", noon(16), 0)])
+    streams.append_new_runs(stream(), "host", "ts", str(folder))
+    assert hosts() == ["run1", "run2", "run3", "run4", "run5"]
+
+
 def test_state_of_no_input(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = streams.read_stream(spark, str(tmp_path / "in"), SCHEMA)
