@@ -24,13 +24,16 @@ from flowbench.session import shared_folder
 
 # Code points of a block's texts. A longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
-# Words of the documents that are packed together.
+# Documents of a block at most: empty texts have no code points.
+BLOCK_DOCS = 65_536
+# Words, or documents, that are packed together.
 CHUNK_WORDS = 65_536
-# Parts into which a block's words are dealt by hash: a row of the shuffle holds about a thousandth of a block's words.
+CHUNK_DOCS = 4096
+# Parts into which a block's words are dealt by hash, at least: a row of the shuffle holds about a thousandth of a block's words.
 WORD_PARTS = 1024
 # Documents that go back to Spark at once.
 ROWS_AT_ONCE = 512
-# Words an encoding task remembers; beyond this it forgets all and goes on.
+# Words an encoding task remembers; beyond this it forgets all and goes on, so that a part with more words encodes some of them again.
 REMEMBERED = 500_000
 
 # Rows of the block table: documents (a chunk), the parts of a block's words in the order of their numbers, or one part's words.
@@ -58,9 +61,11 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "do
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = plain.mapInArrow(_blocks(pattern), f"block string, part int, ids array<{id_type}>, counts array<long>, body binary")
-    name, buckets = f"bpe_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many parts as tasks can encode.
+    found = plain.mapInArrow(_blocks(pattern, max(WORD_PARTS, buckets)), f"block string, part int, ids array<{id_type}>, counts array<long>, body binary")
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
     found.write.bucketBy(buckets, "block").option("path", shared_folder(spark, "bpe-blocks")).option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
     shared = spark.sparkContext.broadcast(tokens)  # bounded by the vocabulary
@@ -126,7 +131,7 @@ class _Codes(dict):
         return code
 
 
-def _blocks(pattern: str):
+def _blocks(pattern: str, parts: int):
     """Per block: rows for its documents in chunks, one for the order of its words, and one for each part of its word list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,40 +150,40 @@ def _blocks(pattern: str):
                 words = find(whole)
                 held.append((key, np.fromiter(map(codes.__getitem__, words), np.uint32, len(words))))
                 size += len(whole)
-                if size >= BLOCK_CHARS:
-                    yield from _block_rows(f"{name}-{serial}", codes, held, schema)
+                if size >= BLOCK_CHARS or len(held) >= BLOCK_DOCS:
+                    yield from _block_rows(f"{name}-{serial}", codes, held, schema, parts)
                     codes, held, size, serial = _Codes(), [], 0, serial + 1
         if held:
-            yield from _block_rows(f"{name}-{serial}", codes, held, schema)
+            yield from _block_rows(f"{name}-{serial}", codes, held, schema, parts)
 
     return run
 
 
-def _block_rows(block: str, codes: dict[str, int], held: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _block_rows(block: str, codes: dict[str, int], held: list, schema: pa.Schema, n_parts: int) -> Iterator[pa.RecordBatch]:
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
     # The most frequent words get the smallest numbers, which pack best.
-    counts = np.zeros(len(codes), np.int64)
-    for _, own in held:
-        counts += np.bincount(own, minlength=len(codes))
+    counts = np.bincount(np.concatenate([own for _, own in held]), minlength=len(codes))
     by_count = np.argsort(-counts, kind="stable")
     rank = np.empty(len(codes), np.uint32)
     rank[by_count] = np.arange(len(codes), dtype=np.uint32)
     chunk: list[tuple] = []
+    n_words = 0
     for i, (key, own) in enumerate(held):
         chunk.append((key, rank[own]))
-        if i + 1 == len(held) or sum(len(c) for _, c in chunk) >= CHUNK_WORDS:
+        n_words += len(own)
+        if i + 1 == len(held) or n_words >= CHUNK_WORDS or len(chunk) >= CHUNK_DOCS:
             body = _pack(np.concatenate([c for _, c in chunk]))
             yield rows([(block, _CHUNK, [k for k, _ in chunk], [len(c) for _, c in chunk], body)])
-            chunk = []
+            chunk, n_words = [], 0
     listed = [w.encode() for w in codes]
     words = [listed[i] for i in by_count]
-    parts = np.fromiter((zlib.crc32(w) % WORD_PARTS for w in words), np.uint32, len(words))
+    parts = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.uint32, len(words))
     yield rows([(block, _ORDER, None, [len(words)], _pack(parts))])
     order = np.argsort(parts, kind="stable")
-    bounds = np.searchsorted(parts[order], np.arange(WORD_PARTS + 1))
-    pieces = [(p, [words[i] for i in order[bounds[p] : bounds[p + 1]]]) for p in range(WORD_PARTS)]
+    bounds = np.searchsorted(parts[order], np.arange(n_parts + 1))
+    pieces = [(p, [words[i] for i in order[bounds[p] : bounds[p + 1]]]) for p in range(n_parts)]
     if lists := [(block, p, None, None, _pack_list(own)) for p, own in pieces if own]:
         yield rows(lists)
 
