@@ -192,7 +192,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, bound: int = TRA
 def learn(docs: DataFrame, labels: DataFrame, held_out, bound: int = TRAIN_ROWS) -> ToxicityModel:
     """Learns a model from labelled documents (``doc_id``, ``text``; ``doc_id``, ``toxic``). Without toxic rows it has no terms."""
     rows = written(training_rows(docs, labels, held_out, bound), "toxic-train")
-    spark = rows.sparkSession
     counts = rows.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = counts.where((F.col("toxic") >= CONTEXTS) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     # At most MAX_CANDIDATES words.
@@ -209,7 +208,6 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, bound: int = TRAIN_ROWS)
     if fit.select("label").distinct().count() < 2:
         return ToxicityModel(terms, harmless, (0.0,) * len(FEATURES), -10.0)
     model = LogisticRegression(regParam=1e-4, standardization=False, maxIter=50).fit(fit)
-    spark.catalog.clearCache()
     return ToxicityModel(terms, harmless, tuple(max(0.0, w) for w in model.coefficients), float(model.intercept))
 
 
