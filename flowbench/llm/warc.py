@@ -129,10 +129,17 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(content: memoryview) -> Iterator[bytes]:
+    """The bytes of all gzip members of a file, one after the other: archives often hold a member for each record."""
     stream = zlib.decompressobj(31)
     for i in range(0, len(content), 1 << 20):
-        yield stream.decompress(content[i : i + (1 << 20)])
-    yield stream.flush()
+        left = content[i : i + (1 << 20)]
+        while len(left):
+            if stream.eof:
+                stream = zlib.decompressobj(31)
+            yield stream.decompress(left)
+            left = stream.unused_data
+    if not stream.eof and len(content):
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
