@@ -152,6 +152,8 @@ class Scanner:
             for word in sequence:
                 state = self.automaton.step[state][word]
             self.phrase_at.setdefault(state, []).append((len(sequence), k))
+        # Phrases of one word have no neighbour that would mark them.
+        self.alone = np.unique([s[0] for s in numbered if len(s) == 1]).astype(np.int32)
         n = len(self.numbers)
         self.pairs = np.zeros((n + 1, n + 1), bool)
         for sequence in numbered:
@@ -168,6 +170,13 @@ class Scanner:
         places, matches = [], []
         for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
             self._stretch(ids[begin : end + 1].tolist(), begin, places, matches)
+        if len(self.alone):
+            apart = np.isin(ids, self.alone)
+            if len(ids) > 1:
+                apart[:-1] &= ~joined
+                apart[1:] &= ~joined
+            for begin in np.flatnonzero(apart).tolist():
+                self._stretch([int(ids[begin])], begin, places, matches)
         return len(words), places, self._chains(matches)
 
     def _stretch(self, ids: list[int], begin: int, places: list, matches: list) -> None:
