@@ -78,7 +78,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     """One row per input row: ``id_col``, ``size``, ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot``, ``grown_shard`` (null).
 
     Shards have sizes as near as whole groups of equal texts allow. ``slot`` numbers the rows of a shard from 0 without a gap, by
-    hash of the text, then id (null first); the order of rows that agree in both is free. A null text has size 8, the checksum of the
+    range of the text's hash (65,536), then a hash of the id, the text's hash and the id; the order of rows that agree in all, and of rows without an id, is free. A null text has size 8, the checksum of the
     empty text, and is equal to an empty one. Repeated rows are rows of their own. Other columns are not returned. An empty table gives no row.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -99,8 +99,9 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     total = sum(n for _, n in found.values())
     heavy = [a for a, (_, n) in found.items() if n * HEAVY > total and n > HEAVY]  # fewer than HEAVY of them
     of_atom = cut(sizes, shards)
-    cell = F.when(F.col("atom").isin(heavy), F.pmod(F.xxhash64("id"), F.lit(CELLS))).otherwise(0).cast("int") if heavy else F.lit(0)
-    rows = rows.withColumn("cell", cell)
+    # Rows of an atom are ordered by this at every size; only heavy atoms are cut up by it.
+    rows = rows.withColumn("turn", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), F.lit(CELLS)).cast("int"))
+    rows = rows.withColumn("cell", F.when(F.col("atom").isin(heavy), F.col("turn")).otherwise(0) if heavy else F.lit(0))
     counts = {(a, 0): n for a, (_, n) in found.items() if a not in set(heavy)}
     if heavy:
         split = rows.where(F.col("atom").isin(heavy)).groupBy("atom", "cell").count()
@@ -114,7 +115,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
         next_slot += counts[key]
     # At most SLOTS + HEAVY * CELLS rows, whatever the table's size.
     placed = spark.createDataFrame(offsets, "atom int, cell int, shard int, offset long")
-    number = F.expr("row_number() OVER (PARTITION BY atom, cell ORDER BY hash, id)")
+    number = F.expr("row_number() OVER (PARTITION BY atom, cell ORDER BY turn, hash, id)")
     return (
         rows.withColumn("number", number)
         .join(F.broadcast(placed), ["atom", "cell"])
