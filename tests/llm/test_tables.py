@@ -1,6 +1,7 @@
 """Operators that place whole rows: exact dedup, WARC, sharding, mixing, and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -48,6 +49,30 @@ def test_index_edges(spark, edge_docs, no_docs):
     assert DigestIndex(spark, shared_folder(spark, "test-index"), buckets=4).absorb(no_docs).count() == 0
 
 
+def test_index_reopened_with_other_buckets(spark):
+    path = shared_folder(spark, "test-index")
+    docs = spark.range(2000).select(F.col("id").alias("doc.id"), F.concat(F.lit("text "), "id").alias("the.text"))
+    assert DigestIndex(spark, path, buckets=8).absorb(docs, "doc.id", "the.text").where("kept").count() == 2000
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, buckets=4)
+    again = DigestIndex(spark, path)
+    assert again.buckets == 8 and again.absorb(docs, "doc.id", "the.text").where("kept").count() == 0
+    assert again.table().count() == 2000
+
+
+def test_index_repeats_a_named_batch(spark):
+    """A batch that is absorbed again, whole or in part, keeps the same rows; another batch does not."""
+    path = shared_folder(spark, "test-index")
+    docs = spark.createDataFrame([(i, f"text {i % 700}") for i in range(2000)], "doc_id long, text string")
+    answer = lambda found: sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in found.collect())
+    # Of the first attempt only a part arrived.
+    DigestIndex(spark, path, buckets=4).absorb(docs.where("doc_id % 700 < 300"), batch="b1").count()
+    first = answer(DigestIndex(spark, path).absorb(docs, batch="b1"))
+    assert first == answer(DigestIndex(spark, path).absorb(docs.repartition(3), batch="b1"))
+    assert sum(kept for *_, kept in first) == 700 and all(keep == max(range(d % 700, 2000, 700)) for d, keep, _ in first)
+    assert not any(kept for *_, kept in answer(DigestIndex(spark, path).absorb(docs, batch="b2")))
+
+
 def groupby_text(docs):
     groups = defaultdict(list)
     for r in docs.collect():
@@ -114,6 +139,26 @@ def test_archive_edges(spark):
     assert warc.capture_index(pages.limit(0)).count() == 0
 
 
+def test_archive_with_a_gzip_member_for_each_record(spark, tmp_path):
+    """The usual form of archives: records are compressed one by one."""
+    body = lambda i: f"page {i} ".encode() * (i * 40_000 % 90_001)
+    whole = b""
+    for i in range(30):
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: " + str(len(body(i))).encode() + b"\r\n\r\n" + body(i)
+        digest = base64.b32encode(hashlib.sha1(body(i)).digest()).decode()
+        head = (
+            f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{i}>\r\nWARC-Target-URI: http://a.b/{i}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n"
+            f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(http)}\r\n\r\n"
+        )
+        whole += gzip.compress(head.encode() + http + b"\r\n\r\n")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(whole)
+    rows = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in rows) == [(i, len(body(i))) for i in range(30)]
+    with pytest.raises(ValueError):
+        list(warc._unpacked(memoryview(whole[:-9])))
+
+
 def least_largest(sizes, shards):
     """Every way to cut, by recursion."""
     if shards == 1:
@@ -163,6 +208,16 @@ def test_shards_of_a_hot_text(spark):
     check_shards(spark.createDataFrame(rows, "doc_id long, text string"), 5)
 
 
+@pytest.mark.parametrize("n", [40, 5000])
+def test_slots_have_one_order_at_every_size(spark, n):
+    """Rows of one text stand by a hash of their id, whether their text is hot or not."""
+    rows = [(i, "same" if i < 0.6 * n else f"text {i}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sharding.shard_by_bytes(docs, 3).join(docs, "doc_id").where("text = 'same'")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(None).cast("long")), F.lit(sharding.CELLS))
+    assert [r["doc_id"] for r in found.orderBy("slot").collect()] == [r["doc_id"] for r in found.orderBy(turn, "doc_id").collect()]
+
+
 def test_shard_edges(edge_docs, no_docs):
     assert len(check_shards(edge_docs, 24)) == edge_docs.count()
     assert sharding.shard_by_bytes(no_docs, 24).count() == 0

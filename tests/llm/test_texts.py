@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -64,11 +65,23 @@ def test_blocks_of_few_characters(monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 10)
     monkeypatch.setattr(byte_bpe, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 0})())}))
     batch = pa.record_batch({"id": [1, 2, 3, 4], "text": ["one two one", "two", "", "three three"]})
-    rows = [r for b in byte_bpe._blocks(r"\S+")(iter([batch])) for r in b.to_pylist()]
+    rows = [r for b in byte_bpe._blocks(r"\S+", 16)(iter([batch])) for r in b.to_pylist()]
     assert [(r["ids"], r["counts"]) for r in rows if r["part"] == -1] == [([1], [3]), ([2, 3, 4], [1, 0, 2])]
     assert len({r["block"] for r in rows}) == 2
 
 
+def test_many_short_texts(spark, tokens, coder):
+    """A partition of 200,000 empty or one-word texts takes time in proportion, closes blocks by documents and gives a row for each."""
+    texts = F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 3 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("w"), F.col("id") % 1000))
+    docs = spark.range(200_000).coalesce(1).select(F.col("id").alias("doc.id"), texts.alias("the.text"))
+    began = time.time()
+    found = byte_bpe.encode(docs, tokens, public_tokenizers.PATTERN, "doc.id", "the.text")
+    rows = found.agg(F.count("*"), F.countDistinct("`doc.id`"), F.sum("n_tokens")).first()
+    assert time.time() - began < 60
+    assert rows[0] == rows[1] == 200_000
+    assert rows[2] == sum(len(coder.encode_ordinary(f"w{i % 1000}")) for i in range(2, 200_000, 3))
+
+
 def levenshtein(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -186,6 +199,14 @@ def test_license_spans(spark, edge_docs, no_docs):
     assert license_scan.scan_licenses(edge_docs).count() == edge_docs.count() and license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_license_phrases_of_one_word(spark):
+    texts = ["this is isc and mit license", "isc", "ISC isc, mit isc", "license isc license", "disc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan_licenses(docs, (), {"isc": "isc", "mit license": "mit"}).orderBy("doc_id").collect()
+    found = [[(p["word"], p["label"]) for p in r["phrases"]] for r in rows]
+    assert [sorted(f) for f in found] == [[(2, "isc"), (4, "mit")], [(0, "isc")], [(0, "isc"), (1, "isc"), (3, "isc")], [(1, "isc")], []]
+
+
 def test_license_chains_advance_in_the_template(spark):
     part, whole = "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0"
     texts = [
