@@ -69,5 +69,12 @@ class Blocks:
         self.rdd.unpersist()
         return Blocks(changed, self.rows)
 
+    def stepped(self, fn: Callable[[Block], Block], cut: bool) -> "Blocks":
+        """As ``updated``, but computed with the next sum and only written if ``cut``; the caller releases the former blocks after that."""
+        changed = self.rdd.map(fn).persist(StorageLevel.MEMORY_AND_DISK)
+        if cut:
+            changed.checkpoint()
+        return Blocks(changed, self.rows)
+
     def release(self) -> None:
         self.rdd.unpersist()

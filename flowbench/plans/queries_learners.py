@@ -15,6 +15,7 @@ from flowbench.operators.encoders import EncodedNet, ReconstructionDetector
 from flowbench.operators.external import ExternalDetector
 from flowbench.operators.gaussian import GaussianNaiveBayes, LinearDiscriminant
 from flowbench.operators.kernels import KernelSvm
+from flowbench.operators.landmarks import LandmarkSvm
 from flowbench.operators.leafwise import LeafWiseBoosting
 from flowbench.operators.learners import (
     boosted_trees,
@@ -165,6 +166,11 @@ def kernel_support_vectors(spark, sf_dir):
     return _detects_most(KernelSvm(), spark, sf_dir)
 
 
+@query("j11_landmark_svm", facts_check("landmark_svm", "nearly_perfect"))
+def landmark_support_vectors(spark, sf_dir):
+    return nearly_perfect(LandmarkSvm(), spark, sf_dir, least=0.95)
+
+
 @query("j7_adaboost", facts_check("adaboost"))
 def boosted_stumps(spark, sf_dir):
     return beats_majority(AdaBoost(), spark, sf_dir)

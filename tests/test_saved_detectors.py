@@ -14,8 +14,9 @@ from flowbench.operators.boosting import AdaBoost
 from flowbench.operators.encoders import EncodedNet, ReconstructionDetector
 from flowbench.operators.gaussian import GaussianNaiveBayes, LinearDiscriminant
 from flowbench.operators.kernels import KernelSvm
+from flowbench.operators.landmarks import LandmarkSvm
 from flowbench.operators.leafwise import LeafWiseBoosting
-from flowbench.operators.learners import boosted_trees, decision_tree, encoded_softmax, linear_svm, network, random_forest, softmax
+from flowbench.operators.learners import encoded_softmax, linear_svm, random_forest, softmax
 from flowbench.operators.neighbours import NearestNeighbours
 from flowbench.operators.nets import Network, Training
 from flowbench.sources.detectors import load_detector, save_detector
@@ -24,8 +25,8 @@ CELLS = ["a", "b", "c"]
 QUICK = Training(epochs=2, steps=2)
 DETECTORS = [
     MajorityBaseline(), GaussianNaiveBayes(), LinearDiscriminant(), AdaBoost(rounds=4), NearestNeighbours(k=3), ClusterDetector(starts=1), EnergyDetector(encoding=2),
-    KernelSvm(size=6, iterations=5), softmax(5), decision_tree(3, anova_k=2, rfe_features=None), random_forest(2, 3), boosted_trees(2, 2), linear_svm(iterations=5),
-    network((3,), 3), encoded_softmax(2, 3), LeafWiseBoosting(rounds=3), LeafWiseBoosting.by_level(rounds=2), Network((4,), QUICK), EncodedNet((3,), training=QUICK),
+    KernelSvm(size=6, iterations=5), softmax(5), random_forest(2, 3), linear_svm(iterations=5), encoded_softmax(2, 3), LandmarkSvm(landmarks=20, rounds=3),
+    LeafWiseBoosting(rounds=3), LeafWiseBoosting.by_level(rounds=2), Network((4,), QUICK), EncodedNet((3,), training=QUICK),
     EncodedNet.deep(hidden=(3, 2), training=QUICK), ReconstructionDetector((2,), training=QUICK),
 ]
 OTHER = """
