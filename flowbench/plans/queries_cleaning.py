@@ -316,11 +316,11 @@ _POINTS = (0.1, 0.5, 0.95, 0.995)
 
 @query(
     "e23_percentiles",
-    on_prepared(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS q, round(quantile_cont(CAST({c} AS DOUBLE), {q}), 6) AS value FROM prepared WHERE label = 0" for c in COMMON[:9] for q in _POINTS)),
+    on_prepared(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS q, round(quantile_cont(CAST({c} AS DOUBLE), {q}), 6) AS value FROM prepared WHERE label = 0" for c in COMMON for q in _POINTS)),
 )
 def percentiles(spark, sf_dir):
     benign = prepared(spark, sf_dir).where("label = 0")
-    found = exact_quantiles(benign, {c: _POINTS for c in COMMON[:9]})
+    found = exact_quantiles(benign, {c: _POINTS for c in COMMON})
     rows = [(c, q, v) for c, values in found.items() for q, v in zip(_POINTS, values)]
     return round_all(spark.createDataFrame(rows, "column string, q double, value double"), ["value"])
 
@@ -367,13 +367,13 @@ def five_best_features(spark, sf_dir):
 @query(
     "i1_standardised",
     on_prepared(
-        "SELECT flow_id, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM prepared)) / (SELECT stddev_pop({c}) FROM prepared), 6) AS {c}" for c in COMMON[:4]) + " FROM prepared"
+        "SELECT flow_id, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM prepared)) / (SELECT stddev_pop({c}) FROM prepared), 6) AS {c}" for c in COMMON) + " FROM prepared"
     ),
 )
 def standardised(spark, sf_dir):
     df = prepared(spark, sf_dir)
-    stats = encode.standard_stats(df, COMMON[:4])
-    return round_all(encode.standardise(df, stats).select("flow_id", *COMMON[:4]), COMMON[:4])
+    stats = encode.standard_stats(df, COMMON)
+    return round_all(encode.standardise(df, stats).select("flow_id", *COMMON), COMMON)
 
 
 @query(

@@ -300,8 +300,7 @@ def shrunk_discriminant(spark, sf_dir):
     return _discriminant(spark, sf_dir, "auto")
 
 
-_KNN = ("total_fwd_packets", "total_bwd_packets", "flow_packets_s")
-_KNN_D = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _KNN) + ")"
+_KNN_D = "sqrt(" + " + ".join(f"((a.{c} - b.{c}) / s_{c}) * ((a.{c} - b.{c}) / s_{c})" for c in COMMON) + ")"
 
 
 @query(
@@ -314,16 +313,16 @@ _KNN_D = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _KNN
         + _KNN_D
         + """ AS d, row_number() OVER (PARTITION BY a.flow_id ORDER BY """
         + _KNN_D
-        + """, b.y) AS r FROM test a, train b) WHERE r <= 5)) GROUP BY 1""",
+        + """, b.y) AS r FROM test a, train b, widths) WHERE r <= 5)) GROUP BY 1""",
         **LEARNABLE,
         test="SELECT * FROM placed WHERE place <= quota",
         train="SELECT * FROM placed WHERE place > quota",
+        widths="SELECT " + ", ".join(f"CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in COMMON) + " FROM train",
     ),
 )
 def nearest_neighbours(spark, sf_dir):
     train, test = learnable_parts(spark, sf_dir)
-    fitted = NearestNeighbours(k=5, scale=False).fit(train, list(_KNN), "y")
-    return fitted.score(test).select("flow_id", "prediction")
+    return NearestNeighbours().fit(train, FEATURES, "y").score(test).select("flow_id", "prediction")
 
 
 @query(
@@ -459,19 +458,37 @@ def features_by_attack(spark, sf_dir):
     return round_all(anova_by_class(prepared(spark, sf_dir), COMMON, "class", "Benign"), ["f_score"], 4)
 
 
-@query("n3_time_features", on_flows("SELECT 'all' AS subset, count(*) AS n_features, CAST(sum(filled) AS BIGINT) AS cells FROM (SELECT count(flow_duration) AS filled FROM flows UNION ALL SELECT count(flow_iat_mean) FROM flows UNION ALL SELECT count(flow_iat_std) FROM flows UNION ALL SELECT count(total_fwd_packets) FROM flows UNION ALL SELECT count(flow_bytes_s) FROM flows) UNION ALL SELECT 'time', 3, count(flow_duration) + count(flow_iat_mean) + count(flow_iat_std) FROM flows"))
+_FEATURE_SETS = {"all": tuple(COMMON), "time": ("flow_duration", "flow_bytes_s", "flow_packets_s")}
+
+
+def _bayes_accuracy(name: str, features: tuple[str, ...]) -> str:
+    """Rows, hits and detected attacks of naive Bayes on some features, from the moments in ``train``."""
+    e = "(SELECT CAST(1e-9 AS DOUBLE) * greatest(" + ", ".join(f"var_pop({c})" for c in features) + ") FROM train)"
+    moments = ", ".join(f"avg({c}) FILTER (label = {y}) AS m{i}_{y}, var_pop({c}) FILTER (label = {y}) + {e} AS v{i}_{y}" for i, c in enumerate(features) for y in (0, 1))
+    shares = ", ".join(f"avg(CASE WHEN label = {y} THEN 1 ELSE 0 END) AS p_{y}" for y in (0, 1))
+    log = lambda y: f"ln(p_{y}) - 0.5 * (" + " + ".join(f"ln(2 * pi() * v{i}_{y}) + ({c} - m{i}_{y}) * ({c} - m{i}_{y}) / v{i}_{y}" for i, c in enumerate(features)) + ")"
+    guess = f"CASE WHEN {log(0)} >= {log(1)} THEN 0 ELSE 1 END"
+    return (
+        f"SELECT '{name}' AS subset, CAST({len(features)} AS BIGINT) AS n_features, count(*) AS test_rows, count(CASE WHEN guess = label THEN 1 END) AS hits, "
+        f"count(CASE WHEN guess = 1 AND label = 1 THEN 1 END) AS detected FROM (SELECT label, {guess} AS guess FROM placed, (SELECT {moments}, {shares} FROM train) WHERE place <= quota)"
+    )
+
+
+@query("n3_time_features", on_prepared(" UNION ALL ".join(_bayes_accuracy(n, f) for n, f in _FEATURE_SETS.items()), **{k: v for k, v in _NB_STEPS.items() if k != "fitted"}))
 def time_features(spark, sf_dir):
+    """One detector on all features and on those that hold a time alone."""
     from flowbench.operators.select import resolve_features
     from flowbench.specs import FeatureSet
 
-    df = flows(spark, sf_dir)
-    everything = ("flow_duration", "flow_iat_mean", "flow_iat_std", "total_fwd_packets", "flow_bytes_s")
+    parts = splits.random_parts(prepared(spark, sf_dir), KEY, 0.2, 42, "label")
+    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
     out = None
-    for name, wanted in (("all", everything), ("time", everything[:3])):
-        features = resolve_features(df, FeatureSet(name, wanted), [], "label")
-        part = df.agg(*[F.count(c).alias(c) for c in features]).select(
-            F.lit(name).alias("subset"), F.lit(len(features)).cast("bigint").alias("n_features"), sum((F.col(c) for c in features), F.lit(0)).alias("cells")
-        )
+    for name, wanted in _FEATURE_SETS.items():
+        features = resolve_features(train, FeatureSet(name, wanted), [], "label")
+        scored = GaussianNaiveBayes().fit(train, features, "label").score(test)
+        part = scored.agg(
+            F.count("*").alias("test_rows"), F.count_if(F.expr("prediction = label")).alias("hits"), F.count_if(F.expr("prediction = 1 AND label = 1")).alias("detected")
+        ).select(F.lit(name).alias("subset"), F.lit(len(features)).cast("bigint").alias("n_features"), "test_rows", "hits", "detected")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -483,11 +483,11 @@ def vote_of_detectors(spark, sf_dir):
     return weighted_vote(df.where("part = 'test'"), weights).select("flow_id", "prediction")
 
 
-@query("n4_correlations", on_prepared(" UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS corr FROM prepared" for i, a in enumerate(COMMON[:6]) for b in COMMON[:6][i + 1 :])))
+@query("n4_correlations", on_prepared(" UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS corr FROM prepared" for i, a in enumerate(COMMON) for b in COMMON[i + 1 :])))
 def correlations(spark, sf_dir):
     from flowbench.operators.encode import correlation
 
-    return round_all(correlation(prepared(spark, sf_dir), COMMON[:6]), ["corr"])
+    return round_all(correlation(prepared(spark, sf_dir), COMMON), ["corr"])
 
 
 _SOURCES = "SELECT src_host, count(*) AS flagged, round(max(flow_packets_s), 6) AS top_rate FROM flagged WHERE prediction = 1 GROUP BY 1"
