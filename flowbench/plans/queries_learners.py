@@ -10,6 +10,7 @@ from flowbench.operators import metrics, splits
 from flowbench.operators.anomaly import ClusterDetector, EnergyDetector
 from flowbench.operators.baseline import MajorityBaseline
 from flowbench.operators.boosting import AdaBoost
+from flowbench.operators.deeptrees import DeepForest
 from flowbench.operators.encode import anova_by_class
 from flowbench.operators.encoders import EncodedNet, ReconstructionDetector
 from flowbench.operators.external import ExternalDetector
@@ -29,6 +30,7 @@ from flowbench.operators.learners import (
 )
 from flowbench.operators.neighbours import NearestNeighbours
 from flowbench.operators.nets import Network
+from flowbench.operators.stumps import ExactAdaBoost
 from flowbench.plans.catalog import query
 from flowbench.plans.experiment import cross_validation, run_detectors, tuned_threshold
 from flowbench.plans.flows import ATTACK_RULE, flows
@@ -103,6 +105,21 @@ def forest(spark, sf_dir):
     return beats_majority(random_forest(), spark, sf_dir)
 
 
+@query("j5_deep_forest", facts_check("deep_forest", "nearly_perfect"))
+def unlimited_forest(spark, sf_dir):
+    return nearly_perfect(DeepForest(), spark, sf_dir)
+
+
+@query("j6_deep_tree", facts_check("deep_tree", "nearly_perfect"))
+def unlimited_tree(spark, sf_dir):
+    return nearly_perfect(DeepForest.one(), spark, sf_dir)
+
+
+@query("j7_exact_stumps", facts_check("exact_adaboost", "nearly_perfect"))
+def exact_stumps(spark, sf_dir):
+    return nearly_perfect(ExactAdaBoost(), spark, sf_dir, least=0.95)
+
+
 @query("j6_i7_selected_tree", facts_check("decision_tree"))
 def selected_tree(spark, sf_dir):
     return beats_majority(decision_tree(), spark, sf_dir, COMMON)

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _classes() -> dict[str, type]:
     """Classes that a saved detector may consist of, by the name in the folder."""
-    from flowbench.operators import anomaly, baseline, boosting, encoders, energy, gaussian, kernels, landmarks, leafwise, learners, neighbours, nets, rules
+    from flowbench.operators import anomaly, baseline, boosting, deeptrees, encoders, energy, gaussian, kernels, landmarks, leafwise, learners, neighbours, nets, rules
 
     found = (
         baseline.FittedMajority, gaussian.FittedNaiveBayes, gaussian.FittedDiscriminant, boosting.FittedAdaBoost, boosting.Stump,
         neighbours.FittedNeighbours, neighbours.NearestNeighbours, anomaly.FittedClusters, anomaly._OneCluster, anomaly.FittedEnergy,
         energy.EnergyRule, rules.CalibratedRules, kernels.FittedKernelSvm, kernels.FourierFeatures, learners.FittedLearner,
-        leafwise.FittedBoosting, leafwise.Tree, landmarks.FittedLandmarks, landmarks.Kernel, nets.FittedNet, encoders.FittedEncoder, encoders.FittedReconstruction,
+        leafwise.FittedBoosting, leafwise.Tree, landmarks.FittedLandmarks, landmarks.Kernel, deeptrees.FittedForest, deeptrees.Part, nets.FittedNet, encoders.FittedEncoder, encoders.FittedReconstruction,
     )
     return {c.__name__.lstrip("_"): c for c in found}
 

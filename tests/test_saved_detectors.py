@@ -11,6 +11,7 @@ import pytest
 from flowbench.operators.anomaly import ClusterDetector, EnergyDetector
 from flowbench.operators.baseline import MajorityBaseline
 from flowbench.operators.boosting import AdaBoost
+from flowbench.operators.deeptrees import DeepForest
 from flowbench.operators.encoders import EncodedNet, ReconstructionDetector
 from flowbench.operators.gaussian import GaussianNaiveBayes, LinearDiscriminant
 from flowbench.operators.kernels import KernelSvm
@@ -25,7 +26,7 @@ CELLS = ["a", "b", "c"]
 QUICK = Training(epochs=2, steps=2)
 DETECTORS = [
     MajorityBaseline(), GaussianNaiveBayes(), LinearDiscriminant(), AdaBoost(rounds=4), NearestNeighbours(k=3), ClusterDetector(starts=1), EnergyDetector(encoding=2),
-    KernelSvm(size=6, iterations=5), softmax(5), random_forest(2, 3), linear_svm(iterations=5), encoded_softmax(2, 3), LandmarkSvm(landmarks=20, rounds=3),
+    KernelSvm(size=6, iterations=5), softmax(5), random_forest(2, 3), linear_svm(iterations=5), encoded_softmax(2, 3), LandmarkSvm(landmarks=20, rounds=3), DeepForest(trees=3),
     LeafWiseBoosting(rounds=3), LeafWiseBoosting.by_level(rounds=2), Network((4,), QUICK), EncodedNet((3,), training=QUICK),
     EncodedNet.deep(hidden=(3, 2), training=QUICK), ReconstructionDetector((2,), training=QUICK),
 ]
