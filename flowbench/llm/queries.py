@@ -164,6 +164,18 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ABLATIONS = _OP9.rsplit("SELECT doc_id, n_words::bigint", 1)[0] + """
+SELECT rule, bit, count_if(fail_bits >> bit & 1 = 1) AS failed, count_if(fail_bits = 1 << bit) AS "only" FROM b,
+(VALUES ('few_words', 0), ('repeated_windows', 1), ('symbols', 2), ('repeated_lines', 3), ('word_length', 4), ('exclamations', 5)) r(rule, bit) GROUP BY ALL
+"""
+
+
+@query("quality_ablations", _ABLATIONS)
+def _quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy rejects, and what it alone rejects, from the bits of the ledger."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
+
+
 @query("op10_mixing")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
