@@ -285,3 +285,11 @@ def test_quality_keeps_clean_documents(spark):
     rows = quality_rules.ledger(docs).where(quality_rules.passes("base") & ~quality_rules.passes("v2"))
     found = rows.agg(F.count_if(F.expr("quality = 1")).alias("good"), F.count_if(F.expr("quality = 0")).alias("bad")).first()
     assert found["good"] == 0 and found["bad"] > 100
+
+
+def test_share_of_repeated_lines_holds_for_short_texts(spark):
+    """One line of three said again is a third of the lines: the rule has no least number of lines."""
+    lines = ["the first line has some words of its own here", "and another one follows it with other words"]
+    docs = spark.createDataFrame([(1, "\n".join([lines[0], lines[1], lines[0]])), (2, "\n".join([*lines, lines[0].upper()]))], "doc_id long, text string")
+    bits = {r["doc_id"]: r["fail_bits"] >> 3 & 1 for r in quality_rules.ledger(docs).collect()}
+    assert bits == {1: 1, 2: 0}
