@@ -18,8 +18,6 @@ from flowbench.llm.common import word_count, written
 # A row is taken this many times at most.
 MOST = 3
 WEIGHTS = (1, 2, 3)
-# Up to so many patterns go into the flow as they are; beyond, patterns are told apart by their number of sources only.
-MAX_PATTERNS = 50_000
 # Ranges of the seeded order in which a cell's words are added up.
 BUCKETS = 4096
 
@@ -153,7 +151,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, i
     times the size; a source's taken words miss its target by less than one document, and by little where it has many. The choice
     depends on the seed, the ids, the sources and the texts; of rows with one id, the first read comes first. Null texts have size 0, null ids come first in seeded order; repeated rows are rows of
     their own, told apart by ``row`` (their place as read, or ``row_col``, a long that differs from row to row). Other columns are not returned. An empty table gives no row.
-    The number of sources must fit the driver.
+    Sources, and the different sets of sources that hold a text, must fit the driver; all sets go into the flow as they are, however many.
     """
     spark = docs.sparkSession
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
@@ -178,12 +176,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, i
     texts = rows.groupBy("same").agg(F.array_sort(F.collect_set("s")).alias("pattern"), F.first("size").alias("words"))
     texts = written(texts, "mix-texts")
     shapes = texts.groupBy("pattern").agg(F.sum("words").alias("distinct"))
-    if shapes.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
-        texts = texts.withColumn("pattern", F.array(F.lit(-1), F.size("pattern")))
-        shapes = texts.groupBy("pattern").agg(F.sum("words").alias("distinct"))
     shapes = [(r["pattern"], i, r["distinct"]) for i, r in enumerate(sorted(shapes.collect(), key=lambda r: r["pattern"]))]
     patterns = spark.createDataFrame(shapes, "pattern array<int>, p int, distinct long")
-    texts = texts.join(F.broadcast(patterns), "pattern").select("same", "p", "distinct")  # at most MAX_PATTERNS rows
+    texts = texts.join(patterns, "pattern").select("same", "p", "distinct")
     rows = written(rows.join(texts, "same").drop("same").withColumn("bucket", F.shiftrightunsigned("draw", 52).cast("int")), "mix-cells")
     cells = {(r["p"], r["s"]): (r["words"], r["distinct"]) for r in rows.groupBy("p", "s").agg(F.sum("size").alias("words"), F.first("distinct").alias("distinct")).collect()}
     routed = route(cells, [round(t) for t in wanted])

@@ -349,3 +349,14 @@ def test_pipeline_tells_rows_apart_without_ids(spark, sf_dir):
     assert max(times.values()) <= 3 and len(times) < 300
     goals = mixing.targets([sum(len(t.split()) for _, t, s in rows if s == x) for x in "abc"], list(mixing.WEIGHTS))
     assert all(abs(words[x] - goal) < 14 for x, goal in zip("abc", goals))
+
+
+def test_mix_does_not_switch_by_size(spark, monkeypatch):
+    """Texts of many sets of sources are mixed the same way however many sets there are."""
+    rng = random.Random(5)
+    rows = [(10 * i + s, " ".join([f"w{i}"] * rng.randint(1, 9)), f"s{s}") for i in range(60) for s in rng.sample(range(5), rng.randint(1, 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    taken = lambda: {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    before = taken()
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1, raising=False)
+    assert taken() == before
