@@ -37,11 +37,18 @@ SPLIT_METADATA = (
 _FILES = {"run_info.json": RUN_INFO, "metrics.json": METRICS, "training_summary.json": TRAINING_SUMMARY,
           "metadata.json": SPLIT_METADATA}
 
+# Tasks that write record files, for each core.
+TASKS_A_CORE = 4
+
 
 def write_records(records: DataFrame, root: str, run: str = "run") -> None:
-    """One JSON file per row below ``root``, in a folder named after the row's run; executors write them."""
+    """One JSON file per row below ``root``, in a folder named after the row's run; executors write them.
+
+    Making a file takes far longer than its row, so the rows are dealt out by run over all cores, however few files they were read from.
+    """
     body = F.to_json(F.struct(*[c for c in records.columns if c != run])).alias("value")
-    records.select(body, F.col(run).alias("run")).write.partitionBy("run").text(root)
+    tasks = TASKS_A_CORE * records.sparkSession.sparkContext.defaultParallelism
+    records.select(body, F.col(run).alias("run")).repartition(tasks, "run").write.partitionBy("run").text(root)
 
 
 def read_records(spark: SparkSession, root: str, file_name: str, pattern: str | None = None) -> DataFrame:

@@ -106,3 +106,12 @@ def test_newest_artefact_must_exist(spark):
     assert results.newest_artefact(df, "m", 1).first()["path"] == "p2"
     with pytest.raises(Exception, match="no artefact"):
         results.newest_artefact(df, "m", 2).collect()
+
+
+def test_records_of_one_small_file_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{i}", i / 10) for i in range(40)], "run string, accuracy double").coalesce(1)
+    artefacts.write_records(rows, str(tmp_path / "t"))
+    files = [p.name for p in (tmp_path / "t").glob("run=*/part-*")]
+    assert len(files) == 40 and len({f[:10] for f in files}) > 4
+    found = artefacts.read_records(spark, str(tmp_path / "t"), "metrics.json", "part-*")
+    assert {(r["run"], r["accuracy"]) for r in found.collect()} == {(f"r{i}", i / 10) for i in range(40)}
