@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from flowbench.session import checkpoint
 
 # Tables smaller than this many rows a task are put into fewer tasks.
-ROWS_A_TASK = 100_000
+ROWS_A_TASK = 20_000
+# Rows of a task are put together into blocks of at most so many.
+ROWS_A_BLOCK = 50_000
 
 Block = dict[str, np.ndarray]
 
@@ -51,11 +53,22 @@ class Blocks:
         if few < kept.rdd.getNumPartitions():
             kept = kept.coalesce(few)
 
-        def matrices(row) -> Block:
-            block = {n: np.frombuffer(row[n], "<f8") for n in names}
-            return {"x": np.frombuffer(row["x"], "<f8").reshape(row["n"], -1), **block}
-
-        return Blocks(kept.rdd.map(matrices).persist(StorageLevel.MEMORY_AND_DISK), total)
+        def together(rows: list) -> Block:
+            block = {n: np.concatenate([np.frombuffer(r[n], "<f8") for r in rows]) for n in names}
+            return {"x": np.concatenate([np.frombuffer(r["x"], "<f8").reshape(r["n"], -1) for r in rows]), **block}
+
+        def matrices(rows: Iterator) -> Iterator[Block]:
+            held, n = [], 0
+            for row in rows:
+                if held and n + row["n"] > ROWS_A_BLOCK:
+                    yield together(held)
+                    held, n = [], 0
+                held.append(row)
+                n += row["n"]
+            if held:
+                yield together(held)
+
+        return Blocks(kept.rdd.mapPartitions(matrices).persist(StorageLevel.MEMORY_AND_DISK), total)
 
     def sums(self, fn: Callable[[Block], list[np.ndarray]]) -> list[np.ndarray]:
         """Sum over all blocks of the arrays that ``fn`` gives for one; every block gives arrays of the same shapes."""

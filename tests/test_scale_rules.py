@@ -88,3 +88,25 @@ def test_settled_counts_bytes_too(spark):
     large, n = settled(texts, max_bytes=5000)
     assert n == 20 and "hint" not in large._jdf.queryExecution().logical().toString().lower()
     assert large.count() == 20
+
+
+def test_learnable_rows_are_written_once_and_dealt_over_the_cores(spark, sf_dir):
+    from flowbench.plans.queries_learners import learnable_parts
+
+    train, test = learnable_parts(spark, sf_dir)
+    assert "from_json" not in train._jdf.queryExecution().toString() and "get_json_object" not in test._jdf.queryExecution().toString()
+    assert spark.read.parquet(f"{sf_dir}/events.parquet").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    from flowbench.session import spread
+
+    kept = spread(spark.range(1000).coalesce(1), "test-spread")
+    assert len(kept.inputFiles()) == spark.sparkContext.defaultParallelism and sorted(r[0] for r in kept.collect()) == list(range(1000))
+
+
+def test_rows_of_a_task_are_one_block(spark):
+    from flowbench.operators.blocks import Blocks
+
+    df = spark.range(30_000).repartition(8)
+    blocks = Blocks.of(df, [F.col("id")], {"y": F.col("id") % 2})
+    sizes = blocks.rdd.map(lambda b: len(b["x"])).collect()
+    assert sum(sizes) == 30_000 and len(sizes) == blocks.rdd.getNumPartitions() == 2
+    blocks.release()
