@@ -1,7 +1,7 @@
-"""Multi-class AdaBoost over one-split trees, as weighted aggregates.
+"""Multi-class AdaBoost over one-split trees, as weighted sums over blocks of rows.
 
-A row's weight follows from the splits found so far: an expression of the row, folded into a column every
-``settle_every`` rounds. Features are binned once into a sparse vector; a round is one weighted sum of it for each class.
+A row's weight follows from the splits found so far and is folded into its block every ``settle_every`` rounds. Features are
+binned once; a round is one sum of weights by bin and class.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.stat import Summarizer
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
-from flowbench.session import checkpoint, few_rows
+from flowbench.operators.blocks import Block, Blocks
+from flowbench.session import few_rows
 
 
 @dataclass(frozen=True)
@@ -81,38 +81,31 @@ class AdaBoost:
             only = max(tallies, key=lambda r: (r["n"], -r["_y"]))["_y"]
             return FittedAdaBoost(list(features), classes, [Stump(features[0], 0.0, only, only, 1.0)])
         k, rows = len(classes), sum(r["n"] for r in tallies)
-        binned, sizes = _one_hot(clean.withColumn("_log", F.lit(0.0)), usable, cuts)
-        binned = binned.persist()
+        code = F.coalesce(*[F.when(F.col("_y") == c, F.lit(i)) for i, c in enumerate(classes)])
+        raw = Blocks.of(clean, [F.col(c) for c in usable], {"y": code})
+        limits = [np.array(cuts[c]) for c in usable]
+        blocks = raw.updated(lambda b: _binned(b, limits))
+        raw.release()
         stumps: list[Stump] = []
-        fresh: list[Stump] = []
+        fresh: list[tuple[int, int, int, int, float]] = []
         shift = 0.0  # keeps the mean weight near 1, so that no exponent overflows
         try:
             for step in range(self.rounds):
-                log_weight = F.col("_log")
-                for s in fresh:
-                    log_weight = log_weight + F.when(s.vote() != F.col("_y"), F.lit(s.alpha)).otherwise(F.lit(0.0))
-                found = self._best_split(binned, usable, sizes, cuts, classes, F.exp(log_weight - F.lit(shift)))
-                if found is None:
-                    break
-                feature, limit, low, high, error, mass = found
+                table = blocks.sums(lambda b: [_sums(b, fresh, shift, limits, k)])[0]
+                feature, at, low, high, error, mass = _best_split(table, limits)
                 shift += math.log(mass / rows)
                 if error >= 1 - 1 / k:
                     break
+                alpha = 1.0 if error <= 0 else self.rate * (math.log((1 - error) / error) + math.log(k - 1))
+                stumps.append(Stump(usable[feature], float(limits[feature][at]), classes[low], classes[high], alpha))
                 if error <= 0:
-                    stumps.append(Stump(feature, limit, low, high, 1.0))
                     break
-                alpha = self.rate * (math.log((1 - error) / error) + math.log(k - 1))
-                stump = Stump(feature, limit, low, high, alpha)
-                stumps.append(stump)
-                fresh.append(stump)
+                fresh.append((feature, at, low, high, alpha))
                 if len(fresh) >= self.settle_every and step + 1 < self.rounds:
-                    # Fold the recent splits into the weight column, so that expressions stay short.
-                    renewed = log_weight + F.when(stump.vote() != F.col("_y"), F.lit(alpha)).otherwise(F.lit(0.0))
-                    kept = checkpoint(binned.withColumn("_log", renewed))
-                    binned.unpersist()
-                    binned, fresh = kept, []
+                    settled, fresh = fresh, []
+                    blocks = blocks.updated(lambda b, settled=settled: {**b, "log": _logs(b, settled)})
         finally:
-            binned.unpersist()
+            blocks.release()
         if not stumps:
             only = max(tallies, key=lambda r: (r["n"], -r["_y"]))["_y"]
             stumps = [Stump(usable[0], 0.0, only, only, 1.0)]
@@ -125,50 +118,51 @@ class AdaBoost:
         ).first()
         return {c: sorted({v for v in (row[c] or []) if v < row[f"max|{c}"]}) for c in features}
 
-    def _best_split(self, binned, usable, sizes, cuts, classes, weight):
-        """(feature, limit, class below, class above, weighted error, weight of all rows) of the purest split."""
-        # One sum of sparse vectors for each class: rows are not multiplied, a task sends a row for each class.
-        sums = binned.groupBy("_y").agg(Summarizer.sum(F.col("_hot"), weight).alias("w")).collect()
-        if not sums:
-            return None
-        table: dict[int, dict[int, dict[int, float]]] = {}
-        at = 0
-        for f, size in enumerate(sizes):
-            table[f] = {b: {r["_y"]: float(r["w"][at + b]) for r in sums} for b in range(size)}
-            at += size
-        best = None
-        for f, bins in sorted(table.items()):
-            whole = {y: sum(b.get(y, 0.0) for b in bins.values()) for y in classes}
-            below = dict.fromkeys(classes, 0.0)
-            mass = sum(whole.values())
-            for b, limit in enumerate(cuts[usable[f]]):
-                for y, w in bins.get(b, {}).items():
-                    below[y] += w
-                above = {y: whole[y] - below[y] for y in classes}
-                impurity = _impurity(below) + _impurity(above)
-                low = max(classes, key=lambda y: (below[y], -y))
-                high = max(classes, key=lambda y: (above[y], -y))
-                error = max(0.0, 1 - (below[low] + above[high]) / mass)
-                if best is None or impurity < best[0]:
-                    best = (impurity, usable[f], limit, low, high, error, mass)
-        return best[1:] if best else None
-
-
-def _impurity(sums: dict[int, float]) -> float:
-    """Gini impurity times the mass."""
-    mass = sum(sums.values())
-    return 0.0 if mass <= 0 else mass - sum(w * w for w in sums.values()) / mass
-
-
-def _bin(column: str, cuts: Sequence[float]) -> Column:
-    """Number of cuts below the value: values at or below the first cut are in bin 0."""
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column)))
-
-
-def _one_hot(clean: DataFrame, usable: Sequence[str], cuts: dict[str, list[float]]) -> tuple[DataFrame, list[int]]:
-    """Adds ``_hot``, a sparse vector that marks the bin of each feature, and gives the number of bins of each."""
-    places = [f"_bin{i}" for i in range(len(usable))]
-    binned = clean.withColumns({p: _bin(c, cuts[c]) for p, c in zip(places, usable)})
-    encoder = OneHotEncoder(inputCols=places, outputCols=[f"{p}_hot" for p in places], dropLast=False).fit(binned)
-    marked = VectorAssembler(inputCols=encoder.getOutputCols(), outputCol="_hot").transform(encoder.transform(binned))
-    return marked.drop(*places, *encoder.getOutputCols()), encoder.categorySizes
+
+def _binned(block: Block, limits: list[np.ndarray]) -> Block:
+    """``bin`` (limits below the cell) instead of cells, and the logarithms of the weights to begin with."""
+    kind = np.min_scalar_type(max(map(len, limits)))
+    bins = np.stack([np.searchsorted(v, block["x"][:, f], "left") for f, v in enumerate(limits)], axis=1).astype(kind)
+    return {"bin": bins, "y": block["y"].astype(np.int64), "log": np.zeros(len(bins))}
+
+
+def _logs(block: Block, fresh: list[tuple[int, int, int, int, float]]) -> np.ndarray:
+    """Logarithms of the rows' weights after the newest votes."""
+    log = block["log"].copy()
+    for feature, at, low, high, alpha in fresh:
+        log += alpha * (np.where(block["bin"][:, feature] <= at, low, high) != block["y"])
+    return log
+
+
+def _sums(block: Block, fresh: list[tuple[int, int, int, int, float]], shift: float, limits: list[np.ndarray], k: int) -> np.ndarray:
+    """Weights by bin and class, the bins of one feature after those of the other."""
+    weight, parts = np.exp(_logs(block, fresh) - shift), []
+    for f, v in enumerate(limits):
+        n = len(v) + 1
+        parts.append(np.bincount(block["bin"][:, f].astype(np.int64) * k + block["y"], weight, n * k).reshape(n, k))
+    return np.concatenate(parts)
+
+
+def _best_split(table: np.ndarray, limits: list[np.ndarray]) -> tuple[int, int, int, int, float, float]:
+    """(feature, number of the limit, class below, class above, weighted error, weight of all rows) of the purest split.
+
+    Ties go to the first feature, the smallest limit and the first class.
+    """
+    best, first = None, 0
+    for f, v in enumerate(limits):
+        own, first = table[first : first + len(v) + 1], first + len(v) + 1
+        whole, below = own.sum(axis=0), own.cumsum(axis=0)[:-1]
+        above = whole - below
+        impurities = _impurity(below) + _impurity(above)
+        at = int(impurities.argmin())
+        if best is None or impurities[at] < best[0]:
+            low, high = int(below[at].argmax()), int(above[at].argmax())
+            error = max(0.0, float(1 - (below[at, low] + above[at, high]) / whole.sum()))
+            best = (impurities[at], f, at, low, high, error, float(whole.sum()))
+    return best[1:]
+
+
+def _impurity(sums: np.ndarray) -> np.ndarray:
+    """Gini impurity times the mass, along the last axis."""
+    mass = sums.sum(axis=-1)
+    return mass - np.divide((sums * sums).sum(axis=-1), mass, out=np.zeros_like(mass), where=mass > 0)
