@@ -58,12 +58,14 @@ class _Interval:
     inside: np.ndarray
     rows: float
 
-    def bound(self, whole: np.ndarray) -> float:
-        """No split inside has a smaller impurity."""
-        if len(whole) > CORNERS:
-            return 0.0
-        corners = np.array(list(itertools.product((0.0, 1.0), repeat=len(whole)))) * self.inside
-        return float((impurity(self.below + corners) + impurity(whole - self.below - corners)).min())
+
+def _bounds(intervals: list[_Interval], whole: np.ndarray) -> np.ndarray:
+    """By interval: no split inside has a smaller impurity."""
+    if len(whole) > CORNERS or not intervals:
+        return np.zeros(len(intervals))
+    corners = np.array(list(itertools.product((0.0, 1.0), repeat=len(whole))))
+    below = np.stack([i.below for i in intervals])[:, None] + corners * np.stack([i.inside for i in intervals])[:, None]
+    return (impurity(below) + impurity(whole - below)).min(axis=1)
 
 
 @dataclass
@@ -140,16 +142,16 @@ def _sums(block: Block, fresh: list, shift: float, asked: list[tuple[int, np.nda
     return out
 
 
-def _inside(block: Block, fresh: list, shift: float, asked: list[_Interval], k: int) -> list[tuple]:
-    """(interval, key, weights by class) of every value in the intervals."""
+def _inside(block: Block, fresh: list, shift: float, asked: list[_Interval], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interval, key and weights by class of every value in the intervals."""
     weight, y, out = np.exp(_logs(block, fresh) - shift), block["y"], []
     for number, i in enumerate(asked):
         key = block["key"][:, i.feature]
         own = np.flatnonzero((key > i.low) & (key <= i.high))
         values, place = np.unique(key[own], return_inverse=True)
         sums = np.bincount(place * k + y[own], weight[own], len(values) * k).reshape(len(values), k)
-        out += [(number, int(v), s) for v, s in zip(values, sums)]
-    return out
+        out.append((np.full(len(values), number), values, sums))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k: int) -> tuple | None:
@@ -158,15 +160,20 @@ def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k:
     whole = table[: len(edges[0]) + 1, :k].sum(axis=0)
     best: tuple | None = None  # impurity, feature, key, weights below
 
-    def offer(feature: int, key: int, below: np.ndarray) -> None:
+    def offer(feature: int, keys: np.ndarray, below: np.ndarray) -> None:
+        """The weights below each of a feature's ascending keys."""
         nonlocal best
         above = whole - below
-        if below.sum() <= 0 or above.sum() <= 1e-12 * whole.sum():
+        fit = np.flatnonzero((below.sum(axis=1) > 0) & (above.sum(axis=1) > 1e-12 * whole.sum()))
+        if not len(fit):
             return
-        value = float(impurity(below) + impurity(above))
+        values = impurity(below[fit]) + impurity(above[fit])
+        first = int(np.argmax(values <= values.min() + 1e-12 * whole.sum()))
+        value, at = float(values[first]), fit[first]
+        key = int(keys[at])
         near = best is not None and abs(value - best[0]) <= 1e-12 * whole.sum()
         if best is None or (not near and value < best[0]) or (near and (feature, key) < best[1:3]):
-            best = (value, feature, key, below)
+            best = (value, feature, key, below[at])
 
     def intervals(asked: list[tuple[int, int, int, np.ndarray, np.ndarray]], sums: np.ndarray) -> list[_Interval]:
         """Offers the edges and gives the intervals of more than one value; asked: feature, low, high, weights below, edges."""
@@ -174,38 +181,42 @@ def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k:
         for feature, low, high, below, cuts in asked:
             n = len(cuts) + 1
             own, first = sums[first : first + n], first + n
-            for place, part in enumerate(own):
+            upto = np.cumsum(np.vstack([below, own[:, :k]]), axis=0)  # below each part, and all
+            offer(feature, cuts, upto[1:-1])
+            for place in np.flatnonzero(own[:, k] > 1).tolist():
                 bottom = int(cuts[place - 1]) if place else low
                 top = int(cuts[place]) if place < len(cuts) else high
-                if part[k] > 1 and top - bottom > 1:
-                    found.append(_Interval(feature, bottom, top, below, part[:k], part[k]))
-                below = below + part[:k]
-                if place < len(cuts):
-                    offer(feature, top, below)
+                if top - bottom > 1:
+                    found.append(_Interval(feature, bottom, top, upto[place], own[place, :k], own[place, k]))
         return found
 
     lowest, highest = -(1 << 63), (1 << 63) - 1
     todo = intervals([(f, lowest, highest, np.zeros(k), e) for f, e in enumerate(edges)], table)
     while True:
         # A rounding error must not drop an interval.
-        todo = [i for i in todo if best is None or i.bound(whole) < best[0] - 1e-12 * whole.sum()]
-        small = [i for i in todo if i.rows <= FETCHED]
+        bounds = _bounds(todo, whole)
+        hopeful = np.flatnonzero(bounds < best[0] - 1e-12 * whole.sum()) if best is not None else np.arange(len(todo))
+        hopeful = hopeful[np.argsort(bounds[hopeful], kind="stable")]
+        todo = [todo[j] for j in hopeful]  # the lowest bounds first
         taken, rows = [], 0.0
-        for i in sorted(small, key=lambda i: i.bound(whole)):
+        for i in todo:
             if rows + i.rows <= FETCHED:
                 taken.append(i)
                 rows += i.rows
         if not todo:
             break
         if taken:
-            values: dict[tuple[int, int], np.ndarray] = {}
-            for number, key, sums in blocks.rdd.flatMap(lambda b: _inside(b, fresh, shift, taken, k)).collect():
-                values[number, key] = values.get((number, key), 0.0) + sums
-            below = [i.below for i in taken]
-            for number, key in sorted(values):
-                below[number] = below[number] + values[number, key]
-                if key < taken[number].high:
-                    offer(taken[number].feature, key, below[number])
+            number, key, sums = map(np.concatenate, zip(*blocks.rdd.map(lambda b: _inside(b, fresh, shift, taken, k)).collect()))
+            order = np.lexsort((key, number))
+            number, key = number[order], key[order]
+            # The same value in several blocks is one.
+            new = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (key[1:] != key[:-1])][: len(key)])
+            number, key, sums = number[new], key[new], np.add.reduceat(sums[order], new, axis=0)
+            for j, i in enumerate(taken):
+                a, b = np.searchsorted(number, [j, j + 1])
+                below = np.cumsum(np.vstack([i.below, sums[a:b]]), axis=0)[1:]
+                inner = key[a:b] < i.high
+                offer(i.feature, key[a:b][inner], below[inner])
             done = set(map(id, taken))
             todo = [i for i in todo if id(i) not in done]
         else:
