@@ -148,25 +148,25 @@ class LeafWiseBoosting:
         blocks = raw.updated(lambda b: _binned(b, limits, start))
         raw.release()
         trees: list[list[Tree]] = []
-        fresh: list[list[Tree]] = []
+        newest: list[Tree] = []
         rng = np.random.default_rng(self.seed)
         try:
             for round_ in range(self.rounds):
                 n = max(1, round(self.columns * len(features)))
                 allowed = [np.sort(rng.permutation(len(features))[:n]) for _ in start]
-                grown = self._round(blocks, fresh, round_, allowed, limits)
+                # Margins and gradients are worked out once a round, with its first pass.
+                before, blocks = blocks, blocks.stepped(lambda b, newest=newest, r=round_: _begun(b, newest, r, self.rows, self.seed), cut=round_ % self.settle_every == self.settle_every - 1)
+                grown = self._round(blocks, allowed, limits)
+                before.release()
                 if all(len(t.left) == 1 for t in grown) and self.rows >= 1 and self.columns >= 1:
                     break  # nothing was drawn: no later round can find more
-                fresh.append(grown)
+                newest = grown
                 trees.append([_in_values(t, limits) for t in grown])
-                if len(fresh) >= self.settle_every and round_ + 1 < self.rounds:
-                    settled, fresh = fresh, []
-                    blocks = blocks.updated(lambda b, settled=settled: {**b, "margin": _with_trees(b, settled)})
         finally:
             blocks.release()
         return FittedBoosting(features, classes, start, trees)
 
-    def _round(self, blocks: Blocks, fresh: list[list[Tree]], round_: int, allowed: list[np.ndarray], limits: list[list[float]]) -> list[Tree]:
+    def _round(self, blocks: Blocks, allowed: list[np.ndarray], limits: list[list[float]]) -> list[Tree]:
         """One tree for each margin, in bins."""
         growing = [_Growing(self, a, [len(v) for v in limits]) for a in allowed]
         while True:
@@ -175,8 +175,7 @@ class LeafWiseBoosting:
                 return [g.finished() for g in growing]
             # Every row is in one leaf of each tree: a block gives its rows' sums for the open leaves.
             width = max(len(v) for v in limits) + 1
-            share, seed = self.rows, self.seed
-            found = blocks.sums(lambda b: [_histogram(b, fresh, asked, width, round_, share, seed)])[0]
+            found = blocks.sums(lambda b: [_histogram(b, asked, width)])[0]
             for k, g in enumerate(growing):
                 g.histogrammed(found[k])
 
@@ -316,13 +315,15 @@ def _binned(block: Block, limits: list[list[float]], start: list[float]) -> Bloc
     return {"bin": bins, "y": block["y"].astype(np.int16), "w": block["w"], "row": block["row"].astype(np.uint64), "margin": np.tile(np.asarray(start), (len(x), 1))}
 
 
-def _with_trees(block: Block, fresh: list[list[Tree]]) -> np.ndarray:
+def _begun(block: Block, newest: list[Tree], round_: int, share: float, seed: int) -> Block:
+    """The block as a round sees it: margins with the newest trees, their gradients, and whether a row is drawn."""
     margin = block["margin"].copy()
-    for round_ in fresh:
-        for k, tree in enumerate(round_):
-            if len(tree.left) > 1 or tree.value[0]:
-                margin[:, k] += tree.values(block["bin"])
-    return margin
+    for k, tree in enumerate(newest):
+        if len(tree.left) > 1 or tree.value[0]:
+            margin[:, k] += tree.values(block["bin"])
+    g, h = gradients(margin, block["y"], block["w"])
+    inside = drawn(block["row"], round_, share, seed) if share < 1 else np.ones(len(margin), bool)
+    return {**block, "margin": margin, "g": g, "h": h, "inside": inside}
 
 
 def drawn(row: np.ndarray, round_: int, share: float, seed: int) -> np.ndarray:
@@ -341,14 +342,13 @@ def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndar
     return (p - truth) * w[:, None], np.maximum(p * (1 - p), 1e-16) * w[:, None]
 
 
-def _histogram(block: Block, fresh: list[list[Tree]], asked: list[tuple[Tree, list[int]]], width: int, round_: int, share: float, seed: int) -> np.ndarray:
+def _histogram(block: Block, asked: list[tuple[Tree, list[int]]], width: int) -> np.ndarray:
     """Sums by tree, open node, feature and bin of gradients, hessians and rows."""
     bins = block["bin"]
     features = bins.shape[1]
     most = max(len(open_) for _, open_ in asked)
     out = np.zeros((len(asked), most, features, width, 3))
-    g, h = gradients(_with_trees(block, fresh), block["y"], block["w"])
-    inside = drawn(block["row"], round_, share, seed) if share < 1 else np.ones(len(bins), bool)
+    g, h, inside = block["g"], block["h"], block["inside"]
     for k, (tree, open_) in enumerate(asked):
         if not open_:
             continue
