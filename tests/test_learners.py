@@ -228,3 +228,21 @@ def test_queries_use_the_detectors_defaults(monkeypatch, name, module, made):
     with pytest.raises(Asked):
         importlib.import_module("__spark_entry__").queries()[name](None, "")
     assert calls == [(d, (), {}) for d in made]
+
+
+def test_a_known_bound_leaves_few_cells_and_rows():
+    from flowbench.operators.neighbours import _close, _visits
+
+    rng = np.random.default_rng(3)
+    rows, tests = rng.normal(size=(500, 4)), rng.normal(size=(20, 4))
+    gaps = np.sqrt(((tests[:, None] - rows) ** 2).sum(axis=2))
+    far = np.sort(gaps, axis=1)[:, 4]
+    whole = np.ones(500, np.int64)
+    for bound in (far, np.full(20, np.inf)):
+        for test, close, d in _close(tests, bound, rows, whole, whole, 5):
+            assert test.tolist() == np.repeat(np.arange(20), 5).tolist() and np.allclose(d.reshape(20, 5), np.sort(gaps, axis=1)[:, :5])
+    import pandas as pd
+
+    pivots, cells = rows[:50], {i: (1.0, 0.9) for i in range(50)}
+    seen = [len(next(_visits(pivots, cells)([pd.DataFrame({"_q": range(20), "_v": list(tests), "far": f})]))) for f in (far, np.inf)]
+    assert seen[0] < seen[1]
