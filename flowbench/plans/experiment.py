@@ -12,7 +12,7 @@ from flowbench.operators import metrics
 from flowbench.operators.baseline import Detector, FittedDetector
 from flowbench.operators.splits import fitting_parts, folds
 from flowbench.plans.results import compact_metrics, unfinished_runs
-from flowbench.session import checkpoint
+from flowbench.session import checkpoint, spread
 
 
 def evaluate(fitted: FittedDetector, test: DataFrame, label: str, threshold: float | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def tuned_threshold(
     detector: Detector, train: DataFrame, features: Sequence[str], label: str, key: Sequence[str], seed: int = 42
 ) -> tuple[FittedDetector, float]:
     """A detector fitted on nine tenths of the training rows, and the threshold chosen on the rest."""
-    parts = fitting_parts(train, key, 0.1, seed)
+    parts = spread(fitting_parts(train, key, 0.1, seed), "fitting")
     fitted = detector.fit(parts.where("part = 'fitting'"), features, label)
     scored = fitted.score(parts.where("part = 'validation'"))
     if "probability" not in scored.columns:

@@ -47,11 +47,11 @@ LEARNABLE = {"labelled": _LABELLED, **ranked_steps("labelled", "flow_id", "CAST(
 
 
 def learnable_parts(spark, sf_dir):
-    """(train, test) of flows whose 0/1 label ``y`` follows from two features; written once, for fits pass over them many times."""
+    """(train, test) of flows whose 0/1 label ``y`` follows from two features; written once with their part, for fits pass over them many times."""
     df = flows(spark, sf_dir).select(
         "flow_id", "class", *COMMON, F.expr(f"CASE {ATTACK_RULE} WHEN 'Attack' THEN 1 ELSE 0 END").alias("y")
     )
-    parts = splits.random_parts(spread(complete_rows(df, COMMON, "y"), "learnable"), KEY, 0.2, 42, "y")
+    parts = spread(splits.random_parts(spread(complete_rows(df, COMMON, "y"), "learnable"), KEY, 0.2, 42, "y"), "parts")
     return parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
 
 
