@@ -25,7 +25,7 @@ Block = dict[str, np.ndarray]
 
 
 class Blocks:
-    """A table as blocks: ``x`` (rows by columns) and one array for each further column, all of 64-bit floats.
+    """A table as blocks: ``x`` (rows by columns) and one array for each further column, of 64-bit floats unless ``x`` is asked for in 32.
 
     Built once from a checkpoint of the rows. ``updated`` gives blocks with changed arrays, written to the checkpoint folder as well, so
     that a lost executor costs the last update and not the whole history.
@@ -35,18 +35,20 @@ class Blocks:
         self.rdd, self.rows = rdd, rows
 
     @staticmethod
-    def of(df: DataFrame, x: Sequence[Column], others: Mapping[str, Column]) -> "Blocks":
-        """No cell may be null."""
+    def of(df: DataFrame, x: Sequence[Column] | Column, others: Mapping[str, Column], narrow: bool = False) -> "Blocks":
+        """``x`` are the cells or a column with an array of them; ``narrow`` keeps them as 32-bit floats. No cell may be null."""
         names = list(others)
+        kind = "<f4" if narrow else "<f8"
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     cells = [batch.column("x").flatten(), *(batch.column(n) for n in names)]
-                    blobs = [pa.array([c.to_numpy(zero_copy_only=False).astype("<f8").tobytes()]) for c in cells]
+                    blobs = [pa.array([c.to_numpy(zero_copy_only=False).astype(kind if i == 0 else "<f8").tobytes()]) for i, c in enumerate(cells)]
                     yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), *blobs], names=["n", "x", *names])
 
-        rows = df.select(F.array(*[c.cast("double") for c in x]).alias("x"), *[c.cast("double").alias(n) for n, c in others.items()])
+        cells = x if isinstance(x, Column) else F.array(*[c.cast("double") for c in x])
+        rows = df.select(cells.alias("x"), *[c.cast("double").alias(n) for n, c in others.items()])
         kept = checkpoint(rows.mapInArrow(packed, ", ".join(["n long", "x binary", *[f"`{n}` binary" for n in names]])))
         total = kept.agg(F.sum("n")).first()[0] or 0
         few = max(1, -(-total // ROWS_A_TASK))
@@ -55,7 +57,7 @@ class Blocks:
 
         def together(rows: list) -> Block:
             block = {n: np.concatenate([np.frombuffer(r[n], "<f8") for r in rows]) for n in names}
-            return {"x": np.concatenate([np.frombuffer(r["x"], "<f8").reshape(r["n"], -1) for r in rows]), **block}
+            return {"x": np.concatenate([np.frombuffer(r["x"], kind).reshape(r["n"], -1) for r in rows]), **block}
 
         def matrices(rows: Iterator) -> Iterator[Block]:
             held, n = [], 0

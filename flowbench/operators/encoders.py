@@ -18,11 +18,6 @@ from flowbench.operators.energy import EnergyRule
 from flowbench.operators.nets import FittedNet, Layers, Training, forward, labelled_blocks, matrix_of, new_layers, train, with_outputs
 
 
-def _coded(blocks: Blocks, encoder: Layers) -> Blocks:
-    """The blocks with codes in place of cells."""
-    return Blocks(blocks.rdd.map(lambda b: {**b, "x": forward(encoder, b["x"], rectified=len(encoder))[0][-1]}), blocks.rows)
-
-
 def fit_autoencoder(blocks: Blocks, width: int, hidden: Sequence[int], settings: Training, stacked: bool = False) -> tuple[Layers, Layers, list[float]]:
     """Encoder and decoder of rectified layers ``hidden`` (the last is the code) before a linear output, and the loss by epoch.
 
@@ -35,7 +30,7 @@ def fit_autoencoder(blocks: Blocks, width: int, hidden: Sequence[int], settings:
         encoder: Layers = []
         decoder: Layers = []
         for a, b in zip(sizes, sizes[1:]):
-            (into, back), _ = train(_coded(blocks, encoder), new_layers([a, b, a], rng), "cells", settings)
+            (into, back), _ = train(blocks, new_layers([a, b, a], rng), "cells", settings, before=encoder)
             encoder, decoder = [*encoder, into], [back, *decoder]
         layers = [*encoder, *decoder]
     layers, history = train(blocks, layers, "cells", settings)
@@ -119,7 +114,7 @@ class EncodedNet:
             alike = Blocks(blocks.rdd.map(lambda b: {**b, "w": np.ones(len(b["w"]))}), blocks.rows)
             encoder, _, _ = fit_autoencoder(alike, len(features), self.hidden, replace(self.training, dropout=0.0), self.stacked)
             top = new_layers([self.hidden[-1], *self.head, len(classes)], np.random.default_rng(self.training.seed))
-            top, history = train(_coded(blocks, encoder), top, "classes", self.training)
+            top, history = train(blocks, top, "classes", self.training, before=encoder)
         finally:
             blocks.release()
         return FittedNet(self.name, features, stats, classes, [*encoder, *top], history)

@@ -326,13 +326,18 @@ def _begun(block: Block, newest: list[Tree], round_: int, share: float, seed: in
     return {**block, "margin": margin, "g": g, "h": h, "inside": inside}
 
 
-def drawn(row: np.ndarray, round_: int, share: float, seed: int) -> np.ndarray:
-    """Whether a round sees the rows of these numbers: a hash of number, round and seed, below the share."""
+def draws(row: np.ndarray, round_: int, seed: int) -> np.ndarray:
+    """A hash of number, round and seed, from 0 to 1."""
     salt = np.uint64((seed * 1_000_003 + round_ + 1) * 0xD1B54A32D192ED03 % (1 << 64))
     h = (row + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ salt
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def drawn(row: np.ndarray, round_: int, share: float, seed: int) -> np.ndarray:
+    """Whether a round sees the rows of these numbers: their draw is below the share."""
+    return draws(row, round_, seed) < share
 
 
 def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
 from flowbench.operators.encode import anova_f, best_features, standard_stats, standardise, with_balanced_weights
+from flowbench.operators.perceptron import BlockPerceptron
 from flowbench.session import few_rows
 
 VECTOR, TARGET, WEIGHT = "_x", "_y", "_w"
@@ -229,7 +229,7 @@ def softmax(iterations: int = 1000, balanced: bool = True) -> Learner:
 
 
 def _network(vector: str, n: int, hidden: Sequence[int], k: int, iterations: int, seed: int):
-    return MultilayerPerceptronClassifier(
+    return BlockPerceptron(
         featuresCol=vector, labelCol=TARGET, layers=[n, *hidden, k], maxIter=iterations, blockSize=256, seed=seed
     )
 

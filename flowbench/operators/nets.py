@@ -18,11 +18,14 @@ from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
 from flowbench.operators.blocks import Block, Blocks
 from flowbench.operators.encode import standard_stats, standardise
-from flowbench.operators.leafwise import drawn
+from flowbench.operators.leafwise import drawn, draws
 from flowbench.session import few_rows
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
+# Rows that go through the layers at once: what they put out stays in the cache of a core.
+ROWS_AT_ONCE = 1024
+
 
 @dataclass(frozen=True)
 class Training:
@@ -49,12 +52,13 @@ def forward(layers: Layers, x: np.ndarray, dropout: float = 0.0, rng: np.random.
     hidden = len(layers) - 1 if rectified is None else rectified
     outs, masks = [x], []
     for i, (w, b) in enumerate(layers):
-        z = outs[-1] @ w + b
+        z = outs[-1] @ w
+        z += b
         mask = None
         if i < hidden:
-            z = np.maximum(z, 0)
+            np.maximum(z, 0, out=z)
             if dropout and rng is not None and i < len(layers) - 1:
-                mask = (rng.random(z.shape) >= dropout) / (1 - dropout)
+                mask = (rng.random(z.shape, dtype=z.dtype) >= dropout).astype(z.dtype) / z.dtype.type(1 - dropout)
                 z = z * mask
         outs.append(z)
         masks.append(mask)
@@ -98,34 +102,59 @@ def _part(block: Block, settings: Training) -> np.ndarray:
     return drawn(rows, -1, settings.validation, settings.seed) if settings.validation else np.zeros(len(rows), bool)
 
 
-def gradient_sums(block: Block, layers: Layers, kind: str, settings: Training, epoch: int, step: int, rectified: int | None = None) -> list[np.ndarray]:
-    """Gradients over the block's rows of one mini-batch, the sum of their weights last."""
+def _as(kind: np.dtype, layers: Layers) -> Layers:
+    return [(w.astype(kind, copy=False), b.astype(kind, copy=False)) for w, b in layers]
+
+
+def _cells(block: Block, own: np.ndarray, before: Layers) -> np.ndarray:
+    """The cells of some rows, or their codes by the rectified layers ``before``."""
+    x = block["x"][own]
+    return forward(before, x, rectified=len(before))[0][-1] if before else x
+
+
+def gradient_sums(block: Block, layers: Layers, kind: str, settings: Training, epoch: int, step: int, rectified: int | None = None, before: Layers = ()) -> list[np.ndarray]:
+    """Gradients over the block's rows of one mini-batch, the sum of their weights last; worked out in the precision of the cells, summed in 64 bits."""
+    layers, before = _as(block["x"].dtype, layers), _as(block["x"].dtype, before)
     rows = block["row"].astype(np.uint64)
     # Slots of an epoch: a row's slot is its draw, cut into as many equal shares as there are steps.
-    later = drawn(rows, epoch, (step + 1) / settings.steps, settings.seed + 1)
-    own = np.flatnonzero(later & ~drawn(rows, epoch, step / settings.steps, settings.seed + 1) & ~_part(block, settings))
-    x, w = block["x"][own], block["w"][own]
+    draw = draws(rows, epoch, settings.seed + 1)
+    own = np.flatnonzero((draw < (step + 1) / settings.steps) & ~(draw < step / settings.steps))
+    own = own[~_part({"row": block["row"][own]}, settings)]
     first = int(rows[0]) if len(rows) else 0
     rng = np.random.default_rng([settings.seed, epoch, step, first])
-    outs, masks = forward(layers, x, settings.dropout, rng, rectified)
-    if kind == "classes":
-        _, delta = class_loss(outs[-1], block["y"][own], w)
-    else:
-        _, delta = square_loss(outs[-1], x, w)
-    return [*backward(layers, outs, masks, delta, rectified), np.array([w.sum()])]
-
-
-def loss_sums(block: Block, layers: Layers, kind: str, settings: Training, held_back: bool, rectified: int | None = None) -> list[np.ndarray]:
+    total = [*(np.zeros(p.shape) for layer in layers for p in layer), np.zeros(1)]
+    for at in range(0, len(own), ROWS_AT_ONCE):
+        some = own[at : at + ROWS_AT_ONCE]
+        x, w = _cells(block, some, before), block["w"][some].astype(block["x"].dtype)
+        outs, masks = forward(layers, x, settings.dropout, rng, rectified)
+        if kind == "classes":
+            _, delta = class_loss(outs[-1], block["y"][some], w)
+        else:
+            _, delta = square_loss(outs[-1], x, w)
+        for into, found in zip(total, [*backward(layers, outs, masks, delta, rectified), w.sum()]):
+            into += found
+    return total
+
+
+def loss_sums(block: Block, layers: Layers, kind: str, settings: Training, held_back: bool, rectified: int | None = None, before: Layers = ()) -> list[np.ndarray]:
     """Loss and weight over the rows held back, or over the others."""
+    layers, before = _as(block["x"].dtype, layers), _as(block["x"].dtype, before)
     own = np.flatnonzero(_part(block, settings) == held_back)
-    x, w = block["x"][own], block["w"][own]
-    z = forward(layers, x, rectified=rectified)[0][-1]
-    loss = class_loss(z, block["y"][own], w)[0] if kind == "classes" else square_loss(z, x, w)[0]
-    return [np.array([loss, w.sum()])]
+    total = np.zeros(2)
+    for at in range(0, len(own), ROWS_AT_ONCE):
+        some = own[at : at + ROWS_AT_ONCE]
+        x, w = _cells(block, some, before), block["w"][some]
+        z = forward(layers, x, rectified=rectified)[0][-1]
+        loss = class_loss(z, block["y"][some], w)[0] if kind == "classes" else square_loss(z, x, w)[0]
+        total += [loss, w.sum()]
+    return [total]
+
 
+def train(blocks: Blocks, layers: Layers, kind: str, settings: Training, rectified: int | None = None, before: Layers = ()) -> tuple[Layers, list[float]]:
+    """Layers after training, and the loss by epoch (on the validation share, or else on all rows).
 
-def train(blocks: Blocks, layers: Layers, kind: str, settings: Training, rectified: int | None = None) -> tuple[Layers, list[float]]:
-    """Layers after training, and the loss by epoch (on the validation share, or else on all rows)."""
+    With layers ``before``, which stay as they are, the net is trained on their codes; only rows that a step reads are coded.
+    """
     first = [np.zeros_like(p) for layer in layers for p in layer]
     second = [np.zeros_like(p) for layer in layers for p in layer]
     best, history, since, t = (np.inf, layers), [], 0, 0
@@ -135,7 +164,7 @@ def train(blocks: Blocks, layers: Layers, kind: str, settings: Training, rectifi
             now = layers
             # The first pass of an epoch measures the loss after the one before, too.
             measured = step == 0 and epoch > 0
-            found = blocks.sums(lambda b: [*gradient_sums(b, now, kind, settings, epoch, step, rectified), *(loss_sums(b, now, kind, settings, held_back, rectified) if measured else [])])
+            found = blocks.sums(lambda b: [*gradient_sums(b, now, kind, settings, epoch, step, rectified, before), *(loss_sums(b, now, kind, settings, held_back, rectified, before) if measured else [])])
             if measured and not _goes_on(history, found.pop()):
                 return layers, history  # too few rows to hold any back
             if measured:
@@ -157,7 +186,7 @@ def train(blocks: Blocks, layers: Layers, kind: str, settings: Training, rectifi
                 out.append(p - settings.rate * (move + shrink))
             layers = [(out[i], out[i + 1]) for i in range(0, len(out), 2)]
     now = layers
-    if _goes_on(history, blocks.sums(lambda b: loss_sums(b, now, kind, settings, held_back, rectified))[0]) and history[-1] < best[0]:
+    if _goes_on(history, blocks.sums(lambda b: loss_sums(b, now, kind, settings, held_back, rectified, before))[0]) and history[-1] < best[0]:
         best = (history[-1], layers)
     return (best[1] if held_back and history else layers), history
 
@@ -171,13 +200,13 @@ def _goes_on(history: list[float], measured: np.ndarray) -> bool:
 
 
 def matrix_of(df: DataFrame, features: Sequence[str], stats, others: dict) -> Blocks:
-    """Blocks of scaled features, further columns and a row number."""
+    """Blocks of scaled features in 32 bits, further columns and a row number."""
     names = {f"_o{i}": c for i, c in enumerate(others.values())}
     wide = df.select(*[finite_or(c).alias(f"_f{i}") for i, c in enumerate(features)], *[c.alias(n) for n, c in names.items()])
     wide = standardise(wide, {f"_f{i}": stats[c] for i, c in enumerate(features)})
     cells = [F.col(f"_f{i}") for i in range(len(features))]
     columns = {k: F.col(n) for k, n in zip(others, names)}
-    return Blocks.of(wide, cells, {**columns, "row": F.monotonically_increasing_id()})
+    return Blocks.of(wide, cells, {**columns, "row": F.monotonically_increasing_id()}, narrow=True)
 
 
 def labelled_blocks(rows: DataFrame, features: Sequence[str], label: str, balanced: bool) -> tuple[Blocks, dict, list[int]]:

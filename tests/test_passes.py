@@ -33,3 +33,46 @@ def test_a_tuned_detector_reads_its_parts_from_where_they_are_written(spark):
     rows = spark.range(100).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
     _, threshold = tuned_threshold(detector, rows, ["x"], "y", ["k"])
     assert "md5" not in detector.plan and detector.rows == 90 and 0 < threshold < 1
+
+
+def test_a_perceptron_on_blocks_comes_as_low_as_that_of_mllib(spark):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier, MultilayerPerceptronClassificationModel
+    from pyspark.ml.functions import array_to_vector
+
+    from flowbench.operators import perceptron
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] * x[:, 1] > 0.1).astype(float) + (x[:, 2] > 1)
+    df = spark.createDataFrame([(v.tolist(), float(c)) for v, c in zip(x, y)], "x array<double>, y double").select(array_to_vector("x").alias("x"), "y")
+    sizes = [3, 6, 4, 3]
+    block = {"x": x, "y": y}
+    losses = {}
+    for kind in (MultilayerPerceptronClassifier, perceptron.BlockPerceptron):
+        model = kind(featuresCol="x", labelCol="y", layers=sizes, maxIter=60, seed=7).fit(df)
+        assert isinstance(model, MultilayerPerceptronClassificationModel)
+        loss, gradient = perceptron.loss_and_gradient(block, model.weights.toArray(), sizes)
+        losses[kind.__name__] = loss[0] / 600
+    assert losses["BlockPerceptron"] <= losses["MultilayerPerceptronClassifier"] * 1.1 + 0.01
+    flat, e = rng.normal(size=len(gradient)), 1e-6
+    gradient = perceptron.loss_and_gradient(block, flat, sizes)[1]
+    for i in range(0, len(flat), 5):
+        move = np.eye(len(flat))[i] * e
+        ends = [perceptron.loss_and_gradient(block, flat + s * move, sizes)[0][0] for s in (1, -1)]
+        assert gradient[i] == pytest.approx((ends[0] - ends[1]) / (2 * e), rel=1e-4, abs=1e-5)
+
+
+def test_only_the_rows_of_a_step_are_coded(monkeypatch):
+    from flowbench.operators import nets
+    from flowbench.operators.nets import Training
+
+    rng = np.random.default_rng(0)
+    block = {"x": rng.normal(size=(9000, 4)), "y": np.zeros(9000), "w": np.ones(9000), "row": np.arange(9000.0)}
+    before, top = nets.new_layers((4, 3), rng), nets.new_layers((3, 2), rng)
+    codes = nets.forward(before, block["x"], rectified=1)[0][-1]
+    settings = Training(steps=4, dropout=0.0)
+    expected = nets.gradient_sums({**block, "x": codes}, top, "classes", settings, 0, 1)
+    seen, plain = [], nets.forward
+    monkeypatch.setattr(nets, "forward", lambda layers, x, *a, **k: seen.append(len(x)) or plain(layers, x, *a, **k))
+    found = nets.gradient_sums(block, top, "classes", settings, 0, 1, before=before)
+    assert all(np.allclose(a, b) for a, b in zip(found, expected)) and sum(seen) < 2 * 9000 / 3
