@@ -16,7 +16,7 @@ from flowbench.operators.clusters import cluster_labels, default_label
 from flowbench.operators.encode import standard_stats, standardise
 from flowbench.operators.energy import EnergyRule
 from flowbench.operators.learners import VECTOR, assemble
-from flowbench.session import settle
+from flowbench.session import settle, spread
 
 
 @dataclass
@@ -52,24 +52,18 @@ class ClusterDetector:
         ).first()
         k = max(1, min(self.clusters, sizes["rows"] or 0, sizes["classes"]))
         stats = standard_stats(train.select(*[finite_or(c).alias(c) for c in features]), features)
-        rows = assemble(train, features, stats).select(VECTOR, F.col(label).cast("int").alias("label")).persist()
-        try:
-            if k == 1:
-                # One cluster is its own centre; MLlib wants at least two.
-                model = None
-            else:
-                fitted = [
-                    KMeans(k=k, maxIter=self.iterations, seed=self.seed + i, featuresCol=VECTOR, predictionCol="_cluster").fit(rows)
-                    for i in range(max(1, self.starts))
-                ]
-                model = min(fitted, key=lambda m: m.summary.trainingCost)
-            if model is None:
-                only = default_label(rows, "label")
-                return _OneCluster(list(features), only)
-            mapping = settle(cluster_labels(model.transform(rows), "_cluster", "label").select("cluster", "label"))
-            return FittedClusters(list(features), stats, model, mapping, default_label(rows, "label"))
-        finally:
-            rows.unpersist()
+        # Read from files, each start of MLlib's k-means keeps the rows unpacked by itself; of a cached table it would unpack them in each pass.
+        rows = spread(assemble(train, features, stats).select(VECTOR, F.col(label).cast("int").alias("label")), "clusters")
+        if k == 1:
+            # One cluster is its own centre; MLlib wants at least two.
+            return _OneCluster(list(features), default_label(rows, "label"))
+        fitted = [
+            KMeans(k=k, maxIter=self.iterations, seed=self.seed + i, featuresCol=VECTOR, predictionCol="_cluster").fit(rows)
+            for i in range(max(1, self.starts))
+        ]
+        model = min(fitted, key=lambda m: m.summary.trainingCost)
+        mapping = settle(cluster_labels(model.transform(rows), "_cluster", "label").select("cluster", "label"))
+        return FittedClusters(list(features), stats, model, mapping, default_label(rows, "label"))
 
 
 @dataclass

@@ -76,3 +76,14 @@ def test_only_the_rows_of_a_step_are_coded(monkeypatch):
     monkeypatch.setattr(nets, "forward", lambda layers, x, *a, **k: seen.append(len(x)) or plain(layers, x, *a, **k))
     found = nets.gradient_sums(block, top, "classes", settings, 0, 1, before=before)
     assert all(np.allclose(a, b) for a, b in zip(found, expected)) and sum(seen) < 2 * 9000 / 3
+
+
+def test_clusters_are_fitted_on_rows_that_are_not_unpacked_in_each_pass(spark, monkeypatch):
+    from flowbench.operators import anomaly
+
+    plain, seen = anomaly.KMeans.fit, []
+    monkeypatch.setattr(anomaly.KMeans, "fit", lambda self, df: seen.append((df.storageLevel.useMemory, len(df.inputFiles()))) or plain(self, df))
+    df = spark.range(60).select(F.col("id").cast("double").alias("x"), (F.col("id") >= 30).cast("int").alias("y"))
+    fitted = anomaly.ClusterDetector(starts=2).fit(df, ["x"], "y")
+    assert len(seen) == 2 and all(not held and files for held, files in seen)
+    assert fitted.score(df).where("prediction = y").count() == 60
