@@ -1,7 +1,7 @@
 """Decision trees and forests without a limit of depth.
 
-While a node holds many rows, its split is found from class histograms of its features, summed over all rows; once it holds few, its rows
-come together in one task, which finishes the subtree on their exact values, however deep. The finished subtrees are a table: a model on very
+While a node holds many rows, its split is found from class histograms of the features drawn for it, summed over all rows: cells are coded once, and
+blocks keep the rows that are still in open nodes and where they are. Once a node holds few rows, they come together in one task, which finishes the subtree on their exact values, however deep. The finished subtrees are a table: a model on very
 many rows need not fit the driver. Scoring sends the subtrees to every task if their counted size allows it, and else deals rows
 and subtrees out by node.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,9 @@ SMALL = 20_000
 # Nodes of all subtrees that are sent to every task; with more, rows and subtrees meet by node.
 BROADCAST_NODES = 500_000
 # Trees whose first nodes grow together.
-TOGETHER = 8
+TOGETHER = 25
+# Cells of the histograms of one pass over the rows; nodes beyond that wait for a later pass.
+CELLS = 4_000_000
 
 
 @dataclass
@@ -44,13 +46,16 @@ class Part:
     weights: list[list[float]]
 
     def ends(self, x: np.ndarray) -> np.ndarray:
-        feature, limit, left, right = map(np.asarray, (self.feature, self.limit, self.left, self.right))
-        node = np.zeros(len(x), np.int64)
-        inner = np.flatnonzero(left[node] >= 0)
+        feature, limit = np.asarray(self.feature), np.asarray(self.limit)
+        sides = np.stack([self.right, self.left], axis=1).ravel()
+        node, cells, width = np.zeros(len(x), np.int64), np.ascontiguousarray(x).ravel(), x.shape[1]
+        inner = np.arange(len(x) if sides[0] >= 0 else 0)
+        at = node[inner]
         while inner.size:
-            at = node[inner]
-            node[inner] = np.where(x[inner, feature[at]] <= limit[at], left[at], right[at])
-            inner = inner[left[node[inner]] >= 0]
+            at = sides.take(2 * at + (cells.take(inner * width + feature.take(at)) <= limit.take(at)))
+            node[inner] = at
+            more = np.flatnonzero(sides.take(2 * at) >= 0)
+            inner, at = inner.take(more), at.take(more)
         return node
 
     def shares(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -58,6 +63,21 @@ class Part:
         return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
 
 
+def grafted(top: Part, parts: dict[int, Part]) -> Part:
+    """One tree, as arrays: the finished parts in the place of the ends of ``top`` that they belong to."""
+    own = [np.array(v) for v in (top.feature, top.limit, top.left, top.right, top.weights)]
+    pieces, n = [own], len(top.left)
+    for node, part in parts.items():
+        feature, limit, left, right, weights = map(np.array, (part.feature, part.limit, part.left, part.right, part.weights))
+        # Node 0 of the part is the end itself; the others follow behind.
+        left, right = (np.where(left >= 0, v + n - 1, -1) for v in (left, right))
+        for values, piece in zip(own, (feature, limit, left, right, weights)):
+            values[node] = piece[0]
+        pieces.append([v[1:] for v in (feature, limit, left, right, weights)])
+        n += len(left) - 1
+    return Part(*(np.concatenate(v) for v in zip(*pieces)))
+
+
 def copies(row: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often a tree's sample holds the rows of these numbers: Poisson draws with mean 1 from a hash."""
     salt = np.uint64((seed * 1_000_003 + tree + 1) * 0xD1B54A32D192ED03 % (1 << 64))
@@ -67,7 +87,10 @@ def copies(row: np.ndarray, tree: int, seed: int) -> np.ndarray:
     u = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
     # Shares of a Poisson distribution with mean 1, added up.
     steps = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    return np.searchsorted(steps, u, "right")
+    out = np.zeros(len(u), np.int64)
+    for step in steps:
+        out += u >= step
+    return out
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, columns: int, leaf: int, rng: np.random.Generator) -> Part:
@@ -147,24 +170,20 @@ class FittedForest:
 
     def _sent(self, df: DataFrame) -> DataFrame:
         # Counted: at most BROADCAST_NODES nodes.
-        parts = {(r["tree"], r["node"]): Part(**json.loads(r["body"])) for r in self.parts.select("tree", "node", "body").toLocalIterator()}
-        shared = df.sparkSession.sparkContext.broadcast((self.tops, parts, len(self.classes)))
+        parts: list[dict[int, Part]] = [{} for _ in self.tops]
+        for r in self.parts.select("tree", "node", "body").toLocalIterator():
+            parts[r["tree"]][r["node"]] = Part(**json.loads(r["body"]))
+        shared = df.sparkSession.sparkContext.broadcast(([grafted(top, own) for top, own in zip(self.tops, parts)], len(self.classes)))
 
         @F.pandas_udf("array<double>")
         def shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            tops, parts, k = shared.value
+            trees, k = shared.value
             for cells in batches:
                 x = np.stack(cells.to_numpy()) if len(cells) else np.empty((0, 1))
                 total = np.zeros((len(x), k))
-                for tree, top in enumerate(tops):
-                    ends = top.ends(x)
-                    own = top.shares(x, ends)
-                    for node in np.unique(ends).tolist():
-                        if (part := parts.get((tree, node))) is not None:
-                            here = np.flatnonzero(ends == node)
-                            own[here] = part.shares(x[here], part.ends(x[here]))
-                    total += own
-                yield pd.Series(list(total / len(tops)))
+                for tree in trees:
+                    total += tree.shares(x, tree.ends(x))
+                yield pd.Series(list(total / len(trees)))
 
         return self._named(df.withColumn("probabilities", shares(self._cells())))
 
@@ -262,11 +281,12 @@ class DeepForest:
                 row, y = batch.column("row").to_numpy(), np.searchsorted(names, batch.column("y").to_numpy()).astype(np.int32)
                 for tree, top in enumerate(tops):
                     ends = top.ends(x)
-                    times = copies(row, tree, seed) if sample else np.ones(len(row), np.int64)
                     unfinished = np.array([len(w) == 0 or sum(v > 0 for v in w) > 1 for w in top.weights])
-                    own = np.flatnonzero((times > 0) & unfinished[ends])
+                    own = np.flatnonzero(unfinished[ends])
+                    times = copies(row[own], tree, seed) if sample else np.ones(len(own), np.int64)
+                    own, times = own[times > 0], times[times > 0]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), tree, np.int32)), pa.array(ends[own]), batch.column("x").take(pa.array(own)), pa.array(y[own]), pa.array(times[own].astype(np.int32))],
+                        [pa.array(np.full(len(own), tree, np.int32)), pa.array(ends[own]), batch.column("x").take(pa.array(own)), pa.array(y[own]), pa.array(times.astype(np.int32))],
                         names=["tree", "node", "x", "y", "times"],
                     )
 
@@ -282,68 +302,156 @@ class DeepForest:
         wide = clean.select(*[F.col("x")[i].alias(f"_f{i}") for i in range(len(features))], "y", "row")
         limits = [np.array(v) for v in _limits(wide, len(features), 255)]
         code = F.coalesce(*[F.when(F.col("y") == c, F.lit(i)) for i, c in enumerate(classes)])
-        blocks = Blocks.of(wide, [F.col(f"_f{i}") for i in range(len(features))], {"y": code, "row": F.col("row")})
-        sample, seed = self.trees > 1, self.seed
+        raw = Blocks.of(wide, [F.col(f"_f{i}") for i in range(len(features))], {"y": code, "row": F.col("row")})
+        binned = raw.updated(lambda b: _binned(b, limits))
         try:
             for first in range(0, self.trees, TOGETHER):
-                group = list(range(first, min(first + TOGETHER, self.trees)))
-                open_ = {t: [0] for t in group}
-                while any(open_.values()):
-                    asked = [(t, tops[t], open_[t]) for t in group if open_[t]]
-                    found = blocks.sums(lambda b: [_class_histogram(b, t, top, nodes, limits, k, sample, seed) for t, top, nodes in asked])
-                    for (t, top, nodes), table in zip(asked, found):
-                        open_[t] = []
-                        for place, node in enumerate(nodes):
-                            open_[t] += self._split(t, top, node, table[place], limits, weight, columns)
+                self._grow_tops(binned, {t: tops[t] for t in range(first, min(first + TOGETHER, self.trees))}, limits, weight, columns)
         finally:
-            blocks.release()
+            binned.release()
         return tops
 
-    def _split(self, tree: int, top: Part, node: int, table: np.ndarray, limits: list[np.ndarray], weight: np.ndarray, columns: int) -> list[int]:
-        """Splits a node by its class counts (feature, bin, class); gives the children that still hold many rows."""
-        k = len(weight)
-        counts = table[0].sum(axis=0)
-        top.weights[node] = (counts * weight).tolist()
+    def _grow_tops(self, binned: Blocks, tops: dict[int, Part], limits: list[np.ndarray], weight: np.ndarray, columns: int) -> None:
+        """Grows the first nodes of some trees, a level or a further draw of features in a pass over the rows in open nodes."""
+        k, width = len(weight), max(map(len, limits)) + 1
+        # One feature more than are wanted saves the pass for those that turn out not to be usable.
+        slots = min(columns + 1, len(limits))
+        sample, seed = self.trees > 1, self.seed
+        open_ = {t: [self._opened(t, 0, set(), len(limits))] for t in tops}
+        now, before = binned.stepped(lambda b: _sampled(b, list(tops), sample, seed), cut=False), None
+        try:
+            while open_:
+                most = max(1, CELLS // (slots * width * k * len(open_)))
+                drawn = {t: np.array([(o.order + [-1] * slots)[:slots] for o in some[:most]]) for t, some in open_.items()}
+                found = now.sums(lambda b: [_class_histogram(b, t, own, width, k) for t, own in drawn.items()])
+                if before is not None:
+                    before.release()
+                steps = {}
+                for (t, some), tables in zip(list(open_.items()), found):
+                    more, after, step = [], [], np.empty((4, len(some)), np.int64)
+                    for place, own in enumerate(some):
+                        if place < len(tables) and self._weighed(tops[t], own, tables[place], limits, weight, columns):
+                            step[:, place] = self._split(t, tops[t], own, weight, after, len(limits))
+                        else:
+                            # All rows stay where they are, for a pass over further features.
+                            step[:, place] = 0, width, len(more), len(more)
+                            more.append(own)
+                    # Places of new nodes are behind those that stay.
+                    step[2:] = np.where(step[2:] <= -2, len(more) - 2 - step[2:], step[2:])
+                    open_[t] = more + after
+                    if open_[t]:
+                        steps[t] = step
+                open_ = {t: some for t, some in open_.items() if some}
+                if open_:
+                    before, now = now, now.stepped(lambda b, steps=steps: _moved(b, steps), cut=False)
+        finally:
+            now.release()
+            if before is not None:
+                before.release()
+
+    def _opened(self, tree: int, node: int, dead: set[int], features: int) -> "_Open":
+        order = np.random.default_rng([self.seed, tree, node]).permutation(features).tolist()
+        return _Open(node, [f for f in order if f not in dead], set(dead))
+
+    def _weighed(self, top: Part, own: "_Open", table: np.ndarray, limits: list[np.ndarray], weight: np.ndarray, columns: int) -> bool:
+        """Takes the class counts (slot, bin, class) of the features asked for; whether the node's split is settled."""
+        own.counts = counts = table[0].sum(axis=0)
+        top.weights[own.node] = (counts * weight).tolist()
         if counts.sum() <= SMALL or (counts > 0).sum() < 2:
-            return []
-        best, drawn = None, 0
-        for f in np.random.default_rng([self.seed, tree, node]).permutation(len(limits)).tolist():
-            below = table[f].cumsum(axis=0)[: len(limits[f])]
+            return True
+        for slot in range(min(len(table), len(own.order))):
+            f = own.order.pop(0)
+            below = table[slot].cumsum(axis=0)[: len(limits[f])]
             rows = below.sum(axis=1)
             usable = np.flatnonzero((rows >= self.leaf) & (counts.sum() - rows >= self.leaf))
             if not len(usable):
+                # Nor can it be usable further down.
+                own.dead.add(f)
                 continue
-            drawn += 1
+            own.drawn += 1
             value = impurity(below[usable] * weight) + impurity((counts - below[usable]) * weight)
             at = int(np.argmin(value))
-            if best is None or (float(value[at]), f) < best[:2]:
-                best = (float(value[at]), f, int(usable[at]), below[usable[at]])
-            if drawn >= columns:
-                break
-        if best is None:
-            return []
-        _, f, at, below = best
-        top.feature[node], top.limit[node] = f, float(limits[f][at])
-        top.left[node], top.right[node] = len(top.left), len(top.left) + 1
-        more = []
-        for own in (below, counts - below):
-            if own.sum() > SMALL and (own > 0).sum() > 1:
-                more.append(len(top.left))
-            for values, new in ((top.feature, 0), (top.limit, 0.0), (top.left, -1), (top.right, -1), (top.weights, (own * weight).tolist())):
+            if own.best is None or (float(value[at]), f) < own.best[:2]:
+                own.best = (float(value[at]), f, int(usable[at]), below[usable[at]], float(limits[f][usable[at]]))
+            if own.drawn >= columns:
+                return True
+        return not own.order
+
+    def _split(self, tree: int, top: Part, own: "_Open", weight: np.ndarray, after: list["_Open"], features: int) -> tuple[int, int, int, int]:
+        """Splits a settled node; children that still hold many rows come to ``after``. Gives feature, bin and where the rows of both sides go:
+        -2 and below count the nodes in ``after``, -1 is nowhere."""
+        if own.best is None:
+            return 0, 0, -1, -1
+        _, f, at, below, limit = own.best
+        top.feature[own.node], top.limit[own.node] = f, limit
+        top.left[own.node], top.right[own.node] = len(top.left), len(top.left) + 1
+        sides = []
+        for counts in (below, own.counts - below):
+            sides.append(-1)
+            if counts.sum() > SMALL and (counts > 0).sum() > 1:
+                sides[-1] = -2 - len(after)
+                after.append(self._opened(tree, len(top.left), own.dead, features))
+            for values, new in ((top.feature, 0), (top.limit, 0.0), (top.left, -1), (top.right, -1), (top.weights, (counts * weight).tolist())):
                 values.append(new)
-        return more
-
-
-def _class_histogram(block: Block, tree: int, top: Part, nodes: list[int], limits: list[np.ndarray], k: int, sample: bool, seed: int) -> np.ndarray:
-    """Rows by open node, feature, bin and class."""
-    width = max(map(len, limits)) + 1
-    place = np.full(len(top.left), -1)
-    place[nodes] = np.arange(len(nodes))
-    at = place[top.ends(block["x"])]
-    times = copies(block["row"], tree, seed) if sample else np.ones(len(at))
-    own = np.flatnonzero((at >= 0) & (times > 0))
-    out = np.zeros((len(nodes), len(limits), width, k))
-    for f, edges in enumerate(limits):
-        cell = (at[own] * width + np.searchsorted(edges, block["x"][own, f], "left")) * k + block["y"][own].astype(np.int64)
-        out[:, f] = np.bincount(cell, times[own], len(nodes) * width * k).reshape(len(nodes), width, k)
+        return f, at, *sides
+
+
+@dataclass
+class _Open:
+    """A node that is still to be split: the features to draw next, those that no node below can use, and the best split so far."""
+
+    node: int
+    order: list[int]
+    dead: set[int]
+    drawn: int = 0
+    best: tuple | None = None
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+
+def _binned(block: Block, limits: list[np.ndarray]) -> Block:
+    """``bin`` (a line for each feature: the smallest bin whose limit is at least the cell), class and number of each row."""
+    kind = np.uint8 if max(map(len, limits)) < 256 else np.uint16
+    bins = np.stack([np.searchsorted(edges, block["x"][:, f], "left").astype(kind) for f, edges in enumerate(limits)])
+    return {"bin": bins, "y": block["y"].astype(np.int16), "row": block["row"].astype(np.uint64)}
+
+
+def _sampled(block: Block, trees: list[int], sample: bool, seed: int) -> Block:
+    """The rows that each tree's sample holds, how often, and their place among the tree's open nodes: the root."""
+    out = {"bin": block["bin"], "y": block["y"]}
+    for t in trees:
+        times = copies(block["row"], t, seed) if sample else np.ones(len(block["y"]), np.int64)
+        rows = np.flatnonzero(times)
+        # Numbers in as few bytes as they need: what a pass costs is mostly to move them.
+        out |= {f"rows{t}": rows.astype(np.min_scalar_type(len(times))), f"times{t}": times[rows].astype(np.uint8), f"at{t}": np.zeros(len(rows), np.uint8)}
+    return out
+
+
+def _moved(block: Block, steps: dict[int, np.ndarray]) -> Block:
+    """Rows go to the open nodes below theirs; rows that come into no open node are left out, and so are trees without steps."""
+    out = {"bin": block["bin"], "y": block["y"]}
+    for t, step in steps.items():
+        rows = block[f"rows{t}"]
+        feature, limit, left, right = step[:, block[f"at{t}"]]
+        at = np.where(block["bin"][feature, rows] <= limit, left, right)
+        kept = np.flatnonzero(at >= 0)
+        out |= {f"rows{t}": rows[kept], f"times{t}": block[f"times{t}"][kept], f"at{t}": at[kept].astype(np.min_scalar_type(step.shape[1] * 2))}
+    return out
+
+
+def _class_histogram(block: Block, tree: int, drawn: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Rows by open node, slot of its drawn features, bin and class."""
+    nodes, slots = drawn.shape
+    at, rows, times = (block[f"{n}{tree}"] for n in ("at", "rows", "times"))
+    if len(at) and at.max() >= nodes:
+        own = np.flatnonzero(at < nodes)
+        at, rows, times = at[own], rows[own], times[own]
+    at, rows, y, times = at.astype(np.int64), rows.astype(np.int64), block["y"][rows], times.astype(np.float64)
+    out = np.zeros((nodes, slots, width, k))
+    bins, n, first = block["bin"].ravel(), block["bin"].shape[1], at * (width * k) + y
+    for slot in range(slots):
+        # A slot without a feature takes the first one and is not looked at.
+        cell = bins.take(np.maximum(drawn[:, slot], 0).take(at) * n + rows).astype(np.int64)
+        cell *= k
+        cell += first
+        out[:, slot] = np.bincount(cell, times, nodes * width * k).reshape(nodes, width, k)
     return out

@@ -72,3 +72,21 @@ def test_copies_and_odd_tables(spark):
     assert {r["prediction"] for r in DeepForest.one(balanced=False).fit(same, ["a"], "y").score(same).collect()} == {0}
     with pytest.raises(ValueError):
         DeepForest().fit(df.limit(0), ["a"], "y")
+
+
+def test_first_nodes_in_passes_of_bounded_size(spark, monkeypatch):
+    """However few nodes a pass takes, the same trees come out; cells are coded once, and a pass counts only the features drawn for a node."""
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1), 1.0, float(rng.randrange(3)), rng.randrange(2)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, e double, y int").coalesce(1).persist()
+    monkeypatch.setattr(deeptrees, "SMALL", 60)
+    found, asked, plain = [], [], deeptrees.DeepForest._weighed
+    monkeypatch.setattr(deeptrees.DeepForest, "_weighed", lambda self, top, own, table, *more: asked.append(len(table)) or plain(self, top, own, table, *more))
+    for cells in (4_000_000, 1):
+        monkeypatch.setattr(deeptrees, "CELLS", cells)
+        fitted = DeepForest(trees=3).fit(df, ["a", "b", "c", "d", "e"], "y")
+        found.append([deeptrees.grafted(top, {}) for top in fitted.tops])
+    assert max(asked) == 3 and all(len(t.left) > 20 for t in found[0])
+    for one, two in zip(*found):
+        paths = [sorted(zip(t.feature, t.limit, t.left >= 0, map(tuple, t.weights))) for t in (one, two)]
+        assert paths[0] == paths[1]
