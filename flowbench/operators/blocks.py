@@ -75,9 +75,9 @@ class Blocks:
     def sums(self, fn: Callable[[Block], list[np.ndarray]], small: bool = False) -> list[np.ndarray]:
         """Sum over all blocks of the arrays that ``fn`` gives for one; every block gives arrays of the same shapes.
 
-        ``small`` arrays, of some kilobytes, are added up in one stage, unless there are very many tasks.
+        ``small`` arrays, below a megabyte, are added up in one stage, unless there are very many tasks.
         """
-        depth = 1 if small and self.rdd.getNumPartitions() <= 500 else 2
+        depth = 1 if small and self.rdd.getNumPartitions() <= 200 else 2
         return self.rdd.map(fn).treeReduce(lambda a, b: [u + v for u, v in zip(a, b)], depth)
 
     def updated(self, fn: Callable[[Block], Block]) -> "Blocks":

@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
 from flowbench.operators.encode import anova_f, best_features, standard_stats, standardise, with_balanced_weights
+from flowbench.operators.levelboost import BlockBoosting
 from flowbench.operators.perceptron import BlockPerceptron
 from flowbench.session import few_rows
 
@@ -175,12 +175,12 @@ def boosted_trees(
 ) -> Learner:
     """Gradient-boosted trees; more than two classes become one model per class.
 
-    There is no penalty on leaf weights and no leaf-wise growth in MLlib: depth limits the trees.
+    There is no penalty on leaf weights and no leaf-wise growth, as in MLlib: depth limits the trees.
     """
 
     def make(n: int, k: int) -> Estimator:
         est = _tree(
-            GBTClassifier, balanced, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
+            BlockBoosting, balanced, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows,
             featureSubsetStrategy=str(columns) if columns < 1 else "all", seed=seed,
         )
         if k == 2:
