@@ -33,11 +33,11 @@ from flowbench.operators.nets import Network
 from flowbench.operators.stumps import ExactAdaBoost
 from flowbench.plans.catalog import query
 from flowbench.plans.experiment import cross_validation, run_detectors, tuned_threshold
-from flowbench.plans.flows import ATTACK_RULE, flows
+from flowbench.plans.flows import ATTACK_RULE, flows, flows_of, table
 from flowbench.plans.queries_cleaning import COMMON, prepared, round_all
 from flowbench.plans.queries_splits import _FOLD, KEY, ranked_steps
 from flowbench.plans.texts import on_flows, on_prepared
-from flowbench.session import spread
+from flowbench.session import dealt, spread
 
 FEATURES = list(COMMON)
 
@@ -48,7 +48,7 @@ LEARNABLE = {"labelled": _LABELLED, **ranked_steps("labelled", "flow_id", "CAST(
 
 def learnable_parts(spark, sf_dir):
     """(train, test) of flows whose 0/1 label ``y`` follows from two features; written once with their part, for fits pass over them many times."""
-    df = flows(spark, sf_dir).select(
+    df = flows_of(dealt(table(spark, sf_dir, "events"), "events")).select(
         "flow_id", "class", *COMMON, F.expr(f"CASE {ATTACK_RULE} WHEN 'Attack' THEN 1 ELSE 0 END").alias("y")
     )
     parts = spread(splits.random_parts(spread(complete_rows(df, COMMON, "y"), "learnable"), KEY, 0.2, 42, "y"), "parts")

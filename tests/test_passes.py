@@ -17,6 +17,61 @@ def test_the_parts_of_learnable_rows_are_not_worked_out_again(spark, sf_dir):
     assert train.count() > test.count() > 0 and not {r[0] for r in train.select("flow_id").collect()} & {r[0] for r in test.select("flow_id").collect()}
 
 
+def one_row_group(folder, rows):
+    """A file of events that Spark reads in many parts, all but one of them empty; every tenth key is null and some repeat."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(4)
+    keys = [None if i % 10 == 0 else i - i % 3 for i in range(rows)]
+    table = pa.table({
+        "event_id": pa.array(keys, pa.int64()), "ts": pa.array(np.arange(rows), pa.timestamp("us")), "user_id": rng.integers(0, 1500, rows),
+        "event_type": np.where(rng.random(rows) < 0.2, "error", "click"), "value": rng.random(rows) * 100, "props": [f'{{"k": {k}}}' for k in rng.integers(0, 100, rows)],
+    })
+    pq.write_table(table, f"{folder}/events.parquet", row_group_size=rows)
+    return str(folder)
+
+
+def rows_by_part(df):
+    return [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+
+
+@pytest.fixture
+def short_parts(spark):
+    """Files are read in parts of 256 KB, as those of 128 MB are of a large one."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, str(256 * 1024))
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_file_of_one_row_group_is_dealt_over_the_cores(spark, tmp_path, short_parts):
+    from flowbench.plans.queries_learners import learnable_parts
+    from flowbench.session import dealt
+
+    cores, n = spark.sparkContext.defaultParallelism, 240_000
+    folder = one_row_group(tmp_path, n)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    assert events.rdd.getNumPartitions() >= cores and rows_by_part(events) == [n]
+    even = dealt(events, "test-dealt")
+    assert max(rows_by_part(even)) * cores <= 1.5 * n and even.schema == events.schema
+    assert even.exceptAll(events).isEmpty() and events.exceptAll(even).isEmpty()
+    train, _ = learnable_parts(spark, folder)
+    parts = rows_by_part(train)
+    assert max(parts) * cores <= 1.5 * sum(parts)
+
+
+def test_small_and_even_tables_are_not_dealt(spark, sf_dir):
+    from flowbench.session import dealt
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    even = spark.range(2_000_000).repartition(spark.sparkContext.defaultParallelism)
+    for df in (events, events.where("false"), even):
+        assert dealt(df, "test-dealt") is df
+
+
 def test_a_tuned_detector_reads_its_parts_from_where_they_are_written(spark):
     from flowbench.plans.experiment import tuned_threshold
 
