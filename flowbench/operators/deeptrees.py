@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbench.functions.names import require_columns
@@ -62,6 +62,14 @@ class Part:
         w = np.asarray(self.weights)[ends]
         return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
 
+    def levels(self) -> np.ndarray:
+        """By node, the splits above it."""
+        out = np.zeros(len(self.left), np.int64)
+        for i, left in enumerate(self.left):
+            if left >= 0:
+                out[[left, self.right[i]]] = out[i] + 1
+        return out
+
 
 def grafted(top: Part, parts: dict[int, Part]) -> Part:
     """One tree, as arrays: the finished parts in the place of the ends of ``top`` that they belong to."""
@@ -93,19 +101,19 @@ def copies(row: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, columns: int, leaf: int, rng: np.random.Generator) -> Part:
-    """A whole tree on exact values: least Gini impurity over ``columns`` drawn features a node, until nodes are pure or cannot be split."""
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, columns: int, leaf: int, rng: np.random.Generator, depth: int | None = None) -> Part:
+    """A whole tree on exact values: least Gini impurity over ``columns`` drawn features a node, until nodes are pure, cannot be split or are ``depth`` splits deep."""
     part = Part([], [], [], [], [])
-    todo = [(np.arange(len(y)), -1, 0)]
+    todo = [(np.arange(len(y)), -1, 0, 0)]
     while todo:
-        own, parent, side = todo.pop()
+        own, parent, side, level = todo.pop()
         here = len(part.left)
         if parent >= 0:
             (part.left if side == 0 else part.right)[parent] = here
         whole = np.bincount(y[own], w[own], k)
         for values, new in ((part.feature, 0), (part.limit, 0.0), (part.left, -1), (part.right, -1), (part.weights, whole.tolist())):
             values.append(new)
-        if (whole > 0).sum() < 2 or len(own) < 2 * leaf:
+        if (whole > 0).sum() < 2 or len(own) < 2 * leaf or level == depth:
             continue
         best = None
         # Features that are the same in all rows do not count as drawn.
@@ -136,7 +144,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, columns: int, leaf
         limit = low + (high - low) / 2
         part.feature[here], part.limit[here] = f, float(limit if low <= limit < high else low)
         left = x[own, f] <= part.limit[here]
-        todo += [(own[~left], here, 1), (own[left], here, 0)]
+        todo += [(own[~left], here, 1, level + 1), (own[left], here, 0, level + 1)]
     return part
 
 
@@ -156,7 +164,11 @@ class FittedForest:
     def score(self, df: DataFrame) -> DataFrame:
         """``prediction`` and ``probability`` of the larger class, or ``probabilities``: means of the trees' shares."""
         require_columns(df, self.features, numeric=True)
-        return self._sent(df) if self.nodes <= BROADCAST_NODES else self._dealt(df)
+        return self._named(self.shared(df, F.array(*[finite_or(c).cast("double") for c in self.features])))
+
+    def shared(self, df: DataFrame, cells: Column) -> DataFrame:
+        """The rows with ``probabilities``, the mean shares by class, from an array of their cells."""
+        return self._sent(df, cells) if self.nodes <= BROADCAST_NODES else self._dealt(df, cells)
 
     def _named(self, df: DataFrame) -> DataFrame:
         best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
@@ -165,10 +177,7 @@ class FittedForest:
             out = out.withColumn("probability", F.col("probabilities")[1]).drop("probabilities")
         return out
 
-    def _cells(self):
-        return F.array(*[finite_or(c).cast("double") for c in self.features])
-
-    def _sent(self, df: DataFrame) -> DataFrame:
+    def _sent(self, df: DataFrame, cells: Column) -> DataFrame:
         # Counted: at most BROADCAST_NODES nodes.
         parts: list[dict[int, Part]] = [{} for _ in self.tops]
         for r in self.parts.select("tree", "node", "body").toLocalIterator():
@@ -185,9 +194,9 @@ class FittedForest:
                     total += tree.shares(x, tree.ends(x))
                 yield pd.Series(list(total / len(trees)))
 
-        return self._named(df.withColumn("probabilities", shares(self._cells())))
+        return df.withColumn("probabilities", shares(cells))
 
-    def _dealt(self, df: DataFrame) -> DataFrame:
+    def _dealt(self, df: DataFrame, cells: Column) -> DataFrame:
         """Rows travel to the subtrees of the nodes they fall into, one row a tree; shares return and are added up."""
         rows = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
         tops, k, n = self.tops, len(self.classes), len(self.tops)
@@ -198,7 +207,7 @@ class FittedForest:
                 for tree, top in enumerate(tops):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(top.ends(x)), batch.column("_row"), batch.column("x")], names=["tree", "node", "row", "x"])
 
-        dealt = rows.select("_row", self._cells().alias("x")).mapInArrow(fallen, "tree int, node long, row long, x array<double>")
+        dealt = rows.select("_row", cells.alias("x")).mapInArrow(fallen, "tree int, node long, row long, x array<double>")
 
         def finish(own: pa.Table, parts: pa.Table) -> pa.Table:
             if not own.num_rows:
@@ -217,20 +226,22 @@ class FittedForest:
         parts = self.parts.select("tree", "node", "body").withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(63))))
         found = dealt.withColumn("cut", cut).groupBy("tree", "node", "cut").cogroup(parts.groupBy("tree", "node", "cut")).applyInArrow(finish, "row long, shares array<double>")
         sums = found.groupBy("row").agg(F.array(*[F.sum(F.col("shares")[i]) / n for i in range(k)]).alias("probabilities"))
-        return self._named(rows.join(sums, rows["_row"] == sums["row"]).drop("_row", "row"))
+        return rows.join(sums, rows["_row"] == sums["row"]).drop("_row", "row")
 
 
 @dataclass
 class DeepForest:
     """``trees`` trees on samples drawn with repetition (one tree: on the rows as they are), ``columns`` features drawn a node ("sqrt" or None for all).
 
-    A node is split as long as it is impure, both sides keep ``leaf`` rows, and its rows differ. ``balanced`` weighs classes alike.
+    A node is split as long as it is impure, both sides keep ``leaf`` rows, and its rows differ; ``depth`` (None: no bound) bounds the splits above it.
+    ``balanced`` weighs classes alike.
     """
 
     trees: int = 200
     columns: str | None = "sqrt"
     balanced: bool = True
     leaf: int = 1
+    depth: int | None = None
     seed: int = 42
     name: str = "deep_forest"
 
@@ -243,17 +254,23 @@ class DeepForest:
         features = list(require_columns(train, features, numeric=True))
         y = F.col(label).cast("int")
         clean = train.select(F.array(*[finite_or(c).cast("double") for c in features]).alias("x"), y.alias("y"), F.monotonically_increasing_id().alias("row"))
+        columns = len(features) if self.columns is None else max(1, int(len(features) ** 0.5))
+        return self.grown(clean, features, columns)
+
+    def grown(self, clean: DataFrame, features: list[str], columns: int, weights: dict[int, float] | None = None) -> FittedForest:
+        """The forest of rows with an array of cells ``x``, a class ``y`` and a number ``row``; ``weights`` by class take the place of ``balanced``."""
         clean = checkpoint(clean)
         tallies = {r["y"]: r["n"] for r in few_rows(clean.groupBy("y").agg(F.count("*").alias("n")), "classes")}
         if not tallies:
             raise ValueError("the training table is empty")
         classes, total = sorted(tallies), sum(tallies.values())
         k = len(classes)
-        weight = np.array([total / (k * tallies[c]) if self.balanced else 1.0 for c in classes])
-        columns = len(features) if self.columns is None else max(1, int(len(features) ** 0.5))
+        weights = weights or {c: total / (k * tallies[c]) if self.balanced else 1.0 for c in classes}
+        weight = np.array([weights[c] for c in classes])
         tops = self._tops(clean, features, classes, weight, columns, total)
         fallen = clean.mapInArrow(self._fallen(tops, classes), "tree int, node long, x array<double>, y int, times int")
-        seed, leaf = self.seed, self.leaf
+        seed, leaf, depth = self.seed, self.leaf, self.depth
+        levels = [top.levels() for top in tops]
 
         def finish(own: pa.Table) -> pa.Table:
             x = own.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
@@ -261,12 +278,9 @@ class DeepForest:
             y, times = own.column("y").to_numpy(), own.column("times").to_numpy()
             # The same tree wherever the rows come from.
             by = np.lexsort((times, y, *x.T))
-            part = grow(x[by], y[by], (weight[y] * times)[by], k, columns, leaf, np.random.default_rng([seed, tree, node]))
-            depth = np.zeros(len(part.left), np.int64)
-            for i, left in enumerate(part.left):
-                if left >= 0:
-                    depth[[left, part.right[i]]] = depth[i] + 1
-            return pa.table({"tree": own.column("tree")[:1], "node": own.column("node")[:1], "nodes": [len(part.left)], "depth": [int(depth.max())], "body": [json.dumps(asdict(part))]})
+            left = None if depth is None else depth - int(levels[tree][node])
+            part = grow(x[by], y[by], (weight[y] * times)[by], k, columns, leaf, np.random.default_rng([seed, tree, node]), left)
+            return pa.table({"tree": own.column("tree")[:1], "node": own.column("node")[:1], "nodes": [len(part.left)], "depth": [int(part.levels().max())], "body": [json.dumps(asdict(part))]})
 
         parts = checkpoint(fallen.groupBy("tree", "node").applyInArrow(finish, "tree int, node long, nodes long, depth long, body string"))
         return FittedForest(self.name, features, classes, tops, parts, parts.agg(F.sum("nodes")).first()[0] or 0)
@@ -274,6 +288,10 @@ class DeepForest:
     def _fallen(self, tops: list[Part], classes: list[int]):
         """Rows with the trees and nodes that they help to finish."""
         seed, sample, names = self.seed, self.trees > 1, np.array(classes)
+        # A node at the bound of depth stays as it is.
+        unfinished = [np.array([len(w) == 0 or sum(v > 0 for v in w) > 1 for w in top.weights]) for top in tops]
+        if self.depth is not None:
+            unfinished = [own & (top.levels() < self.depth) for own, top in zip(unfinished, tops)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -281,8 +299,7 @@ class DeepForest:
                 row, y = batch.column("row").to_numpy(), np.searchsorted(names, batch.column("y").to_numpy()).astype(np.int32)
                 for tree, top in enumerate(tops):
                     ends = top.ends(x)
-                    unfinished = np.array([len(w) == 0 or sum(v > 0 for v in w) > 1 for w in top.weights])
-                    own = np.flatnonzero(unfinished[ends])
+                    own = np.flatnonzero(unfinished[tree][ends])
                     times = copies(row[own], tree, seed) if sample else np.ones(len(own), np.int64)
                     own, times = own[times > 0], times[times > 0]
                     yield pa.RecordBatch.from_arrays(
@@ -297,7 +314,7 @@ class DeepForest:
         k = len(classes)
         roots = lambda: Part([0], [0.0], [-1], [-1], [[1.0] * max(k, 1)])
         tops = [roots() for _ in range(self.trees)]
-        if total <= SMALL or k < 2:
+        if (total <= SMALL and self.depth != 0) or k < 2:
             return tops
         wide = clean.select(*[F.col("x")[i].alias(f"_f{i}") for i in range(len(features))], "y", "row")
         limits = [np.array(v) for v in _limits(wide, len(features), 255)]
@@ -349,9 +366,9 @@ class DeepForest:
             if before is not None:
                 before.release()
 
-    def _opened(self, tree: int, node: int, dead: set[int], features: int) -> "_Open":
+    def _opened(self, tree: int, node: int, dead: set[int], features: int, level: int = 0) -> "_Open":
         order = np.random.default_rng([self.seed, tree, node]).permutation(features).tolist()
-        return _Open(node, [f for f in order if f not in dead], set(dead))
+        return _Open(node, [f for f in order if f not in dead], set(dead), level)
 
     def _weighed(self, top: Part, own: "_Open", table: np.ndarray, limits: list[np.ndarray], weight: np.ndarray, columns: int) -> bool:
         """Takes the class counts (slot, bin, class) of the features asked for; whether the node's split is settled."""
@@ -380,7 +397,7 @@ class DeepForest:
     def _split(self, tree: int, top: Part, own: "_Open", weight: np.ndarray, after: list["_Open"], features: int) -> tuple[int, int, int, int]:
         """Splits a settled node; children that still hold many rows come to ``after``. Gives feature, bin and where the rows of both sides go:
         -2 and below count the nodes in ``after``, -1 is nowhere."""
-        if own.best is None:
+        if own.best is None or own.level == self.depth:
             return 0, 0, -1, -1
         _, f, at, below, limit = own.best
         top.feature[own.node], top.limit[own.node] = f, limit
@@ -388,9 +405,9 @@ class DeepForest:
         sides = []
         for counts in (below, own.counts - below):
             sides.append(-1)
-            if counts.sum() > SMALL and (counts > 0).sum() > 1:
+            if counts.sum() > SMALL and (counts > 0).sum() > 1 and own.level + 1 != self.depth:
                 sides[-1] = -2 - len(after)
-                after.append(self._opened(tree, len(top.left), own.dead, features))
+                after.append(self._opened(tree, len(top.left), own.dead, features, own.level + 1))
             for values, new in ((top.feature, 0), (top.limit, 0.0), (top.left, -1), (top.right, -1), (top.weights, (counts * weight).tolist())):
                 values.append(new)
         return f, at, *sides
@@ -403,6 +420,7 @@ class _Open:
     node: int
     order: list[int]
     dead: set[int]
+    level: int = 0
     drawn: int = 0
     best: tuple | None = None
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0))

@@ -16,7 +16,6 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
+from flowbench.operators.blockforest import BlockForest
 from flowbench.operators.encode import anova_f, best_features, standard_stats, standardise, with_balanced_weights
 from flowbench.operators.levelboost import BlockBoosting
 from flowbench.operators.perceptron import BlockPerceptron
@@ -196,7 +196,7 @@ def random_forest(
 ) -> Learner:
     def make(n: int, k: int) -> Estimator:
         return _tree(
-            RandomForestClassifier, balanced, numTrees=trees, maxDepth=DEEPEST if depth is None else min(depth, DEEPEST),
+            BlockForest, balanced, numTrees=trees, maxDepth=DEEPEST if depth is None else min(depth, DEEPEST),
             featureSubsetStrategy=columns, minInstancesPerNode=leaf, seed=seed,
         )
 
