@@ -1,8 +1,10 @@
 """Gradient-boosted trees with second-order leaf values, penalties on leaves and growth by the best leaf.
 
-Features are binned once. A pass over the rows sums gradients and hessians by open leaf, feature and bin; split gains follow on the
+Features are binned once. A pass over the drawn rows sums gradients and hessians by open leaf, allowed feature and bin; split gains follow on the
 driver from sums of a size set by leaves, features and bins. Leaves are split in the order of their gains (the best leaf first), but a pass
-histograms every leaf that could come next, so that a tree takes about as many passes as it is deep.
+histograms every leaf that could come next, so that a tree takes about as many passes as it is deep. Of two children the smaller one is counted;
+the other follows by subtraction from their parent. The rows of small leaves come to the driver, at most ``FETCHED`` in a pass, and what grows below
+these needs no further pass.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ from flowbench.functions.values import finite_or
 from flowbench.operators.blocks import Block, Blocks
 from flowbench.session import few_rows
 
+# Bytes of sums up to which the driver adds up those of all tasks itself, without a second stage.
+SMALL_SUMS = 1_000_000
+# Rows of small leaves that come to the driver in one pass.
+FETCHED = 20_000
+
 
 @dataclass
 class Tree:
@@ -170,14 +177,14 @@ class LeafWiseBoosting:
         """One tree for each margin, in bins."""
         growing = [_Growing(self, a, [len(v) for v in limits]) for a in allowed]
         while True:
-            asked = [g.tree_and_open() for g in growing]
-            if not any(open_ for _, open_ in asked):
+            asked = [(g.tree_and_open(), g.widths) for g in growing]
+            if not any(counted or fetched for (_, counted, fetched), _ in asked):
                 return [g.finished() for g in growing]
-            # Every row is in one leaf of each tree: a block gives its rows' sums for the open leaves.
-            width = max(len(v) for v in limits) + 1
-            found = blocks.sums(lambda b: [_histogram(b, asked, width)])[0]
+            # Every row is in one leaf of each tree: a block gives its rows' sums for the leaves to count.
+            size = sum(24 * len(counted) * sum(widths.values()) for (_, counted, _), widths in asked)
+            found = blocks.sums(lambda b: [x for k, (own, widths) in enumerate(asked) for x in _histogram(b, k, *own, widths)], small=size <= SMALL_SUMS)
             for k, g in enumerate(growing):
-                g.histogrammed(found[k])
+                g.histogrammed(found[2 * k], found[2 * k + 1])
 
 
 # Split of a node whose histogram has not been taken yet.
@@ -189,10 +196,16 @@ class _Growing:
 
     def __init__(self, settings: LeafWiseBoosting, allowed: np.ndarray, sizes: list[int]):
         self.s, self.allowed, self.sizes = settings, allowed, sizes
+        # Bins of the features that may be split; sums hold them one after another.
+        self.widths = {int(f): sizes[f] + 1 for f in allowed}
+        self.cells = np.concatenate([f * (max(sizes) + 1) + np.arange(n) for f, n in self.widths.items()])
+        self.tables: dict[int, np.ndarray] = {}  # sums of nodes whose children have none yet
+        self.held: dict[int, tuple] = {}  # bins, gradients and hessians of fetched rows, by the lowest nodes they are in
         self.depth, self.feature, self.limit, self.left, self.right = [0], [0], [0], [-1], [-1]
         self.sums: list[np.ndarray] = [np.zeros(3)]
         self.split: list = [_UNKNOWN]
-        self.open: list[int] = [0]
+        self.counted: list[tuple] = []  # node to count, its sibling and their parent
+        self.fetched: list[tuple] = []
 
     def _best_first(self) -> tuple[list[int], list[int], bool]:
         """Nodes split in the order of their gains, the leaves then, and whether a gain that may come next is still unknown."""
@@ -223,23 +236,76 @@ class _Growing:
                 self.split.append(None if last or small else _UNKNOWN)
                 for values, new in ((self.feature, 0), (self.limit, 0), (self.left, -1), (self.right, -1)):
                     values.append(new)
+            if node in self.held:
+                bins, *more = self.held.pop(node)
+                low = bins[self.feature[node]] <= self.limit[node]
+                for side, own in ((self.left[node], low), (self.right[node], ~low)):
+                    self.held[side] = (bins[:, own], *(v[own] for v in more))
         return [self.left[node], self.right[node]]
 
-    def tree_and_open(self) -> tuple[Tree, list[int]]:
-        """The tree as far as it is known, and the nodes whose histograms are wanted: leaves, and what would come below leaves."""
-        _, front, more = self._best_first()
-        wanted = []
-        for node in front if more else []:
-            wanted += [node] if self.split[node] is _UNKNOWN else self._children(node) if self.split[node] else []
-        self.open = [i for i in wanted if self.split[i] is _UNKNOWN]
-        return Tree(self.feature, self.limit, self.left, self.right, [0.0] * len(self.left)), self.open
-
-    def histogrammed(self, table: np.ndarray) -> None:
-        """Takes the sums by open node, feature and bin."""
-        for place, node in enumerate(self.open):
-            if node == 0:
-                self.sums[0] = table[place][0].sum(axis=0)
-            self.split[node] = self._best_split(table[place])
+    def tree_and_open(self) -> tuple[Tree, list[int], list[int]]:
+        """The tree as far as it is known, and the nodes to count and to fetch for the histograms that are wanted: of leaves, and of what would come below leaves."""
+        while True:
+            chosen, front, more = self._best_first()
+            wanted = [i for i in front if self.split[i] is _UNKNOWN] if more else []
+            near = [i for i in wanted if i in self.held]
+            if not near:
+                break
+            for i in near:
+                if self.split[i] is _UNKNOWN:
+                    node, sibling, parent = self._pair(i)
+                    self._take(node, sibling, parent, _sums(*self.held[node], self.widths))
+        if wanted:
+            # Of the leaves whose gains are known, no more than the splits that are left will be split.
+            ready = sorted((i for i in front if self.split[i] and self.split[i] is not _UNKNOWN), key=lambda i: (-self.split[i][0], i))
+            for node in ready[: self.s.leaves - 1 - len(chosen)]:
+                if node not in self.held:
+                    wanted += [i for i in self._children(node) if self.split[i] is _UNKNOWN]
+        self.counted, self.fetched, left = [], [], FETCHED
+        # Few rows are fetched rather than counted: the smaller side, or both.
+        for node, sibling, parent in sorted(set(map(self._pair, wanted)), key=lambda p: (self.sums[p[0]][2], p[0])):
+            rows = self.sums[node][2]
+            if parent is None or rows > left:
+                self.counted.append((node, sibling, parent))
+                continue
+            self.fetched.append((node, sibling, parent))
+            left -= rows
+            if self.sums[sibling][2] <= left:
+                self.fetched.append((sibling, node, parent))
+                left -= self.sums[sibling][2]
+        tree = Tree(self.feature, self.limit, self.left, self.right, [0.0] * len(self.left))
+        return tree, [p[0] for p in self.counted], [p[0] for p in self.fetched]
+
+    def _pair(self, node: int) -> tuple:
+        """The smaller one of the node and its sibling, the other, and their parent."""
+        parent = next((i for i in self.tables if node in (self.left[i], self.right[i])), None)
+        if parent is None:
+            return node, None, None
+        return *sorted((self.left[parent], self.right[parent]), key=lambda i: (self.sums[i][2], i)), parent
+
+    def histogrammed(self, table: np.ndarray, rows: list[tuple]) -> None:
+        """Takes the sums by counted node and cell, and the fetched rows."""
+        for own, pair in zip(table, self.counted):
+            self._take(*pair, own)
+        if self.fetched:
+            place, bins, *more = (np.concatenate(v, axis=-1) for v in zip(*rows))
+            for i, (node, sibling, parent) in enumerate(self.fetched):
+                own = place == i
+                self.held[node] = (bins[:, own], *(v[own] for v in more))
+                if parent in self.tables:
+                    self._take(node, sibling, parent, _sums(*self.held[node], self.widths))
+
+    def _take(self, node: int, sibling: int | None, parent: int | None, own: np.ndarray) -> None:
+        """Finds the splits of a node and its sibling from the sums of the node."""
+        if node == 0:
+            self.sums[0] = own[: self.widths[int(self.allowed[0])]].sum(axis=0)
+        for here, sums in ((node, own), *(() if sibling is None else ((sibling, self.tables.pop(parent) - own),))):
+            if self.split[here] is _UNKNOWN:
+                whole = np.zeros((len(self.sizes) * (max(self.sizes) + 1), 3))
+                whole[self.cells] = sums
+                self.split[here] = self._best_split(whole.reshape(len(self.sizes), -1, 3))
+                if self.split[here]:
+                    self.tables[here] = sums
 
     def _best_split(self, table: np.ndarray) -> tuple | None:
         """Gain, feature, bin and the sums on both sides of the best split into bins up to and beyond the bin."""
@@ -247,6 +313,8 @@ class _Growing:
         below = table.cumsum(axis=1)[:, :-1]
         whole = table.sum(axis=1, keepdims=True)
         above = whole - below
+        # What subtraction leaves of an empty side is rounding.
+        below, above = (np.where(np.abs(v[..., 2:]) < 0.5, 0.0, v) for v in (below, above))
         enough = (np.minimum(below[..., 2], above[..., 2]) >= s.least_rows) & (np.minimum(below[..., 1], above[..., 1]) >= s.least_hessian)
         gain = _worth(below, s.l1, s.l2) + _worth(above, s.l1, s.l2) - _worth(whole, s.l1, s.l2)
         usable = np.zeros(gain.shape, bool)
@@ -308,22 +376,39 @@ def _in_values(tree: Tree, limits: list[list[float]]) -> Tree:
 
 
 def _binned(block: Block, limits: list[list[float]], start: list[float]) -> Block:
-    """``bin`` (smallest bin whose limit is at least the cell) instead of cells, and the margins to begin with."""
+    """``bin`` (a line for each feature: the smallest bin whose limit is at least the cell) instead of cells, and the margins to begin with."""
     kind = np.uint8 if max(map(len, limits), default=0) < 256 else np.uint16
     x = block["x"]
-    bins = np.stack([np.searchsorted(np.asarray(v), x[:, f], "left") for f, v in enumerate(limits)], axis=1).astype(kind)
+    bins = np.stack([np.searchsorted(np.asarray(v), x[:, f], "left").astype(kind) for f, v in enumerate(limits)])
     return {"bin": bins, "y": block["y"].astype(np.int16), "w": block["w"], "row": block["row"].astype(np.uint64), "margin": np.tile(np.asarray(start), (len(x), 1))}
 
 
+def ends(tree: Tree, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The node at which each of the rows ends; a line of ``bins`` for each feature."""
+    feature, limit = np.asarray(tree.feature), np.asarray(tree.limit)
+    sides = np.stack([tree.right, tree.left], axis=1).ravel()
+    n, cells = bins.shape[1], bins.ravel()
+    node = np.zeros(len(rows), np.int64)
+    inner = np.arange(len(rows) if sides[0] >= 0 else 0)
+    at, rows = node[inner], rows.astype(np.int64)
+    while inner.size:
+        at = sides.take(2 * at + (cells.take(feature.take(at) * n + rows.take(inner)) <= limit.take(at)))
+        node[inner] = at
+        more = np.flatnonzero(sides.take(2 * at) >= 0)
+        inner, at = inner.take(more), at.take(more)
+    return node
+
+
 def _begun(block: Block, newest: list[Tree], round_: int, share: float, seed: int) -> Block:
-    """The block as a round sees it: margins with the newest trees, their gradients, and whether a row is drawn."""
+    """The block as a round sees it: margins with the newest trees, the rows drawn and their gradients, a line for each tree."""
     margin = block["margin"].copy()
+    whole = np.arange(len(margin))
     for k, tree in enumerate(newest):
         if len(tree.left) > 1 or tree.value[0]:
-            margin[:, k] += tree.values(block["bin"])
-    g, h = gradients(margin, block["y"], block["w"])
-    inside = drawn(block["row"], round_, share, seed) if share < 1 else np.ones(len(margin), bool)
-    return {**block, "margin": margin, "g": g, "h": h, "inside": inside}
+            margin[:, k] += np.asarray(tree.value)[ends(tree, block["bin"], whole)]
+    own = np.flatnonzero(drawn(block["row"], round_, share, seed)) if share < 1 else whole
+    g, h = gradients(margin[own], block["y"][own], block["w"][own])
+    return {**block, "margin": margin, "g": np.ascontiguousarray(g.T), "h": np.ascontiguousarray(h.T), "own": own.astype(np.min_scalar_type(len(whole)))}
 
 
 def draws(row: np.ndarray, round_: int, seed: int) -> np.ndarray:
@@ -347,23 +432,26 @@ def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndar
     return (p - truth) * w[:, None], np.maximum(p * (1 - p), 1e-16) * w[:, None]
 
 
-def _histogram(block: Block, asked: list[tuple[Tree, list[int]]], width: int) -> np.ndarray:
-    """Sums by tree, open node, feature and bin of gradients, hessians and rows."""
-    bins = block["bin"]
-    features = bins.shape[1]
-    most = max(len(open_) for _, open_ in asked)
-    out = np.zeros((len(asked), most, features, width, 3))
-    g, h, inside = block["g"], block["h"], block["inside"]
-    for k, (tree, open_) in enumerate(asked):
-        if not open_:
-            continue
-        place = np.full(len(tree.left), -1)
-        place[open_] = np.arange(len(open_))
-        at = place[tree.leaf_of(bins)]
-        own = np.flatnonzero(inside & (at >= 0))
-        base = at[own] * width
-        for f in range(features):
-            cell = base + bins[own, f]
-            for j, values in enumerate((g[own, k], h[own, k], None)):
-                out[k, : len(open_), f, :, j] = np.bincount(cell, values, len(open_) * width).reshape(len(open_), width)
-    return out
+def _histogram(block: Block, k: int, tree: Tree, counted: list[int], fetched: list[int], widths: dict[int, int]) -> tuple[np.ndarray, list[tuple]]:
+    """Of tree ``k``: sums by counted node and cell, and the rows of fetched nodes, with the places of these in the list."""
+    if not counted and not fetched:
+        return np.zeros((0, sum(widths.values()), 3)), []
+    bins, rows = block["bin"], block["own"].astype(np.int64)
+    place = np.full(len(tree.left), -1)
+    place[counted + fetched] = np.arange(len(counted) + len(fetched))
+    at = place[ends(tree, bins, rows)]
+    here = np.flatnonzero(at >= len(counted))
+    some = [(at[here] - len(counted), bins[:, rows[here]], block["g"][k][here], block["h"][k][here])] if fetched else []
+    here = np.flatnonzero((at >= 0) & (at < len(counted)))
+    return _sums(bins, block["g"][k][here], block["h"][k][here], widths, at[here], len(counted), rows[here]), some
+
+
+def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray, widths: dict[int, int], at: np.ndarray | None = None, nodes: int | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sums by cell (the bins of each allowed feature in turn) of gradients, hessians and rows, also by node."""
+    out, first = np.zeros((nodes or 1, sum(widths.values()), 3)), 0
+    for f, width in widths.items():
+        cell = bins[f] if rows is None else at * width + bins[f].take(rows)
+        for j, values in enumerate((g, h, None)):
+            out[:, first : first + width, j] = np.bincount(cell, values, len(out) * width).reshape(len(out), width)
+        first += width
+    return out[0] if nodes is None else out[:nodes]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowbench.operators.blocks import Block, Blocks
-from flowbench.operators.leafwise import Tree, _in_values, _limits, drawn
+from flowbench.operators.leafwise import Tree, _in_values, _limits, drawn, ends
 
 # Rounds after which margins go to the checkpoint folder.
 SETTLE_EVERY = 10
@@ -160,28 +160,12 @@ def _binned(block: Block, limits: list[list[float]]) -> Block:
     return {"bin": bins, "sign": (2 * block["y"] - 1).astype(np.int8), "row": block["row"].astype(np.uint64), "margin": np.zeros(len(block["y"])), **more}
 
 
-def _ends(tree: Tree, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The node at which each of the rows ends."""
-    feature, limit = np.asarray(tree.feature), np.asarray(tree.limit)
-    sides = np.stack([tree.right, tree.left], axis=1).ravel()
-    n, cells = bins.shape[1], bins.ravel()
-    node = np.zeros(len(rows), np.int64)
-    inner = np.arange(len(rows) if sides[0] >= 0 else 0)
-    at, rows = node[inner], rows.astype(np.int64)
-    while inner.size:
-        at = sides.take(2 * at + (cells.take(feature.take(at) * n + rows.take(inner)) <= limit.take(at)))
-        node[inner] = at
-        more = np.flatnonzero(sides.take(2 * at) >= 0)
-        inner, at = inner.take(more), at.take(more)
-    return node
-
-
 def _begun(block: Block, newest: Tree | None, round_: int, share: float, seed: int) -> Block:
     """The block as a round sees it: margins with the newest tree, the rows drawn and their targets."""
     margin, sign = block["margin"], block["sign"].astype(np.float64)
     whole = np.arange(len(margin))
     if newest is not None:
-        margin = margin + np.asarray(newest.value)[_ends(newest, block["bin"], whole)]
+        margin = margin + np.asarray(newest.value)[ends(newest, block["bin"], whole)]
     own = np.flatnonzero(drawn(block["row"], round_, share, seed)) if share < 1 else whole
     target = sign if newest is None else 4 * sign / (1 + np.exp(np.clip(2 * sign * margin, -700, 700)))
     return {**block, "margin": margin, "own": own.astype(np.min_scalar_type(len(whole))), "target": target[own].astype(np.float32)}
@@ -192,7 +176,7 @@ def _sums(block: Block, tree: Tree, counted: list[int], width: int) -> np.ndarra
     bins, rows = block["bin"], block["own"].astype(np.int64)
     place = np.full(len(tree.left), -1)
     place[counted] = np.arange(len(counted))
-    at = place[_ends(tree, bins, rows)]
+    at = place[ends(tree, bins, rows)]
     here = np.flatnonzero(at >= 0)
     at, rows, target = at[here] * width, rows[here], block["target"][here].astype(np.float64)
     weight = block["w"][rows] if "w" in block else None

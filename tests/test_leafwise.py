@@ -135,3 +135,22 @@ def test_drawn_rows_and_odd_tables(spark):
     same = df.withColumn("a", F.lit(1.0)).withColumn("y", F.monotonically_increasing_id() % 2)
     flat = LeafWiseBoosting(rounds=3, least_rows=1).fit(same, ["a"], "y")
     assert all(len(t.left) == 1 for r in flat.trees for t in r)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_passes_end_where_leaves_are_small(spark, monkeypatch, classes):
+    """Trees are the same whether rows of small leaves are fetched, some of them or none; a chain of small leaves needs no pass for each."""
+    from flowbench.operators import leafwise
+
+    df, x, _ = table(spark, classes, 400, 7)
+    plain, found = leafwise.Blocks.sums, {}
+    for fetched in (0, 60, 20_000):
+        passes = []
+        monkeypatch.setattr(leafwise, "FETCHED", fetched)
+        monkeypatch.setattr(leafwise.Blocks, "sums", lambda self, fn, small=False: passes.append(1) or plain(self, fn, small))
+        fitted = LeafWiseBoosting(rounds=3, leaves=20, rows=0.8, columns=0.7, least_rows=2, least_hessian=1e-6).fit(df, NAMES, "y")
+        found[fetched] = [paths(t) for r in fitted.trees for t in r], len(passes)
+    assert found[20_000][1] <= 3 * 2 < found[60][1] <= found[0][1]
+    for trees, _ in found.values():
+        for (splits, leaves), (expected, values) in zip(trees, found[0][0]):
+            assert splits == expected and leaves.keys() == values.keys() and np.allclose([leaves[p] for p in values], list(values.values()))
