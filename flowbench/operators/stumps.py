@@ -3,6 +3,7 @@
 A round sums weights by class over some 255 intervals of each feature. Inside an interval the impurity of a split is concave in the weights that
 fall below it, so the corners of what is possible bound it from below. Intervals that could hold a better split than the best one known are cut
 further, by the order of floating-point numbers, until their rows are few enough to be looked at value by value. The others are settled without.
+Rows are placed in the first intervals once, and each of these knows its smallest and largest value: one that holds a single value has no split inside.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from flowbench.functions.names import require_columns
 from flowbench.functions.values import finite_or
 from flowbench.operators.blocks import Block, Blocks
 from flowbench.operators.boosting import FittedAdaBoost, Stump
-from flowbench.operators.leafwise import _limits
+from flowbench.operators.leafwise import SMALL_SUMS, _limits
 from flowbench.session import few_rows
 
 # Rows whose values come to the driver in one step, and parts into which a larger interval is cut.
@@ -28,6 +29,7 @@ FETCHED = 20_000
 PARTS = 64
 # Classes up to which all corners of an interval are tried; with more, intervals are cut until they are small.
 CORNERS = 8
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def order_key(x: np.ndarray) -> np.ndarray:
@@ -95,12 +97,23 @@ class ExactAdaBoost:
         code = F.coalesce(*[F.when(F.col("_y") == c, F.lit(i)) for i, c in enumerate(classes)])
         raw = Blocks.of(clean, [F.col(f"_f{i}") for i in range(len(features))], {"y": code})
         edges = [order_key(np.array(v)) for v in limits]
-        blocks = raw.updated(lambda b: {"key": order_key(b["x"]), "y": b["y"].astype(np.int64), "log": np.zeros(len(b["x"]))})
+        blocks = raw.updated(lambda b: {"key": np.ascontiguousarray(order_key(b["x"]).T), "y": b["y"].astype(np.int64)})
         raw.release()
-        k, stumps, fresh, shift = len(classes), [], [], 0.0  # the shift keeps the mean weight near 1
+        # An edge just below the largest value of an interval sets it apart, for very many rows may share it.
+        ranges = _ranges(blocks, edges)
+        edges = [np.union1d(e, high[:-1][low[:-1] < high[:-1]] - 1) for e, (low, high) in zip(edges, ranges)]
+        ranges, k = _ranges(blocks, edges), len(classes)
+        blocks = blocks.updated(lambda b: {**b, "code": _coded(b, edges, k)})
+        sizes = [len(e) + 1 for e in edges]
+        counts = blocks.sums(lambda b: [np.concatenate([np.bincount(c, minlength=n * k).reshape(n, k).sum(axis=1) for c, n in zip(b["code"], sizes)])])[0]
+        # Votes with limits at the ends of intervals need no keys: rounds sum over blocks without them.
+        stumps, votes, placed, shift = [], [], [], 0.0  # the shift keeps the mean weight near 1
+        light, former = _light(blocks, [], k), None
         try:
             for _ in range(self.rounds):
-                found = _best(blocks, fresh, shift, edges, k)
+                found = _best(blocks, light, votes, placed, shift, ranges, counts, k)
+                if former is not None:
+                    former, _ = None, former.release()
                 if found is None:
                     break
                 feature, at, low, high, error, mass = found
@@ -111,53 +124,90 @@ class ExactAdaBoost:
                 stumps.append(Stump(features[feature], number_of(at), classes[low], classes[high], alpha))
                 if error <= 0:
                     break
-                fresh.append((feature, at, low, high, alpha))
-                if len(fresh) >= self.settle_every:
-                    settled, fresh = fresh, []
-                    blocks = blocks.updated(lambda b, settled=settled: {**b, "log": _logs(b, settled)})
+                votes.append((feature, at, low, high, alpha))
+                place = int(np.searchsorted(edges[feature], at, "left"))
+                if at >= ranges[feature][1][place] and len(placed) + 1 < self.settle_every:
+                    placed.append((feature, place, low, high, alpha))
+                else:
+                    former, light, placed = light, _light(blocks, list(votes), k), []
         finally:
-            blocks.release()
+            for some in (blocks, light, former):
+                if some is not None:
+                    some.release()
         return FittedAdaBoost(features, classes, stumps or [Stump(features[0], 0.0, only, only, 1.0)])
 
 
-def _logs(block: Block, fresh: list) -> np.ndarray:
-    """Logarithms of the rows' weights after the newest votes."""
-    log = block["log"].copy()
-    for feature, at, low, high, alpha in fresh:
-        log += alpha * (np.where(block["key"][:, feature] <= at, low, high) != block["y"])
+def _coded(block: Block, edges: list[np.ndarray], k: int) -> np.ndarray:
+    """A line for each feature: of each row the interval between its ascending edges, times the classes, plus the class."""
+    kind = np.min_scalar_type((max(map(len, edges)) + 1) * k)
+    return np.stack([(np.searchsorted(e, key, "left") * k + block["y"]).astype(kind) for e, key in zip(edges, block["key"])])
+
+
+def _ranges(blocks: Blocks, edges: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By feature the smallest and the largest key in each interval; of an empty one the first is above the second."""
+
+    def one(block: Block) -> list[np.ndarray]:
+        out = []
+        for e, key in zip(edges, block["key"]):
+            place = np.searchsorted(e, key, "left")
+            low, high = np.full(len(e) + 1, HIGHEST), np.full(len(e) + 1, LOWEST)
+            np.minimum.at(low, place, key)
+            np.maximum.at(high, place, key)
+            out += [low, high]
+        return out
+
+    found = blocks.rdd.map(one).treeReduce(lambda a, b: [(np.minimum, np.maximum)[i % 2](u, v) for i, (u, v) in enumerate(zip(a, b))])
+    return list(zip(found[::2], found[1::2]))
+
+
+def _light(blocks: Blocks, votes: list, k: int) -> Blocks:
+    """The blocks without keys, with the logarithms of weights after all votes; worked out with the next sum."""
+    kind = np.min_scalar_type(k)
+    return blocks.stepped(lambda b: {"code": b["code"], "y": b["y"].astype(kind), "log": _logs(b, votes)}, cut=False)
+
+
+def _logs(block: Block, votes: list, own: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Logarithms of the rows' weights after the votes."""
+    y = block["y"][own]
+    log = np.zeros(len(y))
+    for feature, at, low, high, alpha in votes:
+        log += alpha * (np.where(block["key"][feature][own] <= at, low, high) != y)
     return log
 
 
-def _sums(block: Block, fresh: list, shift: float, asked: list[tuple[int, np.ndarray]], k: int) -> np.ndarray:
-    """By asked feature and its ascending edges: weights of each class, and rows, in each interval between them."""
-    weight, y = np.exp(_logs(block, fresh) - shift), block["y"]
-    out = np.zeros((sum(len(e) + 1 for _, e in asked), k + 1))
-    first = 0
-    for feature, edges in asked:
-        place = np.searchsorted(edges, block["key"][:, feature], "left")
-        n = len(edges) + 1
-        out[first : first + n, :k] = np.bincount(place * k + y, weight, n * k).reshape(n, k)
-        out[first : first + n, k] = np.bincount(place, minlength=n)
-        first += n
-    return out
+def _sums(block: Block, placed: list, shift: float, sizes: list[int], k: int) -> np.ndarray:
+    """By feature and its first intervals: weights of each class; ``placed`` votes come on top of the logarithms, with intervals in place of keys."""
+    log = block["log"].copy()
+    for feature, place, low, high, alpha in placed:
+        log += alpha * (np.where(block["code"][feature] < (place + 1) * k, low, high) != block["y"])
+    weight = np.exp(log - shift)
+    return np.concatenate([np.bincount(code, weight, n * k).reshape(n, k) for code, n in zip(block["code"], sizes)])
+
+
+def _tally(place: np.ndarray, weight: np.ndarray, y: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Weights of each class, and rows, by place."""
+    tally = np.bincount(place.astype(np.int64) * k + y, weight, n * k).reshape(n, k)
+    return np.column_stack([tally, np.bincount(place, minlength=n)])
 
 
-def _inside(block: Block, fresh: list, shift: float, asked: list[_Interval], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _inside(block: Block, votes: list, shift: float, asked: list[_Interval], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interval, key and weights by class of every value in the intervals."""
-    weight, y, out = np.exp(_logs(block, fresh) - shift), block["y"], []
+    out = []
     for number, i in enumerate(asked):
-        key = block["key"][:, i.feature]
+        key = block["key"][i.feature]
         own = np.flatnonzero((key > i.low) & (key <= i.high))
+        weight, y = np.exp(_logs(block, votes, own) - shift), block["y"][own]
         values, place = np.unique(key[own], return_inverse=True)
-        sums = np.bincount(place * k + y[own], weight[own], len(values) * k).reshape(len(values), k)
+        sums = np.bincount(place * k + y, weight, len(values) * k).reshape(len(values), k)
         out.append((np.full(len(values), number), values, sums))
     return tuple(map(np.concatenate, zip(*out)))
 
 
-def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k: int) -> tuple | None:
+def _best(blocks: Blocks, light: Blocks, votes: list, placed: list, shift: float, ranges: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, k: int) -> tuple | None:
     """(feature, key of the limit, class below, class above, weighted error, weight of all rows) of the purest split."""
-    table = blocks.sums(lambda b: [_sums(b, fresh, shift, list(enumerate(edges)), k)])[0]
-    whole = table[: len(edges[0]) + 1, :k].sum(axis=0)
+    sizes = [len(low) for low, _ in ranges]
+    table = light.sums(lambda b: [_sums(b, placed, shift, sizes, k)], small=8 * sum(sizes) * k <= SMALL_SUMS)[0]
+    whole = table[: sizes[0]].sum(axis=0)
     best: tuple | None = None  # impurity, feature, key, weights below
 
     def offer(feature: int, keys: np.ndarray, below: np.ndarray) -> None:
@@ -190,8 +240,13 @@ def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k:
                     found.append(_Interval(feature, bottom, top, upto[place], own[place, :k], own[place, k]))
         return found
 
-    lowest, highest = -(1 << 63), (1 << 63) - 1
-    todo = intervals([(f, lowest, highest, np.zeros(k), e) for f, e in enumerate(edges)], table)
+    todo, first = [], 0
+    for f, (low, high) in enumerate(ranges):
+        own, rows, first = table[first : first + sizes[f]], counts[first : first + sizes[f]], first + sizes[f]
+        upto = np.cumsum(np.vstack([np.zeros(k), own]), axis=0)
+        # The limit is the largest value up to an edge.
+        offer(f, np.maximum.accumulate(high)[:-1], upto[1:-1])
+        todo += [_Interval(f, int(low[j]) - 1, int(high[j]), upto[j], own[j], rows[j]) for j in np.flatnonzero(low < high).tolist()]
     while True:
         # A rounding error must not drop an interval.
         bounds = _bounds(todo, whole)
@@ -206,7 +261,7 @@ def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k:
         if not todo:
             break
         if taken:
-            number, key, sums = map(np.concatenate, zip(*blocks.rdd.map(lambda b: _inside(b, fresh, shift, taken, k)).collect()))
+            number, key, sums = map(np.concatenate, zip(*blocks.rdd.map(lambda b: _inside(b, votes, shift, taken, k)).collect()))
             order = np.lexsort((key, number))
             number, key = number[order], key[order]
             # The same value in several blocks is one.
@@ -225,7 +280,7 @@ def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k:
                 step = max(1, (i.high - i.low) // PARTS)
                 asked.append((i.feature, i.low, i.high, i.below, np.array(range(i.low + step, i.high, step)[: 2 * PARTS], np.int64)))
             # Outer intervals of a feature are summed, too, and left out.
-            sums = blocks.sums(lambda b: [_sums_within(b, fresh, shift, [(f, lo, hi, c) for f, lo, hi, _, c in asked], k)])[0]
+            sums = blocks.sums(lambda b: [_sums_within(b, votes, shift, [(f, lo, hi, c) for f, lo, hi, _, c in asked], k)])[0]
             todo = intervals(asked, sums)
     if best is None:
         return None
@@ -235,11 +290,12 @@ def _best(blocks: Blocks, fresh: list, shift: float, edges: list[np.ndarray], k:
     return feature, key, low, high, max(0.0, float(1 - (below[low] + above[high]) / whole.sum())), float(whole.sum())
 
 
-def _sums_within(block: Block, fresh: list, shift: float, asked: list[tuple[int, int, int, np.ndarray]], k: int) -> np.ndarray:
-    """As ``_sums``, of the rows between a low and a high key alone."""
-    logs, parts = _logs(block, fresh), []
+def _sums_within(block: Block, votes: list, shift: float, asked: list[tuple[int, int, int, np.ndarray]], k: int) -> np.ndarray:
+    """Weights of each class, and rows, between the cuts of the asked features, of the rows between a low and a high key."""
+    parts = []
     for feature, low, high, cuts in asked:
-        key = block["key"][:, feature]
-        own = (key > low) & (key <= high)
-        parts.append(_sums({"key": block["key"][own], "y": block["y"][own], "log": logs[own]}, [], shift, [(feature, cuts)], k))
+        key = block["key"][feature]
+        own = np.flatnonzero((key > low) & (key <= high))
+        weight = np.exp(_logs(block, votes, own) - shift)
+        parts.append(_tally(np.searchsorted(cuts, key[own], "left"), weight, block["y"][own], len(cuts) + 1, k))
     return np.concatenate(parts)

@@ -70,3 +70,17 @@ def test_odd_tables(spark):
     clear = spark.createDataFrame([(float(i), int(i > 7)) for i in range(20)], "a double, y int")
     fitted = ExactAdaBoost().fit(clear, ["a"], "y")
     assert len(fitted.stumps) == 1 and 7 <= fitted.stumps[0].limit < 8
+
+
+def test_intervals_of_one_value_are_not_searched(spark, monkeypatch):
+    """Of values that very many rows share nothing is asked beyond the sum of a round, however few rows may be fetched."""
+    monkeypatch.setattr(stumps, "FETCHED", 10)
+    rng = random.Random(3)
+    rows = [(float(rng.randrange(4)), float(rng.choice([0, 0, 0, 7])), rng.randrange(2)) for _ in range(600)]
+    rows = [(a, b, int(a > 1.5) if rng.random() > 0.2 else y) for a, b, y in rows]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    monkeypatch.setattr(stumps, "_sums_within", lambda *a: pytest.fail("cut further"))
+    monkeypatch.setattr(stumps, "_inside", lambda *a: pytest.fail("looked into"))
+    fitted = ExactAdaBoost(rounds=5).fit(df, ["a", "b"], "y")
+    expected = plain(np.array([r[:2] for r in rows]), np.array([r[2] for r in rows]), 2, 5)
+    assert [(s.feature, s.limit, s.low, s.high) for s in fitted.stumps] == [("ab"[f], v, low, high) for f, v, _, low, high, _ in expected]
