@@ -7,7 +7,7 @@ added safely (Ma et al., 2015), so the result does not hang on how rows are deal
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,8 @@ from flowbench.operators.encode import standardise
 from flowbench.operators.nets import labelled_blocks
 
 KERNELS = ("rbf", "poly", "sigmoid", "linear")
+# Rows of a block whose margins are worked out together.
+RUN = 500
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,21 @@ class Kernel:
         squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * inner
         return np.exp(-self.gamma * np.maximum(squares, 0.0)) + 1.0
 
+    def onto(self, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """``of`` with the same second table many times: ``rbf`` is one product of matrices, worked on in place."""
+        if self.kind != "rbf":
+            return lambda x: self.of(x, y)
+        sides = np.vstack([2 * y.T, np.full(len(y), -1.0), -(y * y).sum(axis=1)]) * self.gamma
+
+        def values(x: np.ndarray) -> np.ndarray:
+            out = np.column_stack([x, (x * x).sum(axis=1), np.ones(len(x))]) @ sides
+            np.minimum(out, 0.0, out=out)
+            np.exp(out, out=out)
+            out += 1.0
+            return out
+
+        return values
+
 
 def factor(kernel: Kernel, landmarks: np.ndarray) -> np.ndarray:
     """Matrix that turns kernel values with the landmarks into coordinates; directions of no or negative weight are left out."""
@@ -153,24 +170,37 @@ def _chosen(train: DataFrame, features: Sequence[str], stats, most: int, seed: i
 
 
 def _ascend(block: Block, kernel: Kernel, landmarks: np.ndarray, into: np.ndarray, w: np.ndarray, targets: list[int], c: float, parts: int, seed: int) -> Block:
-    """One pass of dual coordinate ascent over the block's rows for each margin; ``sums`` are hinge losses and multipliers before it."""
-    z = kernel.of(block["x"], landmarks) @ into
-    alpha = block["alpha"].copy() if "alpha" in block else np.zeros((len(z), len(targets)))
-    top, squares = c * block["w"], parts * (z * z).sum(axis=1)
-    delta, sums = np.zeros_like(w), np.zeros((2, len(targets)))
-    order = np.random.default_rng([seed, len(z)]).permutation(len(z))
-    for k, target in enumerate(targets):
-        y = np.where(block["y"] == target, 1.0, -1.0)
-        sums[0, k] = (top * np.maximum(0.0, 1 - y * (z @ w[:, k]))).sum()
-        sums[1, k] = alpha[:, k].sum()
-        own, a = w[:, k].copy(), alpha[:, k]
-        for i in order.tolist():
-            if squares[i] <= 0:
-                continue
-            new = min(max(a[i] + (1 - y[i] * (z[i] @ own)) / squares[i], 0.0), top[i])
-            if new != a[i]:
-                step = (new - a[i]) * y[i]
-                a[i] = new
-                own += parts * step * z[i]
-                delta[:, k] += step * z[i]
+    """One pass of dual coordinate ascent over the block's rows for each margin; ``sums`` are hinge losses and multipliers before it.
+
+    Rows come in runs of ``RUN``. A row whose multiplier is at its bound and would stay there by the margins at the beginning of its run is not visited in
+    this pass; only visited rows are mapped, and a margin is a product with the landmarks' weights.
+    """
+    x, n = block["x"], len(block["x"])
+    alpha = block["alpha"].copy() if "alpha" in block else np.zeros((n, len(targets)))
+    top = c * block["w"]
+    delta, sums, before = np.zeros_like(w), np.zeros((2, len(targets))), into @ w
+    sums[1] = alpha.sum(axis=0)
+    order = np.random.default_rng([seed, n]).permutation(n)
+    own, onto = w.copy(), kernel.onto(landmarks)
+    for start in range(0, n, RUN):
+        run = order[start : start + RUN]
+        values = onto(x[run])
+        old, now = np.split(values @ np.hstack([before, into @ own]), 2, axis=1)
+        for k, target in enumerate(targets):
+            y, a, most, inner_w = np.where(block["y"][run] == target, 1.0, -1.0), alpha[run, k], top[run], own[:, k].copy()
+            sums[0, k] += (most * np.maximum(0.0, 1 - y * old[:, k])).sum()
+            slack = 1 - y * now[:, k]
+            visited = np.flatnonzero(~(((a <= 0) & (slack <= 0)) | ((a >= most) & (slack >= 0))))
+            z = values[visited] @ into
+            squares = parts * (z * z).sum(axis=1)
+            for place, i in enumerate(visited.tolist()):
+                if squares[place] <= 0:
+                    continue
+                new = min(max(a[i] + (1 - y[i] * (z[place] @ inner_w)) / squares[place], 0.0), most[i])
+                if new != a[i]:
+                    step = (new - a[i]) * y[i]
+                    a[i] = new
+                    inner_w += parts * step * z[place]
+                    delta[:, k] += step * z[place]
+            alpha[run, k], own[:, k] = a, inner_w
     return {**block, "alpha": alpha, "delta": delta, "sums": sums}

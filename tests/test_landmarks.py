@@ -74,3 +74,40 @@ def test_odd_tables(spark):
     with pytest.raises(ValueError):
         LandmarkSvm().fit(df.limit(0), CELLS, "y")
     assert set(LandmarkSvm().fit(one, CELLS, "y").score(df).toPandas()["prediction"]) == {1}
+
+
+@pytest.mark.parametrize("run", [1, 7])
+def test_settled_rows_are_not_mapped(monkeypatch, run):
+    """Run by run a pass gives what visiting every row gives where runs are single rows, and the same hinge losses; rows that stay at their bounds are not mapped."""
+    from flowbench.operators import landmarks
+
+    monkeypatch.setattr(landmarks, "RUN", run)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.3 * x[:, 1] > 0).astype(float)
+    kernel, top, parts = Kernel("rbf", 0.4), rng.uniform(0.5, 2, 300), 3
+    into = factor(kernel, x[:40])
+    z, w = kernel.of(x, x[:40]) @ into, np.zeros((into.shape[1], 1))
+    mapped, alpha, sign = [], np.zeros(300), np.where(y == 1, 1.0, -1.0)
+
+    class Into(np.ndarray):
+        def __rmatmul__(self, values):
+            mapped.append(len(values))
+            return values @ np.asarray(self)
+
+    block = {"x": x, "y": y, "w": top}
+    for r in range(6):
+        own, before = w[:, 0].copy(), alpha.copy()
+        for i in np.random.default_rng([r, 300]).permutation(300):
+            new = min(max(alpha[i] + (1 - sign[i] * (z[i] @ own)) / (parts * (z[i] @ z[i])), 0.0), top[i])
+            own += parts * (new - alpha[i]) * sign[i] * z[i]
+            alpha[i] = new
+        mapped.clear()
+        block = landmarks._ascend(block, kernel, x[:40], into.view(Into), w, [1], 1.0, parts, r)
+        assert block["sums"][0, 0] == pytest.approx((top * np.maximum(0, 1 - sign * (z @ w[:, 0]))).sum()) and sum(mapped) <= 300
+        if run == 1:
+            assert block["sums"][1, 0] == pytest.approx(before.sum()) and np.allclose(block["alpha"][:, 0], alpha)
+        assert (block["alpha"] >= 0).all() and (block["alpha"][:, 0] <= top + 1e-12).all()
+        w = w + block["delta"]
+        alpha = block["alpha"][:, 0].copy()
+    assert sum(mapped) < 150
