@@ -110,3 +110,18 @@ def test_rows_of_a_task_are_one_block(spark):
     sizes = blocks.rdd.map(lambda b: len(b["x"])).collect()
     assert sum(sizes) == 30_000 and len(sizes) == blocks.rdd.getNumPartitions() == 2
     blocks.release()
+
+
+def test_neighbours_found_for_a_row_do_not_carry_its_cells(spark, monkeypatch):
+    """Candidates come with the number of their row, tables between the steps are Parquet, and two rows of one hash stay apart."""
+    from pyspark.sql import functions as F
+
+    from flowbench.operators import neighbours
+
+    schemas, plain = [], neighbours.FittedNeighbours._met
+    monkeypatch.setattr(neighbours.FittedNeighbours, "_met", lambda self, visits, pick, schema: schemas.append(schema) or plain(self, visits, pick, schema))
+    monkeypatch.setattr(neighbours.F, "xxhash64", lambda *c: F.lit(0).cast("bigint"))
+    rows = spark.range(60).selectExpr("id", "cast(id % 20 as double) as a", "cast(id % 20 >= 10 as int) as y")
+    fitted = neighbours.NearestNeighbours(k=3).fit(rows, ["a"], "y")
+    assert fitted.train.inputFiles()
+    assert fitted.score(rows).where("prediction <> y").count() == 0 and len(schemas) == 2 and not any("array" in s for s in schemas)
